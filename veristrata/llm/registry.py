@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op10_best_fit_packing
+from .quality import op8_quality_rules
 from .tokens import op4_token_files
 
-_QUERIES = [op4_token_files, op10_best_fit_packing]
+_QUERIES = [op4_token_files, op8_quality_rules, op10_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
