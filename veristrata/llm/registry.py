@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neardup import op5_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .quality import op8_quality_rules
 from .tokens import op4_token_files
 
-_QUERIES = [op4_token_files, op8_quality_rules, op10_best_fit_packing]
+_QUERIES = [op4_token_files, op5_minhash_near_dedup, op8_quality_rules, op10_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
