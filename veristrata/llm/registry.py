@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license import op7_license_scan
 from .neardup import op5_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .quality import op8_quality_rules
 from .tokens import op4_token_files
+from .toxicity import op1_toxicity_ftrl
 
-_QUERIES = [op4_token_files, op5_minhash_near_dedup, op8_quality_rules, op10_best_fit_packing]
+_QUERIES = [op1_toxicity_ftrl, op4_token_files, op5_minhash_near_dedup, op7_license_scan, op8_quality_rules, op10_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
