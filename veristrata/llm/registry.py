@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op6_chat_formatting
+from .fingerprints import op9_document_fingerprints
 from .license import op7_license_scan
+from .mixing import op3_mixing_pareto
 from .neardup import op5_minhash_near_dedup
 from .packing import op10_best_fit_packing
+from .pii import op2_pii_skip_chain
 from .quality import op8_quality_rules
 from .tokens import op4_token_files
 from .toxicity import op1_toxicity_ftrl
 
-_QUERIES = [op1_toxicity_ftrl, op4_token_files, op5_minhash_near_dedup, op7_license_scan, op8_quality_rules, op10_best_fit_packing]
+_QUERIES = [
+    op1_toxicity_ftrl,
+    op2_pii_skip_chain,
+    op3_mixing_pareto,
+    op4_token_files,
+    op5_minhash_near_dedup,
+    op6_chat_formatting,
+    op7_license_scan,
+    op8_quality_rules,
+    op9_document_fingerprints,
+    op10_best_fit_packing,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
