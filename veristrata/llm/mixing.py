@@ -5,8 +5,8 @@ cannot take is shared again by weight among the others. Every document first get
 floor(target / source size). The rest of the target is filled by a fixed-size sample with inclusion probability
 p = target / source size - whole copies (times ``weight`` relative to the source's mean, if such a column is given):
 documents are ranked by Pareto's order statistic (u / (1 - u)) / (p / (1 - p)), with u a hash of the document, and
-taken in that order until the words are full; the size is fixed in words. What the last document would overshoot is
-then filled, in the same order, with documents that fit, in FILLS more rounds.
+taken in that order until the words are full; the size is fixed in words. What the next document would overshoot is
+filled, in the same order, with documents that fit, in FILLS more rounds.
 
 Ranks are never counted by one task: order statistics fall into BUCKETS bins, words are summed by source and bin, and
 only a source's one crossing bin is ordered document by document. Reruns agree.
@@ -73,21 +73,17 @@ def decide(docs: DataFrame, weight: str | None = None, weights: tuple[int, ...]
     odds = F.when(F.col("p") > 1e-12, u / (1 - u) * (1 - F.col("p")) / F.col("p"))
     m = m.withColumn("place", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("place") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     m = materialize(m.select("doc_id", "source", "key", "size", "rows", "source_size", "target", "certain", "place", "bin", (F.col("size") * F.col("rows")).alias("words"), F.lit(False).alias("taken")), "ranked")
-    for fill in range(FILLS + 1):
-        m = materialize(_take(m, strict=fill > 0), "taken")
+    for _ in range(FILLS + 1):
+        m = materialize(_take(m), "taken")
     return m.select("doc_id", "source", "key", "size", "rows", "source_size", "target", (F.col("certain") + F.col("taken").cast("long")).alias("copies"))
 
 
-def _take(m: DataFrame, strict: bool) -> DataFrame:
-    """Take candidates in their order until each source's words are full.
-
-    ``strict``: only documents that fit into what is left. Else the crossing document is taken if it brings the
-    words nearer to the target than leaving it out.
-    """
+def _take(m: DataFrame) -> DataFrame:
+    """Take, of the documents that fit into what a source's words still lack, as many in their order as go in."""
     gaps = m.groupBy("source").agg((F.max("target") - F.sum(F.col("words") * (F.col("certain") + F.col("taken").cast("long")))).alias("gap"))
     c = _source_join(m, gaps)
     able = ~F.col("taken") & F.col("place").isNotNull() & (F.col("words") > 0) & (F.col("gap") > 0)
-    c = c.withColumn("able", able & (F.col("words") <= F.col("gap")) if strict else able)
+    c = c.withColumn("able", able & (F.col("words") <= F.col("gap")))
     bins = c.where("able").groupBy("source", "bin").agg(F.sum("words").alias("in_bin"), F.max("gap").alias("gap"))
     up_to = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin"))
     cross = bins.withColumn("reach", up_to).where("reach > gap").groupBy("source").agg(F.min("bin").alias("cross"), F.min_by(F.col("reach") - F.col("in_bin"), "bin").alias("before"))
@@ -96,12 +92,10 @@ def _take(m: DataFrame, strict: bool) -> DataFrame:
     order = Window.partitionBy("source").orderBy("place", "doc_id", "key")
     inside = inside.withColumn("done", F.col("before") + F.sum("words").over(order))
     fits = F.col("done") <= F.col("gap")
-    if not strict:
-        fits |= (F.col("done") - F.col("words") < F.col("gap")) & (F.col("done") - F.col("gap") < F.col("gap") - (F.col("done") - F.col("words")))
-    late = inside.where(fits).select("doc_id", "source", "key", F.lit(True).alias("late"))
+    late = inside.where(fits).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"), F.lit(True).alias("late"))
     early = F.col("able") & (F.col("cross").isNull() | (F.col("bin") < F.col("cross")))
-    alike = [c[k].eqNullSafe(late[k]) for k in ("doc_id", "source")] + [c["key"] == late["key"]]
-    out = c.join(late, alike, "left").select(*(c[k] for k in m.columns if k != "taken"), (c["taken"] | early | F.coalesce(late["late"], F.lit(False))).alias("taken"))
+    alike = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k"))
+    out = c.join(late, alike, "left").withColumn("taken", F.col("taken") | F.coalesce(early, F.lit(False)) | F.coalesce("late", F.lit(False)))
     return out.select(m.columns)
 
 
