@@ -7,10 +7,13 @@ doc_id stands for. Two representatives with an equal band are candidates, and a
 100 * |A and B| >= 85 * |A or B| on the full sets. At that similarity a pair misses all bands with a chance of
 (1 - 0.85**4)**20 = 4e-7.
 
-No bucket is expanded into all of its pairs. A round compares chosen centers of every bucket with its other members,
-components are formed, buckets whose members all have one component are done, and a center that has met all others
-leaves its bucket. Centers multiply by four a round, so buckets settle in few rounds, and no candidate pair is left
-out unless its ends already are in one component. Components are as of all links.
+No bucket is expanded into all of its pairs, and no candidate pair is left undecided unless its ends already share a
+component. Each bucket has a center z, the member that shares most buckets, and every member is compared with it.
+Let D(x) be the symmetric difference of the sets of x and z. Two members m and c that are linked although m is not
+linked to z must have more than (|D(c)| - t (|c| - |z|)) / 2 elements of D(m) and D(c) in common, t = 3 / 37: from
+|m ^ c| = |D(m)| + |D(c)| - 2 |D(m) & D(c)| <= t (|m| + |c|) and |D(m)| > t (|m| + |z|). So D(m) meets the first
+|D(c)| - that + 1 elements of D(c) in any fixed order; those that z does not have come first, as edits make them
+rare. An equi-join on (z, element) finds these pairs, and only where z's members have several components.
 
 Nulls: a null text is empty, linked with nothing and its own component; a null doc_id has a null component unless
 its class has another. Repeated rows of one document are one node. Rows that share a doc_id with different texts are
@@ -105,24 +108,28 @@ def sign(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, SIGNED)
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with both texts; rows of one ``a`` stand together in a task."""
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the full shingle sets link."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """(a, b, linked) for pairs (a, b), from the full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
-            a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            a, out = batch.column("a").to_pylist(), []
             for i in range(len(a)):
-                if a[i] != last:  # rows of one center stand together after the join
+                if a[i] != last:
                     last, own = a[i], _set(batch.column("text_a")[i].as_py())
                 other = _set(batch.column("text_b")[i].as_py())
                 common = len(own & other)
-                if other and 100 * common >= SHARE * (len(own) + len(other) - common):
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(out, pa.int64())), batch.column("b").take(pa.array(out, pa.int64()))], ["a", "b"])
+                out.append(bool(other) and 100 * common >= SHARE * (len(own) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def _set(text: str) -> set:
@@ -130,50 +137,68 @@ def _set(text: str) -> set:
     return set(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)) if len(w) >= WIDTH else {tuple(w)} if w else set()
 
 
-def _centers(live: DataFrame, slots: int, salt: int) -> DataFrame:
-    """Per bucket and slot one center: of the smallest component there, the member that shares most buckets."""
-    keyed = live.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(slots)))
-    best = F.struct(-F.col("size"), F.col("degree"), -F.col("node"))
-    return keyed.groupBy("bucket", "slot").agg(F.max_by(F.struct("node", "label", "n"), best).alias("c")).select("bucket", F.col("c.node").alias("center"), F.col("c.label").alias("center_label"), F.col("c.n").alias("center_n"))
+def _deltas(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(z, element, node, probe) from pairs (a = z, b = node, apart): what a node's set and z's do not share.
+
+    Index rows hold the prefix of each difference; a node apart from z also gets a probe row per element.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            z, nodes = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for i, apart in enumerate(batch.column("apart").to_pylist()):
+                if z[i] != last:
+                    last, own = z[i], np.unique(shingle_hashes([words_of(batch.column("text_a")[i].as_py())])[0])
+                other = np.unique(shingle_hashes([words_of(batch.column("text_b")[i].as_py())])[0])
+                more, less = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                n = len(more) + len(less)
+                if not n:
+                    continue
+                # more than (n - t (|c| - |z|)) / 2 with t = 3 / 37, in whole numbers
+                need = max(1, (37 * n - 3 * (len(other) - len(own))) // 74 + 1)
+                elements = np.concatenate([more, less])
+                first = elements[: max(0, n - need + 1)]
+                out = np.concatenate([first, elements]) if apart else first
+                probe = np.arange(len(out)) >= len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), z[i], dtype=np.int64)), pa.array(out.view(np.int64)), pa.array(np.full(len(out), nodes[i], dtype=np.int64)), pa.array(probe)], ["z", "element", "node", "probe"])
+
+    return _with_texts(pairs, texts).select("a", "b", "apart", "text_a", "text_b").mapInArrow(run, "z long, element long, node long, probe boolean")
+
+
+def _label(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    return df.join(labels.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
 
 
 def near_duplicate_links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives' components as (node, component), confirmed links (a, b) between representatives)."""
-    spark = signed.sparkSession
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
     rows = signed.select("doc_id", "key_a", "key_b", "n_shingles", "bands").where("n_shingles > 0")
     nodes = rows.join(classes, ["key_a", "key_b"]).where("doc_id = node").dropDuplicates(["node", "key_a", "key_b"])
-    members = materialize(nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
+    members = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "bands")
     crowded = members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     live = materialize(members.join(crowded, "bucket"), "live")
     degree = live.groupBy("node").agg(F.sum("crowd").alias("degree"))
-    live = materialize(live.join(degree, "node").select("bucket", "node", "n", "degree"), "live")
-    wanted = live.select(F.col("node").alias("doc_id")).distinct()
+    # every bucket's center, and its pairs with the other members
+    centers = live.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("z"))
+    star = live.join(centers, "bucket").where("node <> z").select(F.col("z").alias("a"), F.col("node").alias("b"))
+    star = materialize(star.distinct(), "star")
+    wanted = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
-    labels = spark.createDataFrame([], "node long, component long")
-    for step in range(40):
-        now = live.join(labels, "node", "left").select("bucket", "node", "n", "degree", F.coalesce("component", "node").alias("label"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        now = now.join(mixed, "bucket", "left_semi")
-        sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-        now = materialize(now.join(sizes, ["bucket", "label"]), "live")
-        if now.isEmpty():
-            break
-        centers = materialize(_centers(now, 4**min(step, 8), step), "centers")
-        met = now.join(centers, "bucket").where("label <> center_label AND 100 * least(n, center_n) >= 85 * greatest(n, center_n)")
-        # the center stands first in the confirmation, so that its set is made once
-        fresh = met.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = fresh.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        found = materialize(_confirm(fresh, texts), "links")
-        tested, links = tested.union(fresh), links.union(found)
-        labels = connected_components(links)
-        live = now.join(centers.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "degree")
-    else:
-        raise RuntimeError("buckets did not settle")
-    return labels, links
+    links = materialize(_confirm(star, texts).where("linked").select("a", "b").distinct(), "links")
+    labels = connected_components(links)
+    apart = _label(_label(star, labels, "a", "label_a"), labels, "b", "label_b").withColumn("apart", F.col("label_a") != F.col("label_b"))
+    mixed = apart.where("apart").select("a").distinct()
+    todo = materialize(apart.join(mixed, "a", "left_semi").select("a", "b", "apart"), "apart")
+    if todo.isEmpty():
+        return labels, links
+    deltas = materialize(_deltas(todo, texts), "deltas")
+    probe, index = deltas.where("probe").select("z", "element", F.col("node").alias("m")), deltas.where("NOT probe").select("z", "element", F.col("node").alias("c"))
+    met = probe.join(index, ["z", "element"]).where("m <> c").select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b")).distinct()
+    met = _label(_label(met, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").select("a", "b")
+    more = materialize(_confirm(materialize(met, "met"), texts).where("linked").select("a", "b").distinct(), "links")
+    links = links.union(more)
+    return connected_components(links), links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
