@@ -77,8 +77,10 @@ def article_quality(a: DataFrame) -> DataFrame:
 
 
 def final_quality(content: Column, pagerank: Column, links: Column) -> Column:
-    """0.4 content + 0.35 log rank + 0.25 log links, each part at most its weight."""
-    return 0.4 * content + 0.35 * F.least(F.lit(1.0), F.log10(pagerank * 1_000_000 + 1) / 6) + 0.25 * F.least(F.lit(1.0), F.log10(links + 1.0) / 5)
+    """0.4 content + 0.35 log10 rank / 6 + 0.25 log10 links / 5; missing or non-positive parts count 0."""
+    rank = F.when(pagerank > 0, F.log10(pagerank * 1_000_000 + 1) / 6).otherwise(0.0)
+    popular = F.when(links > 0, F.log10(links + 1.0) / 5).otherwise(0.0)
+    return F.coalesce(content, F.lit(0.0)) * 0.4 + rank * 0.35 + popular * 0.25
 
 
 def enrich(pages: DataFrame, key: str, lookups: dict[str, DataFrame]) -> DataFrame:

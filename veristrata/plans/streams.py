@@ -1 +1,87 @@
-"""Queries, see registry."""
+"""Queries over the event table: limits, windows, states, batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import graph as G
+from ..session import table
+from .registry import plan
+
+
+@plan("""SELECT event_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY ts, event_id) <= 3 AS allowed FROM events""")
+def st_fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed windows: a key's first requests of each hour pass (st_cooldown differs in key and width only)."""
+    e = table(spark, sf_dir, "events").withColumn("slot", F.floor(F.unix_micros(F.to_timestamp("ts")) / 3_600_000_000))
+    w = Window.partitionBy("user_id", "slot").orderBy("ts", "event_id")
+    return e.select("event_id", (F.row_number().over(w) <= 3).alias("allowed"))
+
+
+@plan("""SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS worst FROM events""")
+def st_sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.max("value").over(w).alias("worst"))
+
+
+@plan("""SELECT floor(epoch(ts) / 60)::BIGINT AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def st_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters per minute (st_live_log's rates); streaming.windows has the watermark form."""
+    e = table(spark, sf_dir, "events").withColumn("minute", F.floor(F.unix_micros(F.to_timestamp("ts")) / 60_000_000))
+    return e.groupBy("minute", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@plan("""WITH t AS (SELECT user_id, event_id, ts, event_type, event_type IN ('purchase', 'error') AS final FROM events), f AS (SELECT user_id, min(CASE WHEN final THEN (ts, event_id) END) AS stop FROM t GROUP BY user_id),
+kept AS (SELECT t.*, (ts, t.event_id) AS pos FROM t JOIN f USING (user_id) WHERE stop IS NULL OR (ts, t.event_id) <= stop)
+SELECT user_id, arg_max(event_type, pos) AS status, count(*) AS steps, max(CASE WHEN final THEN event_id END) AS done_by FROM kept GROUP BY user_id""")
+def st_job_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's events folded: nothing changes after the first terminal event."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", F.col("event_type").isin("purchase", "error").alias("final")).withColumn("at", F.struct("ts", "event_id"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = e.withColumn("ended", F.coalesce(F.max("final").over(w), F.lit(False))).where("NOT ended")
+    return kept.groupBy("user_id").agg(F.max_by("event_type", "at").alias("status"), F.count("*").alias("steps"), F.max(F.when(F.col("final"), F.col("event_id"))).alias("done_by"))
+
+
+@plan("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def agg_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.last_event(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@plan("""WITH b AS (SELECT user_id AS run, event_id // 10 AS batch, event_type FROM events) SELECT run, count(DISTINCT batch) AS batches, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures FROM b GROUP BY run""")
+def st_batch_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (run, batch) counts once, its attempts are kept."""
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.floor(F.col("event_id") / 10).alias("batch"), "event_type")
+    return b.groupBy("run").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("attempts"), F.count_if(F.col("event_type") == "error").alias("failures"))
+
+
+@plan("""SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 25 AS batch FROM (SELECT * FROM events WHERE event_type = 'signup')""")
+def fn_batching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt into batches of 25 in id order: places from range-sorted partitions, no window over all rows."""
+    from pyspark import StorageLevel
+
+    rows = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    part = rows.withColumn("p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = {r["p"]: r["n"] for r in part.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row per partition
+    first, total = [], 0
+    for p in sorted(sizes):
+        first.append((p, total))
+        total += sizes[p]
+    offsets = rows.sparkSession.createDataFrame(first, "p int, before long")
+    w = Window.partitionBy("p").orderBy("event_id")
+    return part.join(F.broadcast(offsets), "p").select("event_id", F.floor((F.col("before") + F.row_number().over(w) - 1) / 25).alias("batch"))
+
+
+@plan("""SELECT user_id, event_id FROM (SELECT *, max(ts) OVER () AS now FROM events) WHERE ts > now - INTERVAL 1 DAY""")
+def st_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries younger than the time to live, as of the last event (st_trace_ttl)."""
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now")).first()["now"]
+    return e.where(F.col("ts") > F.lit(now) - F.expr("INTERVAL 1 DAY")).select("user_id", "event_id")
+
+
+@plan("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def src_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open JSON as a variant, a field by path (proj_wikidata's way)."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))

@@ -193,3 +193,39 @@ def agg_nli_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").selectExpr("doc_id % 100 AS claim", "doc_id AS ord", "array('support', 'refute', 'neutral')[cast(floor(doc_id / 7) % 3 AS int)] AS label", "(doc_id % 10) / 10D AS supporting", "(doc_id % 7) / 10D AS refuting", "(doc_id % 3) / 10D AS neutral", "(doc_id % 9) / 10D AS confidence", "source AS reasoning")
     v = V.nli_vote(s, ["claim"])
     return v.select("claim", "label", *[F.round(c, 6).alias(c) for c in ("supporting", "refuting", "neutral", "confidence")], "reasoning")
+
+
+_UN = """e AS (SELECT doc_id % 50 AS doc, doc_id AS claim, (doc_id % 7) / 10.0::DOUBLE AS entail, (doc_id % 3) / 10.0::DOUBLE AS contradict, 1 - (doc_id % 7) / 10.0::DOUBLE - (doc_id % 3) / 10.0::DOUBLE AS neutral FROM documents)"""
+
+
+def _scored_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.selectExpr("cast(doc_id % 50 AS string) AS doc", "cast(doc_id AS string) AS claim", "(doc_id % 7) / 10D AS entail", "(doc_id % 3) / 10D AS contradict", "1 - (doc_id % 7) / 10D - (doc_id % 3) / 10D AS neutral")
+
+
+@plan(f"WITH {_UN} SELECT doc::VARCHAR AS doc, round(sum(ln(greatest(contradict + 0.5::DOUBLE * neutral, 0.001::DOUBLE))), 6) AS log_false, round(sum(ln(greatest(entail + 0.5::DOUBLE * neutral, 0.001::DOUBLE))), 6) AS log_true FROM e GROUP BY doc")
+def agg_unary_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import inference as I
+
+    return I.unary_factors(_scored_claims(spark, sf_dir), ["doc"]).select("doc", F.round("log_false", 6).alias("log_false"), F.round("log_true", 6).alias("log_true"))
+
+
+@plan(f"""WITH {_UN} SELECT claim::VARCHAR AS claim, round(ln(greatest(entail + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) * greatest(0, least(1, greatest(entail, contradict) - neutral)), 6) + 0.0 AS log_same, round(ln(greatest(contradict + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) * greatest(0, least(1, greatest(entail, contradict) - neutral)), 6) + 0.0 AS log_other FROM e""")
+def fn_binary_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import inference as I
+
+    return I.binary_factors(_scored_claims(spark, sf_dir)).select("claim", (F.round("log_same", 6) + 0.0).alias("log_same"), (F.round("log_other", 6) + 0.0).alias("log_other"))
+
+
+@plan()
+def gr_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors by belief propagation on each document's claims; neighbours in id order share a factor."""
+    from pyspark.sql.window import Window
+
+    from ..operators import inference as I
+
+    c = _scored_claims(spark, sf_dir)
+    nodes = I.unary_factors(c, ["doc", "claim"])
+    ahead = F.lead("claim").over(Window.partitionBy("doc").orderBy(F.col("claim").cast("long")))
+    pairs = I.binary_factors(c.withColumn("b", ahead).where("b IS NOT NULL")).select("doc", F.col("claim").alias("a"), "b", "log_same", "log_other")
+    return I.infer(nodes, pairs).withColumn("p_true", F.round("p_true", 5)).drop("log_bound")
