@@ -64,9 +64,9 @@ def risk_coverage(df: DataFrame, keys: list[str], confidence: str, correct: str,
 def conformal_quantiles(df: DataFrame, keys: list[str], score: str, alpha: float = 0.1, least: int = 50) -> DataFrame:
     """Score of rank ceil((n + 1)(1 - alpha)), kept within 1..n; null for strata under ``least`` rows."""
     w = Window.partitionBy(*keys)
-    r = df.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(score)))
-    rank = F.least(F.greatest(F.ceil((F.col("n") + 1) * (1 - alpha)), F.lit(1)), F.col("n"))
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when((F.col("k") == rank) & (F.col("n") >= least), F.col(score))).alias("quantile"))
+    r = df.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(score)))
+    rank = F.least(F.greatest(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.lit(1)), F.col("_n"))
+    return r.groupBy(*keys).agg(F.max("_n").alias("n"), F.max(F.when((F.col("_k") == rank) & (F.col("_n") >= least), F.col(score))).alias("quantile"))
 
 
 def conformal_apply(df: DataFrame, quantiles: DataFrame, key: str, p: str = "p", fallback: float = 0.2) -> DataFrame:
