@@ -83,36 +83,37 @@ def enumerate_patterns(lengths: np.ndarray, capacity: int, most: int) -> np.ndar
     return np.concatenate([single, rows[picked]])
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Non-negative least squares: repeat counts x with A x close to the histogram (accelerated projected gradient)."""
+def fit_counts(patterns: np.ndarray, lengths: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Non-negative least squares: repeat counts x with A x close to the histogram, long pieces weighing more.
+
+    Multiplicative updates x <- x * (A'W h) / (A'W A x) keep x non-negative and lower the weighted squared error in
+    every step. The result is then scaled pattern by pattern so that no length is used more often than it occurs.
+    """
     if not len(patterns):
         return np.zeros(0)
-    n, used = len(histogram), patterns >= 0
-    where = np.where(used, patterns, n)
-    # a diagonal bound on the curvature: A'A is dominated by (row sums of A'A)
-    column = np.bincount(where.ravel(), minlength=n + 1).astype(float)
-    column[n] = 0
-    bound = column[where].sum(axis=1) + 1e-9
-    x = np.zeros(len(patterns))
-    y, momentum = x, 1.0
-    target = np.concatenate([histogram.astype(float), [0.0]])
+    n, width = len(histogram), patterns.shape[1]
+    where = np.where(patterns >= 0, patterns, n)
+    weight = np.append((lengths / lengths.max()) ** 2, 0.0)
+    target = np.append(histogram.astype(float), 0.0)
+    aim = (weight * target)[where].sum(axis=1)
+    x = target[np.where(patterns >= 0, patterns, patterns[:, :1])].min(axis=1) * width / len(patterns) + 1e-9
+    made = target
     for _ in range(steps):
-        made = np.bincount(where.ravel(), weights=np.repeat(y, patterns.shape[1]), minlength=n + 1)
-        gap = target - made
-        gap[n] = 0
-        new = np.maximum(0, y + gap[where].sum(axis=1) / bound)
-        after = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
-        y, x, momentum = new + (momentum - 1) / after * (new - x), new, after
-    return x
+        made = np.bincount(where.ravel(), weights=np.repeat(x, width), minlength=n + 1)
+        x = x * aim / np.maximum((weight * made)[where].sum(axis=1), 1e-12)
+    made = np.bincount(where.ravel(), weights=np.repeat(x, width), minlength=n + 1)
+    share = np.minimum(1.0, target / np.maximum(made, 1e-12))
+    share[n] = 1.0
+    return x * share[where].min(axis=1)
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """[(lengths of a pattern, longest first; repeats)] that places every piece of the histogram exactly once."""
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0), dtype=np.int64)
     left = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    most = int(min(MOST_CANDIDATES, max(256, left.sum() // 40)))
+    most = int(min(MOST_CANDIDATES, max(256, left.sum() // 20)))
     patterns = enumerate_patterns(lengths, capacity, most)
-    repeats = np.floor(fit_counts(patterns, left) + 1e-6).astype(np.int64)
+    repeats = np.floor(fit_counts(patterns, lengths, left) + 1e-6).astype(np.int64)
     plan: list[tuple[list[int], int]] = []
     for i in np.argsort(-repeats, kind="stable")[:MOST_PATTERNS]:
         if not repeats[i]:
