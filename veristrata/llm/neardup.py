@@ -13,7 +13,8 @@ Let D(x) be the symmetric difference of the sets of x and z. Two members m and c
 linked to z must have more than (|D(c)| - t (|c| - |z|)) / 2 elements of D(m) and D(c) in common, t = 3 / 37: from
 |m ^ c| = |D(m)| + |D(c)| - 2 |D(m) & D(c)| <= t (|m| + |c|) and |D(m)| > t (|m| + |z|). So D(m) meets the first
 |D(c)| - that + 1 elements of D(c) in any fixed order; those that z does not have come first, as edits make them
-rare. An equi-join on (z, element) finds these pairs, and only where z's members have several components.
+rare. An equi-join on (z, element) finds these pairs, and only where z's members have several components. Within it
+a positional filter drops pairs whose differences have too few elements left after the shared one.
 
 Nulls: a null text is empty, linked with nothing and its own component; a null doc_id has a null component unless
 its class has another. Repeated rows of one document are one node. Rows that share a doc_id with different texts are
@@ -138,15 +139,17 @@ def _set(text: str) -> set:
 
 
 def _deltas(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(z, element, node, probe) from pairs (a = z, b = node, apart): what a node's set and z's do not share.
+    """(z, element, node, label, probe, after, d, size) from pairs (a = z, b = node, label, apart).
 
-    Index rows hold the prefix of each difference; a node apart from z also gets a probe row per element.
+    The elements that a node's set and z's do not share, with the number of elements after each in the order, the
+    size of the difference and of the node's set. Index rows hold the prefix of each difference; a node apart from z
+    also gets a probe row per element.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            z, nodes = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            z, nodes, labels = (batch.column(c).to_pylist() for c in ("a", "b", "label"))
             for i, apart in enumerate(batch.column("apart").to_pylist()):
                 if z[i] != last:
                     last, own = z[i], np.unique(shingle_hashes([words_of(batch.column("text_a")[i].as_py())])[0])
@@ -158,12 +161,18 @@ def _deltas(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 # more than (n - t (|c| - |z|)) / 2 with t = 3 / 37, in whole numbers
                 need = max(1, (37 * n - 3 * (len(other) - len(own))) // 74 + 1)
                 elements = np.concatenate([more, less])
-                first = elements[: max(0, n - need + 1)]
-                out = np.concatenate([first, elements]) if apart else first
-                probe = np.arange(len(out)) >= len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), z[i], dtype=np.int64)), pa.array(out.view(np.int64)), pa.array(np.full(len(out), nodes[i], dtype=np.int64)), pa.array(probe)], ["z", "element", "node", "probe"])
+                at = np.arange(n)
+                where = np.concatenate([at[: max(0, n - need + 1)], at]) if apart else at[: max(0, n - need + 1)]
+                same = lambda v: pa.array(np.full(len(where), v, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(z[i]), pa.array(elements[where].view(np.int64)), same(nodes[i]), same(labels[i]), pa.array(np.arange(len(where)) >= n - need + 1), pa.array(n - 1 - where), same(n), same(len(other))], _DELTA_NAMES)
 
-    return _with_texts(pairs, texts).select("a", "b", "apart", "text_a", "text_b").mapInArrow(run, "z long, element long, node long, probe boolean")
+    return _with_texts(pairs, texts).select("a", "b", "label", "apart", "text_a", "text_b").mapInArrow(run, _DELTAS)
+
+
+_DELTAS = "z long, element long, node long, label long, probe boolean, after long, d long, size long"
+_DELTA_NAMES = ["z", "element", "node", "label", "probe", "after", "d", "size"]
+#: Ids (8 bytes) up to which the documents to compare are told to all tasks; more are joined by a shuffle.
+MOST_TOLD = 2_000_000
 
 
 def _label(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
@@ -184,18 +193,23 @@ def near_duplicate_links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame,
     star = live.join(centers, "bucket").where("node <> z").select(F.col("z").alias("a"), F.col("node").alias("b"))
     star = materialize(star.distinct(), "star")
     wanted = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
+    wanted = materialize(wanted, "wanted")
+    told = F.broadcast(wanted) if wanted.count() <= MOST_TOLD else wanted
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(told, "doc_id", "left_semi"), "texts")
     links = materialize(_confirm(star, texts).where("linked").select("a", "b").distinct(), "links")
     labels = connected_components(links)
     apart = _label(_label(star, labels, "a", "label_a"), labels, "b", "label_b").withColumn("apart", F.col("label_a") != F.col("label_b"))
     mixed = apart.where("apart").select("a").distinct()
-    todo = materialize(apart.join(mixed, "a", "left_semi").select("a", "b", "apart"), "apart")
+    todo = materialize(apart.join(mixed, "a", "left_semi").select("a", "b", F.col("label_b").alias("label"), "apart"), "apart")
     if todo.isEmpty():
         return labels, links
     deltas = materialize(_deltas(todo, texts), "deltas")
-    probe, index = deltas.where("probe").select("z", "element", F.col("node").alias("m")), deltas.where("NOT probe").select("z", "element", F.col("node").alias("c"))
-    met = probe.join(index, ["z", "element"]).where("m <> c").select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b")).distinct()
-    met = _label(_label(met, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").select("a", "b")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "after", "d", "size")] + ["z", "element"]
+    probe, index = deltas.where("probe").select(*side("m")), deltas.where("NOT probe").select(*side("c"))
+    # 2 |D(m) & D(c)| >= d_m + d_c - t (|m| + |c|), and after the first shared element there are at most as many more
+    enough = F.expr("74 * (1 + least(after_m, after_c)) >= 37 * (d_m + d_c) - 3 * (size_m + size_c)")
+    alike = [probe["z"] == index["z"], probe["element"] == index["element"], F.col("label_m") != F.col("label_c"), enough]
+    met = probe.join(index, alike).select(F.least("node_m", "node_c").alias("a"), F.greatest("node_m", "node_c").alias("b")).distinct()
     more = materialize(_confirm(materialize(met, "met"), texts).where("linked").select("a", "b").distinct(), "links")
     links = links.union(more)
     return connected_components(links), links
