@@ -64,39 +64,68 @@ def decide(docs: DataFrame, weight: str | None = None, weights: tuple[int, ...]
     own = F.col(weight).cast("double") if weight else F.lit(1.0)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key_of().alias("key"), size_of().alias("size"), own.alias("weight"))
     units = materialize(d.groupBy("doc_id", "source", "key").agg(F.max("size").alias("size"), F.count("*").alias("rows"), F.max("weight").alias("weight")), "sizes")
-    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), (F.sum(F.col("weight") * F.col("size") * F.col("rows")) / F.sum(F.col("size") * F.col("rows"))).alias("mean_weight"))
+    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.try_divide(F.sum(F.col("weight") * F.col("size") * F.col("rows")), F.sum(F.col("size") * F.col("rows"))).alias("mean_weight"))
     plan = targets(sums.select("source", "source_size"), weights, most)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "key", F.lit("mix")), 11).cast("double") + 0.5) / float(1 << 53)
     m = _source_join(_source_join(units, plan), sums.select("source", "mean_weight"))
-    m = m.withColumn("expected", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * F.col("weight") / F.coalesce(F.nullif(F.col("mean_weight"), F.lit(0.0)), F.lit(1.0)), F.lit(float(most)))).otherwise(0.0))
+    m = m.withColumn("expected", F.coalesce(F.least(F.try_divide("target", "source_size") * F.coalesce(F.try_divide("weight", "mean_weight"), F.lit(1.0)), F.lit(float(most))), F.lit(0.0)))
     m = m.withColumn("certain", F.floor(F.col("expected") + 1e-9)).withColumn("p", F.greatest(F.col("expected") - F.col("certain"), F.lit(0.0)))
     odds = F.when(F.col("p") > 1e-12, u / (1 - u) * (1 - F.col("p")) / F.col("p"))
     m = m.withColumn("place", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("place") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    m = materialize(m.select("doc_id", "source", "key", "size", "rows", "source_size", "target", "certain", "place", "bin", (F.col("size") * F.col("rows")).alias("words"), F.lit(False).alias("taken")), "ranked")
-    for _ in range(FILLS + 1):
-        m = materialize(_take(m), "taken")
-    return m.select("doc_id", "source", "key", "size", "rows", "source_size", "target", (F.col("certain") + F.col("taken").cast("long")).alias("copies"))
-
-
-def _take(m: DataFrame) -> DataFrame:
-    """Take, of the documents that fit into what a source's words still lack, as many in their order as go in."""
-    gaps = m.groupBy("source").agg((F.max("target") - F.sum(F.col("words") * (F.col("certain") + F.col("taken").cast("long")))).alias("gap"))
-    c = _source_join(m, gaps)
-    able = ~F.col("taken") & F.col("place").isNotNull() & (F.col("words") > 0) & (F.col("gap") > 0)
-    c = c.withColumn("able", able & (F.col("words") <= F.col("gap")))
-    bins = c.where("able").groupBy("source", "bin").agg(F.sum("words").alias("in_bin"), F.max("gap").alias("gap"))
-    up_to = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin"))
-    cross = bins.withColumn("reach", up_to).where("reach > gap").groupBy("source").agg(F.min("bin").alias("cross"), F.min_by(F.col("reach") - F.col("in_bin"), "bin").alias("before"))
-    c = _source_join(c, cross)
-    inside = c.where("able AND bin = cross").select("doc_id", "source", "key", "words", "place", "gap", "before")
-    order = Window.partitionBy("source").orderBy("place", "doc_id", "key")
-    inside = inside.withColumn("done", F.col("before") + F.sum("words").over(order))
-    fits = F.col("done") <= F.col("gap")
-    late = inside.where(fits).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"), F.lit(True).alias("late"))
-    early = F.col("able") & (F.col("cross").isNull() | (F.col("bin") < F.col("cross")))
+    m = materialize(m.select("doc_id", "source", "key", "size", "rows", "source_size", "target", "certain", "place", "bin", (F.col("size") * F.col("rows")).alias("words")), "ranked")
+    gaps = m.groupBy("source").agg((F.max("target") - F.sum(F.col("words") * F.col("certain"))).alias("gap"))
+    cuts, late = _cut(m.where(_OPEN), materialize(gaps, "gaps"))
+    # what is taken before a source's crossing bin stays a condition on the bin; all else is a short list
+    taken, left = late, _left(cuts)
+    rest = _source_join(m.where(_OPEN), cuts.withColumnRenamed("gap", "_gap")).where(f"NOT {_EARLY.replace('gap', '_gap')}").select(m.columns)
+    for _ in range(FILLS):
+        more, late = _cut(_without(rest, taken), left)
+        few = _source_join(_without(rest, taken), more).where(_EARLY).select("doc_id", "source", "key", "words").union(late.select("doc_id", "source", "key", "words"))
+        taken, left = materialize(taken.union(few), "taken"), _left(more)
+    out = _without(_source_join(m, cuts), taken, mark=True)
+    sampled = F.coalesce(F.expr(f"({_OPEN}) AND {_EARLY}"), F.lit(False)) | F.col("listed")
+    return out.select("doc_id", "source", "key", "size", "rows", "source_size", "target", (F.col("certain") + sampled.cast("long")).alias("copies"))
+
+
+_OPEN = "place IS NOT NULL AND words > 0"
+#: Taken without a look at the order within a bin: the document fits, and its bin is before the source's crossing bin.
+_EARLY = "(gap > 0 AND words <= gap AND (cross IS NULL OR bin < cross))"
+
+
+def _without(rows: DataFrame, listed: DataFrame, mark: bool = False) -> DataFrame:
+    """Rows that are not in a list of (doc_id, source, key), or all rows with a mark ``listed``."""
+    few = listed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"))
     alike = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k"))
-    out = c.join(late, alike, "left").withColumn("taken", F.col("taken") | F.coalesce(early, F.lit(False)) | F.coalesce("late", F.lit(False)))
-    return out.select(m.columns)
+    if not mark:
+        return rows.join(few, alike, "left_anti")
+    return rows.join(few.withColumn("_in", F.lit(True)), alike, "left").withColumn("listed", F.coalesce("_in", F.lit(False)))
+
+
+def _cut(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each source's documents, of those that fit into its gap and in their order, fill it up.
+
+    (source, gap, cross, before, late_words) with the crossing bin, or null if all fit, and the words of the bins
+    before it; and the documents of the crossing bins that still go in.
+    """
+    c = _source_join(rows, gaps).where("gap > 0 AND words <= gap")
+    bins = c.groupBy("source", "bin").agg(F.sum("words").alias("in_bin"), F.max("gap").alias("gap"))
+    reach = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin"))
+    cuts = bins.withColumn("reach", reach).groupBy("source").agg(
+        F.max("gap").alias("gap"),
+        F.min(F.when(F.col("reach") > F.col("gap"), F.col("bin"))).alias("cross"),
+        F.coalesce(F.max(F.when(F.col("reach") <= F.col("gap"), F.col("reach"))), F.lit(0)).alias("before"),
+    )
+    cuts = materialize(cuts, "cuts")
+    inside = _source_join(rows, cuts).where("gap > 0 AND words <= gap AND bin = cross")
+    order = Window.partitionBy("source").orderBy("place", "doc_id", "key")
+    late = inside.withColumn("done", F.col("before") + F.sum("words").over(order)).where("done <= gap")
+    late = materialize(late.select("doc_id", "source", "key", "words"), "late")
+    sums = late.groupBy("source").agg(F.sum("words").alias("late_words"))
+    return _source_join(cuts, sums), late
+
+
+def _left(cuts: DataFrame) -> DataFrame:
+    return cuts.select("source", (F.col("gap") - F.col("before") - F.coalesce("late_words", F.lit(0))).alias("gap"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
