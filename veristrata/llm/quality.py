@@ -39,8 +39,10 @@ def _share(part: Column, whole: Column) -> Column:
 
 def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, lang, the base counts and the metrics of the other rules; ``carry`` keeps each whole row in _row."""
-    # a filter on the results must stay above them: pushed down, it would repeat their expressions within lambdas
-    rest = [F.struct(*docs.columns).alias("_row"), (F.spark_partition_id() >= 0).alias("_here")] if carry else []
+    rest = [F.struct(*docs.columns).alias("_row")] if carry else []
+    # a filter on the results must stay above them: pushed down, it would repeat their expressions within lambdas;
+    # it is not pushed below a column that is not deterministic
+    here = [(F.spark_partition_id() >= 0).alias("_here")] if carry else []
     d = docs.select(*rest, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
     d = d.withColumn("trimmed", F.regexp_replace("text", f"^[{SPACE}]+|[{SPACE}]+$", ""))
     d = d.withColumn("words", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", f"[{SPACE}]+")))
@@ -59,7 +61,7 @@ def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
     )
     d = d.withColumn("lines", F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^{SPACE.replace(chr(92), chr(92) * 2)}]')"))
     return d.select(
-        *(["_row", "_here"] if carry else []),
+        *(["_row"] if carry else []),
         "doc_id",
         "lang",
         F.col("n").cast("long").alias("n_words"),
@@ -72,6 +74,7 @@ def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^!]+", "")).cast("long").alias("n_shouts"),
     ).select(
         "*",
+        *here,
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
         _share(F.col("n_symbols"), F.col("n_words")).alias("symbols"),
         _share(F.col("n_repeat_words"), F.col("n_words")).alias("repeats"),
