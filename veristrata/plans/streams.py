@@ -19,10 +19,11 @@ def st_fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", (F.row_number().over(w) <= 3).alias("allowed"))
 
 
-@plan("""SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS worst FROM events""")
+@plan("""SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 2) AS total, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS worst FROM events""")
 def st_sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum, number and worst of each kind's last 100 samples; their quotient is the sliding mean."""
     w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.max("value").over(w).alias("worst"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("total"), F.count("*").over(w).alias("n"), F.max("value").over(w).alias("worst"))
 
 
 @plan("""SELECT floor(epoch(ts) / 60)::BIGINT AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
