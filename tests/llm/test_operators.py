@@ -356,6 +356,18 @@ def test_fingerprints_do_not_depend_on_offset():
     assert (alone == a).all() and fingerprints.likeness(a, a) == 1.0
 
 
+def test_fingerprints_do_not_depend_on_the_texts_beside(spark):
+    rng = random.Random(9)
+    texts = ["a", "aaaa", "ab", "é", *[words(rng, n) for n in range(1, 60)]]
+    long = words(rng, 20_000)
+    together = fingerprints.sketches([*texts, "", long])
+    for i, t in enumerate(texts):
+        assert (fingerprints.sketches([t])[0] == together[i]).all()
+    a, b = (spark.createDataFrame([(1, t, "en", "s", 0), (0, t, "en", "s", 0)], DOCS).coalesce(1) for t in (texts[-1], long))
+    both = fingerprints.compare_with_next(a.union(b.selectExpr("doc_id + 2 AS doc_id", "text", "lang", "source", "n_chars")))
+    assert {r["fingerprint"] for r in both.where("doc_id < 2").collect()} == {r["fingerprint"] for r in fingerprints.compare_with_next(a).collect()}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     rows = [(i, words(rng, 40) + (" you horrid " * 2 if i % 4 == 0 else ""), "en", "s", 0) for i in range(400)]

@@ -105,13 +105,12 @@ def sketches(texts: list[str]) -> np.ndarray:
         key = owner * BINS + (h & np.uint64(BINS - 1)).astype(np.int64)
         np.minimum.at(out.reshape(-1), key, (h >> np.uint64(32)).astype(np.int64))
 
+    # every text goes through all levels, so its names do not depend on the texts beside it
     for level in range(1, LEVELS + 1):
         symbols, first = _level(symbols, first)
         owner = some[np.cumsum(first) - 1]
         if level in SKETCHED:
             note(symbols, owner)
-        if len(symbols) == len(some):
-            break
     # what is left of a text at the last level stands for the whole
     starts = np.flatnonzero(first)
     weights = _powers(int(np.diff(np.append(starts, len(symbols))).max()) + 1)
