@@ -213,6 +213,16 @@ def test_certified_cutoffs_limit_false_rejections(spark):
     assert quality.certified_cutoffs(f, labels.where("doc_id < 50")).count() == 0
 
 
+def test_joint_steps_certify_small_strata(spark):
+    rows = [(i, lang, i % 330 >= 300) for j, (lang, n) in enumerate([("de", 330), ("en", 330), ("es", 330), ("fr", 200)]) for i in range(330 * j, 330 * j + n)]
+    f = spark.createDataFrame(rows, "doc_id long, lang string, bad boolean").withColumn("base_failed", F.lit(False))
+    f = f.select("*", F.when(F.col("bad"), 900).otherwise(F.col("doc_id") % 60).alias("symbols"), *[F.lit(0).alias(r) for r in ("repeats", "dup_lines", "capitals", "shouts")])
+    cuts = {r["lang"]: r for r in quality.certified_cutoffs(f, f.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))).collect()}
+    assert set(cuts) == {"de", "en", "es"} and all(60 <= r["cut_symbols"] < 900 and r["cut_repeats"] is None for r in cuts.values())
+    kept = quality.judge(f, quality.certified_cutoffs(f, f.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality")))).where("kept")
+    assert kept.where("bad").count() == 0 and kept.count() == 1100
+
+
 def test_keep_good_keeps_columns(spark, docs):
     labels = spark.createDataFrame([(5, 1), (5, None), (None, 0)], "doc_id long, quality int")
     kept = quality.keep_good(docs.withColumn("n_words", F.lit("clash")), labels)

@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs are certified on labelled holdouts. DataFrame functions only.
 
 Base rules: fewer than 50 words, or more than half of the words in repeated 3-word windows. The other rules compare
-a ratio with a cutoff. A cutoff is used in a stratum (language) only if the exact binomial test on that stratum's
-labelled good documents certifies that it rejects at most ``ALPHA / number of rules`` of them, at confidence
-``1 - DELTA`` over all strata, rules and cutoffs tried together (Bonferroni). Of the certified cutoffs of a rule the
-one that rejects most labelled bad documents is taken, the mildest on ties; one that rejects none is not used.
+a ratio with a cutoff. Cutoffs are used in a stratum (language) only if the exact binomial test on that stratum's
+labelled good documents certifies that all of them together reject at most ``ALPHA`` of them, at confidence
+``1 - DELTA`` over all strata. Two ways share ``DELTA`` evenly: joint steps, which take a cutoff of every rule and are
+tested in fixed sequence, mildest first, each at the whole ``ALPHA``; and single cutoffs, each at ``ALPHA / number of
+rules``, Bonferroni over rules and cutoffs. The joint way needs some 250 labelled good documents in four languages, the
+single one some 2,000, but then has a cutoff of its own for each rule. In a stratum the way that rejects more labelled
+bad documents is taken; within a way the mildest of those that reject most; a rule that rejects none is not used.
 Strata with too few labels get the base rules only.
 
 Nulls: a null text has no words and fails; a null lang is a stratum of its own; a null doc_id stays and has no label.
@@ -29,6 +32,8 @@ CUTOFFS = {
     "capitals": (150, 250, 350, 450, 550, 700, 850),
     "shouts": (50, 100, 200, 400, 600, 800, 950),
 }
+#: Joint steps, strictest first: one cutoff of every rule.
+STEPS = [dict(zip(CUTOFFS, cuts, strict=True)) for cuts in zip(*CUTOFFS.values(), strict=True)]
 MOST_STRATA = 5000
 _SMALL = 64  # distinct repeated windows up to which a scan of them is cheaper than sorting structs
 
@@ -96,23 +101,43 @@ def log_binomial_tail(n: str, k: str, p: float) -> Column:
     )
 
 
+def _beyond(cuts: dict[str, Column]) -> Column:
+    """True if any rule's metric is above its cutoff; a null cutoff rejects nothing."""
+    out = F.lit(False)
+    for r, c in cuts.items():
+        out |= F.coalesce(F.col(r) > c, F.lit(False))
+    return out
+
+
 def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(lang, one cutoff or null per rule): one row per stratum with labels."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = features.where(~F.col("base_failed")).join(marks, "doc_id")
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     tries = [(r, c) for r, cuts in CUTOFFS.items() for c in cuts]
-    counts = [F.sum(F.when(kind & (F.col(r) > c), 1).otherwise(0)).alias(f"{name}_{r}_{c}") for r, c in tries for name, kind in (("good", good), ("bad", bad))]
+    tested = {f"{r}_{c}": F.col(r) > c for r, c in tries} | {f"step_{i}": _beyond({r: F.lit(c) for r, c in step.items()}) for i, step in enumerate(STEPS)}
+    counts = [F.sum(F.when(kind & test, 1).otherwise(0)).alias(f"{name}_{key}") for key, test in tested.items() for name, kind in (("good", good), ("bad", bad))]
     strata = known.groupBy("lang").agg(F.sum(F.when(good, 1).otherwise(0)).alias("n"), *counts)
+    n_strata = known.select("lang").distinct().select(F.greatest(F.count("*"), F.lit(1)).alias("strata")).first()[0]
+    share = delta / (2 * n_strata)  # of delta, for one way in one stratum
+
+    def sure(tested: DataFrame, p: float, level: float) -> DataFrame:
+        tested = tested.where(f"k <= n * {p} AND caught > 0").withColumn("log_tail", log_binomial_tail("n", "k", p))
+        return tested.where(F.col("log_tail") <= F.log(F.lit(level)))
+
     rows = ", ".join(f"'{r}', {c}, good_{r}_{c}, bad_{r}_{c}" for r, c in tries)
-    tested = strata.selectExpr("lang", "n", f"stack({len(tries)}, {rows}) AS (rule, cutoff, k, caught)")
-    p = alpha / len(CUTOFFS)
-    n_tests = known.select("lang").distinct().select(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
-    tested = tested.where(f"k <= n * {p} AND caught > 0").withColumn("log_tail", log_binomial_tail("n", "k", p))
-    strata_count = n_tests.first()[0]
-    sure = tested.where(F.col("log_tail") <= F.log(F.lit(delta / (strata_count * len(tries)))))
-    best = [F.max_by(F.col("cutoff"), F.when(F.col("rule") == r, F.struct("caught", "cutoff"))).alias(f"cut_{r}") for r in CUTOFFS]
-    return sure.groupBy("lang").agg(*best)
+    single = sure(strata.selectExpr("lang", "n", f"stack({len(tries)}, {rows}) AS (rule, cutoff, k, caught)"), alpha / len(CUTOFFS), share / len(tries))
+    single = single.groupBy("lang").agg(*[F.max_by(F.col("cutoff"), F.when(F.col("rule") == r, F.struct("caught", "cutoff"))).alias(f"cut_{r}") for r in CUTOFFS])
+    caught = F.sum(F.when(bad & _beyond({r: F.col(f"cut_{r}") for r in CUTOFFS}), 1).otherwise(0))
+    single = single.join(known.join(single, "lang").groupBy("lang").agg(caught.alias("caught")), "lang")
+    # a milder step rejects fewer, so its test is passed whenever a stricter step's is: the sequence has no gaps
+    steps = [F.struct(F.lit(i).alias("step"), F.col(f"good_step_{i}").alias("k"), F.col(f"bad_step_{i}").alias("caught"), *[F.when(F.col(f"bad_{r}_{step[r]}") > 0, F.lit(step[r])).alias(f"cut_{r}") for r in CUTOFFS]) for i, step in enumerate(STEPS)]
+    joint = sure(strata.select("lang", "n", F.explode(F.array(*steps)).alias("s")).select("lang", "n", "s.*"), alpha, share)
+    names = ["caught", *(f"cut_{r}" for r in CUTOFFS)]
+    joint = joint.groupBy("lang").agg(F.max_by(F.struct(*names), F.struct("caught", "step")).alias("joint"))
+    both = single.select("lang", F.struct(*names).alias("single")).join(joint, "lang", "full")
+    better = F.coalesce(F.col("joint.caught"), F.lit(0)) > F.coalesce(F.col("single.caught"), F.lit(0))
+    return both.select("lang", *[F.when(better, F.col(f"joint.{c}")).otherwise(F.col(f"single.{c}")).alias(c) for c in names[1:]])
 
 
 def rejects(cutoffs: DataFrame) -> Column:
