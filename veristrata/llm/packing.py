@@ -38,9 +38,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     """(doc_id, piece, start, length, ids_crc32): the pieces of every whole text, end id included."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts = encoder(tokenizer, spaced).encode(batch.column("text").to_pylist())
-        ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-        counts = counts + 1
+        ids, counts = encoder(tokenizer, spaced).encode(batch.column("text").to_pylist(), end_id)
+        ids = ids.astype("<u4")
         n = -(-counts // capacity)
         row = np.repeat(np.arange(len(counts)), n)
         piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

@@ -36,14 +36,18 @@ def quantize(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
 def encode(ids: np.ndarray) -> bytes:
     """One frame. Empty input gives a frame without blocks."""
     n = len(ids)
-    symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True) if n else (ids, ids, ids)
     if not n:
         return struct.pack(_HEAD, MAGIC, VERSION, LANES, BLOCK, 0, 0, 0)
+    counts = np.bincount(ids)  # ids come from a vocabulary, so the table of counts is short
+    symbols = np.flatnonzero(counts)
+    rank = np.zeros(len(counts), dtype=np.int32)
+    rank[symbols] = np.arange(len(symbols), dtype=np.int32)
+    counts, dense = counts[symbols], rank[ids]
     freq = quantize(counts)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     freq = freq.astype(np.uint64)
     blocks, steps = -(-n // BLOCK), BLOCK // LANES
-    padded = np.full(blocks * BLOCK, -1, dtype=np.int64)
+    padded = np.full(blocks * BLOCK, -1, dtype=np.int32)
     padded[:n] = dense
     table = padded.reshape(blocks, steps, LANES)
     state = np.full((blocks, LANES), LOW, dtype=np.uint64)

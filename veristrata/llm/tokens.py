@@ -2,11 +2,13 @@
 
 ``write_token_files`` deals documents by ranges of doc_id, sorts each range and encodes its texts; every Parquet row
 of the files is one frame: consecutive documents of about ``FRAME`` ids with one static frequency table that all of
-the frame's independent interleaved blocks share (see ``rans``). A frame needs nothing but itself to be decoded, so
-readers may split files as they like; ``part`` and ``before`` give its place. Texts are read once.
+the frame's independent interleaved blocks (some 256) share (see ``rans``). A frame needs nothing but itself to be
+decoded, so readers may split files as they like; ``part`` and ``before`` give its place. Texts are read once.
 
-Nulls: a null text is empty, a null doc_id sorts first and is kept. Empty texts have the end id only. Repeated rows
-are all kept. An empty table gives an empty result. Extra columns are ignored.
+Nulls: a null text is empty, a null doc_id sorts first and is kept. Empty texts have the end id only. A very long text
+is encoded whole; a frame ends with the document that fills it, so a long document makes a long frame. Repeated rows
+are all kept; rows that share a doc_id are ordered by a hash of their text, so reruns agree. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import rans
 from .common import documents, shared_path, slices, text_of
 from .tokenizing import encoder
 
-FRAME = 1 << 20
+FRAME = 1 << 22
 FRAME_SCHEMA = "part int, frame int, before long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -47,18 +49,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, spaced: bool,
             return row
 
         for batch in slices(batches):
-            got, counts = enc.encode(batch.column("text").to_pylist())
-            ends = np.cumsum(counts)
-            got = np.insert(got, ends, end_id)
-            ids.append(got.astype(np.uint32))
+            got, counts = enc.encode(batch.column("text").to_pylist(), end_id)
+            ids.append(got)
             names += batch.column("doc_id").to_pylist()
-            lengths += (counts + 1).tolist()
+            lengths += counts.tolist()
             if sum(map(len, ids)) >= frame_ids:
                 yield close()
         if names:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, FRAME_SCHEMA).write.mode("overwrite").parquet(path)
 
 
