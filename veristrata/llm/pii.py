@@ -1,15 +1,24 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds spans.
 
-Base spans come from four patterns. The field's nodes are the tokens of a text that hold '@' or at least four digits.
-Neighbouring tokens share chain potentials; tokens with the same digits (six or more) or the same address share skip
-potentials however far apart they are, each with the one before it and with the first, so edges grow with the number
-of nodes. Tokens inside base spans are clamped to their kind; damped loopy belief propagation carries that evidence
-along the edges, and an unclamped token that a skip path ties to evidence becomes a span if its kind has a marginal
-of at least ``SURE``. Weights of the token shapes and of the chain are learned on at most ``MOST_EXAMPLES`` documents
-(smallest hash of doc_id), with the base spans as labels.
-
-Nulls: a null text is empty; null ids are kept. Empty tables give empty results; repeated rows are searched alike;
-extra columns are ignored. Offsets are code points, ends exclusive.
+Base spans come from four patterns. The field runs on every text with candidate tokens: runs without white space or
+brackets that hold '@' or at least three digits. Its nodes are these tokens, its labels the four kinds and none.
+Tokens side by side (up to three separators apart) share chain potentials; however far apart they stand, tokens with
+the same digits (six or more) or address share "equal" potentials, and tokens with the same last seven digits or the
+same name before '@' share "similar" ones, each with the one before it and with the first of its group, so edges grow
+with the number of nodes. A token inside a base span takes the digits of the whole span, so that a number written in
+groups meets its repeats in other forms. Tokens in base spans are clamped to their kind; damped loopy belief
+propagation carries that along the edges, and an unclamped token whose marginal of a kind is at least ``SURE`` becomes
+a span, together with the tokens of its kind beside it.
+
+All weights (token shapes, chain, equal, similar) maximize the pseudo-likelihood of the labels that the base patterns
+give, over all documents: one count per configuration of a token and its neighbours, at most N_SHAPES * 6**4 * 5 rows,
+is all that the driver gets. A configuration weighs by the logarithm of its count, so that a corpus of any size leaves
+the prior its say. Tokens tied to evidence that the patterns do not match count as unlabelled.
+
+Nulls: a null text is empty and has no span; null ids are kept. Empty tables give empty results and the prior's
+weights; repeated rows are searched alike; extra columns are ignored by ``find`` and kept by ``redact``. Very long texts
+are searched whole; patterns take time in proportion to the text, and the propagation works in blocks of edges. Ties
+of marginals go to the kind first in KINDS. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -18,7 +27,6 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +34,21 @@ from pyspark.sql import functions as F
 from .common import arrow_map, documents, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_EXAMPLES = 4_000
-SURE, SAME, ROUNDS, DAMPING = 0.9, 4.0, 12, 0.3
-N_SHAPES = 64
+SURE, ROUNDS, DAMPING = 0.9, 12, 0.3
+N_SHAPES, N_LABELS, NONE = 96, 5, 5  # label 0: no personal data, else kind + 1; NONE: no such neighbour
+#: Prior means of the weights: no personal data, and what equal and similar tokens share. Learned counts move them.
+NOTHING, SAME = 3.0, {"equal": 12.0, "similar": 12.0}
+#: Edges that one step of the propagation works on at a time.
+BLOCK = 1 << 16
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-_gap = re.compile(r"[\s,;:!?()\[\]<>\"']+")
+_break = frozenset(" \t\n\r\x0b\x0c,;:!?()[]<>\"'\u00a0")
+_mark = re.compile(r"[0-9@][^\s,;:!?()\[\]<>\"']*")
+_beside = re.compile(r"[ ().-]{1,3}")
 
 
 def luhn(digits: str) -> bool:
@@ -77,134 +90,219 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _tokens(text: str) -> list[tuple[int, int]]:
-    """Candidate tokens: runs without white space or brackets that hold '@' or four digits."""
-    out, at = [], 0
-    for m in _gap.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    return [(a, b) for a, b in out if "@" in (t := text[a:b]) or sum("0" <= c <= "9" for c in t) >= 4]
+    """Candidate tokens: runs without white space or brackets that hold '@' or three digits."""
+    out, end = [], 0
+    for m in _mark.finditer(text):
+        a, b = m.span()
+        while a > end and text[a - 1] not in _break and not text[a - 1].isspace():
+            a -= 1
+        end = b
+        t = m[0]
+        if "@" in t or len(t) - len(t.translate(_NO_DIGITS)) >= 3:
+            out.append((a, b))
+    return out
+
+
+_NO_DIGITS = {c: None for c in range(48, 58)}
+_ONLY_DIGITS = re.compile(r"[^0-9]+")
 
 
 def _shape(token: str, before: str) -> int:
-    digits = sum("0" <= c <= "9" for c in token)
-    dots = min(3, token.count("."))
-    return ("@" in token) * 32 + (before == "+" or token[0] == "+") * 16 + dots * 4 + (digits >= 16) * 2 + (digits < len(token) - dots - 2)
+    """'@', a plus sign, number of digits in five classes, dots in three, other signs than digits and dots."""
+    if "@" in token:
+        return 90 + min(3, token.count(".")) + 2 * token.startswith("@")
+    digits, dots = len(token) - len(token.translate(_NO_DIGITS)), token.count(".")
+    size = (digits > 3) + (digits > 6) + (digits > 9) + (digits > 15)
+    return (((before == "+" or token[0] == "+") * 5 + size) * 3 + min(2, dots)) * 2 + (digits < len(token) - dots)
 
 
-def _key(token: str) -> str:
-    """What a token must share with another for a skip edge; empty for none."""
+def _keys(token: str, whole: str) -> tuple[str, str]:
+    """What tokens must share to be equal, and to be similar; empty for nothing. ``whole``: the base span around."""
     if "@" in token:
-        return token.strip(".").lower()
-    digits = "".join(c for c in token if "0" <= c <= "9")
-    return digits if len(digits) >= 6 else ""
-
-
-def _nodes(text: str, spans: list[list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """(tokens, shapes, clamped labels: 0 none, else kind + 1)."""
-    tokens = _tokens(text)
-    labels = np.zeros(len(tokens), dtype=np.int64)
-    starts = np.array([a for a, _ in tokens], dtype=np.int64)
-    ends = np.array([b for _, b in tokens], dtype=np.int64)
-    for kind, found in enumerate(spans):
-        for a, b in found:
-            i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
-            labels[i:j] = kind + 1
-    shapes = np.array([_shape(text[a:b], text[max(0, a - 1) : a]) for a, b in tokens], dtype=np.int64)
-    return tokens, shapes, labels
-
-
-def propagate(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Marginals by damped loopy belief propagation: nodes x labels, edges (i, j), log potentials by edge."""
-    n = len(unary)
+        address = (whole if "@" in whole else token).strip(".").lower()
+        name = address.split("@")[0]
+        return address, "@" + name if len(name) >= 3 else ""
+    digits = _ONLY_DIGITS.sub("", whole or token)
+    return digits if len(digits) >= 6 else "", digits[-7:] if len(digits) >= 7 else ""
+
+
+class Field:
+    """Nodes and edges of many texts; no edge leaves its text."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.base = [base_spans(t) if t else [[], [], [], []] for t in texts]
+        self.tokens: list[tuple[int, int]] = []
+        self.owner: list[int] = []
+        shapes: list[int] = []
+        labels: list[int] = []
+        edges: dict[str, list[int]] = {"chain": [], "equal": [], "similar": []}
+        self.before: dict[str, list[int]] = {"equal": [], "similar": []}  # (node before, node) of each group
+        for n, (text, base) in enumerate(zip(texts, self.base, strict=True)):
+            if "@" in text or _digit.search(text):
+                self._add(n, text, base, shapes, labels, edges)
+        self.shapes, self.labels = np.array(shapes, dtype=np.int64), np.array(labels, dtype=np.int64)
+        self.edges = {k: np.array(v, dtype=np.int64).reshape(-1, 2) for k, v in edges.items()}
+
+    def _add(self, n: int, text: str, base: list, shapes: list, labels: list, edges: dict) -> None:
+        spans = sorted((a, b, kind + 1) for kind, found in enumerate(base) for a, b in found)
+        seen: dict[str, dict[str, tuple[int, int]]] = {"equal": {}, "similar": {}}
+        at = end = 0
+        for a, b in _tokens(text):
+            while at < len(spans) and spans[at][1] <= a:
+                at += 1
+            inside = at < len(spans) and spans[at][0] < b
+            i, token = len(shapes), text[a:b]
+            self.tokens.append((a, b))
+            self.owner.append(n)
+            shapes.append(_shape(token, text[a - 1] if a else ""))
+            labels.append(spans[at][2] if inside else 0)
+            if end and a - end <= 3 and self.owner[i - 1] == n and _beside.fullmatch(text, end, a):
+                edges["chain"] += (i - 1, i)
+            end = b
+            equal, similar = _keys(token, text[spans[at][0] : spans[at][1]] if inside else "")
+            for name, key in (("equal", equal), ("similar", similar)):
+                if key:
+                    own = seen[name]
+                    if key in own:
+                        first, last = own[key]
+                        edges[name] += (last, i) if first == last else (last, i, first, i)
+                        self.before[name] += (last, i)
+                        own[key] = (first, i)
+                    else:
+                        own[key] = (i, i)
+
+    def configurations(self) -> tuple[np.ndarray, np.ndarray]:
+        """(code, count) of labelled tokens with their neighbours' labels: shape, left, right, equal, similar, own."""
+        n = len(self.shapes)
+        near = {k: np.full(n, NONE, dtype=np.int64) for k in ("left", "right", "equal", "similar")}
+        chain = self.edges["chain"]
+        near["left"][chain[:, 1]], near["right"][chain[:, 0]] = self.labels[chain[:, 0]], self.labels[chain[:, 1]]
+        for k in ("equal", "similar"):
+            pair = np.array(self.before[k], dtype=np.int64).reshape(-1, 2)
+            near[k][pair[:, 0]] = self.labels[pair[:, 1]]
+            near[k][pair[:, 1]] = self.labels[pair[:, 0]]
+        tied = (self.labels == 0) & (((near["equal"] > 0) & (near["equal"] < NONE)) | ((near["similar"] > 0) & (near["similar"] < NONE)))
+        code = self.shapes
+        for k in ("left", "right", "equal", "similar"):
+            code = code * 6 + near[k]
+        return np.unique((code * N_LABELS + self.labels)[~tied], return_counts=True)
+
+    def added(self, weights: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """(kind, start, end) by text of the tokens that the field labels beyond the base spans; neighbours as one."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in self.base]
+        if not len(self.shapes):
+            return out
+        potential = weights["shape"][self.shapes].copy()
+        clamped = np.flatnonzero(self.labels)
+        potential[clamped] = -30.0
+        potential[clamped, self.labels[clamped]] = 0.0
+        names = ("chain", "equal", "similar")
+        pairs = np.concatenate([self.edges[k] for k in names])
+        kinds = np.repeat(np.arange(3), [len(self.edges[k]) for k in names])
+        p = propagate(potential, pairs, np.stack([weights[k] for k in names]), kinds)
+        best = p.argmax(axis=1)
+        sure = np.flatnonzero((best > 0) & (self.labels == 0) & (p[np.arange(len(p)), best] >= SURE))
+        beside = {(int(a), int(b)) for a, b in self.edges["chain"]} if len(sure) else set()
+        last = -1
+        for i in sure.tolist():
+            spans, kind = out[self.owner[i]], int(best[i]) - 1
+            a, b = self.tokens[i]
+            if last >= 0 and (last, i) in beside and spans and spans[-1][0] == kind:
+                spans[-1] = (kind, spans[-1][1], b)
+            else:
+                spans.append((kind, a, b))
+            last = i
+        return out
+
+
+def propagate(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Marginals by damped loopy belief propagation: nodes x labels, edges (i, j), log potentials by edge kind."""
     source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    n, e = len(unary), len(pairs)
     table = np.concatenate([tables, tables.transpose(0, 2, 1)])
-    m, back = np.zeros((len(source), 5)), np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-    for _ in range(ROUNDS):
-        belief = unary.copy()
-        np.add.at(belief, target, m)
-        cavity = belief[source] - m[back]
-        x = table + cavity[:, :, None]
-        top = x.max(axis=1)
-        new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
+    kind = np.concatenate([kinds, kinds + len(tables)]).astype(np.int64)
+    m = np.zeros((2 * e, unary.shape[1]))
+    belief = unary
+
+    def gather() -> np.ndarray:
+        return unary + np.stack([np.bincount(target, weights=m[:, k], minlength=n) for k in range(unary.shape[1])], axis=1)
+
+    for _ in range(ROUNDS if e else 0):
+        new = np.empty_like(m)
+        for a in range(0, 2 * e, BLOCK):
+            own = np.arange(a, min(2 * e, a + BLOCK))
+            x = table[kind[own]] + (belief[source[own]] - m[(own + e) % (2 * e)])[:, :, None]
+            top = x.max(axis=1)
+            y = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+            new[own] = y - y.max(axis=1, keepdims=True)
         m = DAMPING * m + (1 - DAMPING) * new
-    belief = unary.copy()
-    np.add.at(belief, target, m)
+        belief = gather()
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True) if n else p
-
-
-def added_spans(text: str, spans: list[list[tuple[int, int]]], weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the tokens that the field labels beyond the base spans."""
-    if not any(spans):
-        return []
-    tokens, shapes, labels = _nodes(text, spans)
-    keys = [_key(text[a:b]) for a, b in tokens]
-    seen: dict[str, tuple[int, int]] = {}
-    skips, evidence = [], set()
-    for i, k in enumerate(keys):
-        if k:
-            if labels[i]:
-                evidence.add(k)
-            if k in seen:
-                first, last = seen[k]
-                skips += [(last, i)] + ([(first, i)] if first != last else [])
-            seen[k] = (seen[k][0] if k in seen else i, i)
-    tied = [i for i, k in enumerate(keys) if k in evidence and not labels[i]]
-    if not tied:
-        return []
-    unary, chain = weights
-    potential = unary[shapes].copy()
-    clamped = labels > 0
-    potential[clamped] = -30.0
-    potential[clamped, labels[clamped]] = 0.0
-    near = np.array([(i, i + 1) for i in range(len(tokens) - 1)], dtype=np.int64).reshape(-1, 2)
-    pairs = np.concatenate([near, np.array(skips, dtype=np.int64).reshape(-1, 2)])
-    tables = np.concatenate([np.repeat(chain[None] * 0.5, len(near), axis=0), np.repeat(SAME * np.eye(5)[None] * 2, len(skips), axis=0)])
-    p = propagate(potential, pairs, tables)
-    best = p.argmax(axis=1)
-    return [(int(best[i]) - 1, *tokens[i]) for i in tied if best[i] and p[i, best[i]] >= SURE]
-
-
-def train(docs: DataFrame, most: int = MOST_EXAMPLES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from the documents with the smallest hashes of their ids; a small table comes back."""
-    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(most)
-    chosen = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
-
-    def count(batches):
-        unary, chain = np.zeros((N_SHAPES, 5)), np.zeros((5, 5))
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                if _digit.search(t) or "@" in t:
-                    _, shapes, labels = _nodes(t, base_spans(t))
-                    np.add.at(unary, (shapes, labels), 1)
-                    np.add.at(chain, (labels[:-1], labels[1:]), 1)
-        cells = np.concatenate([unary.ravel(), chain.ravel()])
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
-
-    cells = np.full(N_SHAPES * 5 + 25, 0.5)
-    for cell, n in chosen.select(text_of().alias("text")).mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect():
-        cells[cell] += n
-    unary, chain = cells[: N_SHAPES * 5].reshape(N_SHAPES, 5), cells[N_SHAPES * 5 :].reshape(5, 5)
-    return np.log(unary / unary.sum(axis=1, keepdims=True)), np.log(chain * chain.sum() / np.outer(chain.sum(axis=1), chain.sum(axis=0)))
-
-
-def find(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def fit(codes: np.ndarray, counts: np.ndarray, steps: int = 400, rate: float = 0.05, prior: float = 0.5) -> dict[str, np.ndarray]:
+    """Weights that maximize the pseudo-likelihood of counted configurations, with a Gaussian prior.
+
+    Gradient ascent with Adam's steps from the prior's means; a weight that no configuration touches stays there.
+    """
+    start = {"shape": NOTHING * np.eye(N_LABELS)[np.zeros(N_SHAPES, dtype=int)], "chain": np.zeros((N_LABELS, N_LABELS)), **{k: v * np.eye(N_LABELS) for k, v in SAME.items()}}
+    own, rest = codes % N_LABELS, codes // N_LABELS
+    near = {}
+    for k in ("similar", "equal", "right", "left"):
+        near[k], rest = rest % 6, rest // 6
+    shape, heavy = rest, np.log1p(counts.astype(float))
+    pad = lambda w: np.vstack([w, np.zeros((1, N_LABELS))])
+    w = {k: v.copy() for k, v in start.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    for t in range(1, steps + 1):
+        score = w["shape"][shape] + pad(w["chain"])[near["left"]] + pad(w["chain"].T)[near["right"]] + pad(w["equal"])[near["equal"]] + pad(w["similar"])[near["similar"]]
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        g = -p / p.sum(axis=1, keepdims=True)
+        g[np.arange(len(own)), own] += 1
+        g *= heavy[:, None]
+        grad = {k: np.zeros((len(v) + 1, N_LABELS)) for k, v in w.items()}
+        np.add.at(grad["shape"], shape, g)
+        np.add.at(grad["chain"], near["left"], g)
+        back = np.zeros((N_LABELS + 1, N_LABELS))
+        np.add.at(back, near["right"], g)
+        for k in ("equal", "similar"):
+            np.add.at(grad[k], near[k], g)
+        grad = {k: v[:-1] for k, v in grad.items()}
+        grad["chain"] += back[:-1].T
+        for k in ("equal", "similar"):  # an edge has no direction
+            grad[k] = (grad[k] + grad[k].T) / 2
+        for k, v in w.items():
+            d = grad[k] - prior * (v - start[k])
+            first[k] = 0.9 * first[k] + 0.1 * d
+            second[k] = 0.99 * second[k] + 0.01 * d * d
+            v += rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def train(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Weights from the configurations of all documents, summed by Spark; a bounded table of counts comes back."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes, n = Field(batch.column("text").to_pylist()).configurations()
+        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+    rows = sorted(arrow_map(docs.select(text_of().alias("text")), count, "code long, n long").groupBy("code").agg(F.sum("n")).collect())
+    table = np.array(rows, dtype=np.int64).reshape(-1, 2)
+    return fit(table[:, 0], table[:, 1])
+
+
+def find(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """Spans of every document: counts of the base ones, their digest, and all spans."""
 
-    def one(text: str) -> tuple:
-        base = base_spans(text)
-        own = [(k, a, b) for k, found in enumerate(base) for a, b in found]
-        more = added_spans(text, base, weights)
-        digest = hashlib.sha256(_join(own).encode()).hexdigest()
-        return *map(len, base), digest, _join(sorted({*own, *more})), len(more)
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*map(one, batch.column("text").to_pylist()), strict=True))
+        field = Field(batch.column("text").to_pylist())
+        rows = []
+        for base, more in zip(field.base, field.added(weights), strict=True):
+            own = [(k, a, b) for k, found in enumerate(base) for a, b in found]
+            digest = hashlib.sha256(_join(own).encode()).hexdigest()
+            rows.append((*map(len, base), digest, _join(sorted({*own, *more})), len(more)))
+        columns = list(zip(*rows, strict=True))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
@@ -215,26 +313,33 @@ def _join(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def redact_text(text: str, weights: tuple[np.ndarray, np.ndarray]) -> str:
-    """The text with every span replaced by its kind in brackets; overlapping spans merge under the first's kind."""
-    base = base_spans(text)
-    spans = sorted([(a, b, k) for k, found in enumerate(base) for a, b in found] + [(a, b, k) for k, a, b in added_spans(text, base, weights)])
-    out, at = [], 0
-    for a, b, k in spans:
-        if a >= at:
-            out += [text[at:a], f"[{KINDS[k].upper()}]"]
-        at = max(at, b)
-    return "".join([*out, text[at:]]) if spans else text
-
-
-def redact(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with personal data replaced in text, n_chars counted again, all else unchanged."""
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact_text(t, weights), na_action="ignore")
-
-    out = docs.withColumn("text", clean(F.col("text")))
+def redact_texts(texts: list[str], weights: dict[str, np.ndarray]) -> list[str]:
+    """Texts with every span replaced by its kind in brackets; overlapping spans merge under the first's kind."""
+    field, clean = Field(texts), []
+    for text, base, more in zip(texts, field.base, field.added(weights), strict=True):
+        spans = sorted([(a, b, k) for k, found in enumerate(base) for a, b in found] + [(a, b, k) for k, a, b in more])
+        out, at = [], 0
+        for a, b, k in spans:
+            if a >= at:
+                out += [text[at:a], f"[{KINDS[k].upper()}]"]
+            at = max(at, b)
+        clean.append("".join([*out, text[at:]]) if spans else text)
+    return clean
+
+
+def redact(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``docs`` with personal data replaced in text, n_chars counted again, all else unchanged; null texts stay null."""
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index("text")
+        texts = batch.column(at).to_pylist()
+        done = redact_texts([t or "" for t in texts], weights)
+        new = pa.array([None if t is None else d for t, d in zip(texts, done, strict=True)], batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    # names without dots for the tasks, the user's names after them
+    plain = docs.toDF(*[c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)])
+    out = arrow_map(plain, clean, plain.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
