@@ -17,8 +17,10 @@ rare. An equi-join on (z, element) finds these pairs, and only where z's members
 a positional filter drops pairs whose differences have too few elements left after the shared one.
 
 Nulls: a null text is empty, linked with nothing and its own component; a null doc_id has a null component unless
-its class has another. Repeated rows of one document are one node. Rows that share a doc_id with different texts are
-judged by their own text. Empty tables give empty results; extra columns are ignored.
+its class has another. Repeated rows of one document are one node, as are rows that share a doc_id with different
+texts: each text makes links of its own. Very long texts are compared whole. Ties: the smallest doc_id names a component
+and is kept; of two centers with as many buckets the one with the smaller id is taken. Empty tables give empty
+results; extra columns are ignored, and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, fmix64, materialize, text_of, word_hashes
+from .common import arrow_map, documents, fmix64, materialize, spread_join, text_of, word_hashes
 from .components import connected_components
 
 WIDTH, SHARE = 5, 85
@@ -110,21 +112,32 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with both texts; rows of one ``a`` stand together in a task."""
+    """Pairs (a, b, ...) with both texts; rows of one ``a`` mostly stand together in a task."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
 
+class _Latest:
+    """A function of a text that is not called again while the text stays the same."""
+
+    def __init__(self, make) -> None:
+        self.make, self.text, self.value = make, None, None
+
+    def __call__(self, text: str):
+        if self.text is None or text != self.text:
+            self.text, self.value = text, self.make(text)
+        return self.value
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, linked) for pairs (a, b), from the full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        left = _Latest(_set)
         for batch in batches:
-            a, out = batch.column("a").to_pylist(), []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, own = a[i], _set(batch.column("text_a")[i].as_py())
+            out = []
+            for i in range(batch.num_rows):
+                own = left(batch.column("text_a")[i].as_py())
                 other = _set(batch.column("text_b")[i].as_py())
                 common = len(own & other)
                 out.append(bool(other) and 100 * common >= SHARE * (len(own) + len(other) - common))
@@ -147,12 +160,11 @@ def _deltas(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, dtype=np.uint64)
+        left = _Latest(lambda t: np.unique(shingle_hashes([words_of(t)])[0]))
         for batch in batches:
             z, nodes, labels = (batch.column(c).to_pylist() for c in ("a", "b", "label"))
             for i, apart in enumerate(batch.column("apart").to_pylist()):
-                if z[i] != last:
-                    last, own = z[i], np.unique(shingle_hashes([words_of(batch.column("text_a")[i].as_py())])[0])
+                own = left(batch.column("text_a")[i].as_py())
                 other = np.unique(shingle_hashes([words_of(batch.column("text_b")[i].as_py())])[0])
                 more, less = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
                 n = len(more) + len(less)
@@ -179,18 +191,16 @@ def _label(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame
     return df.join(labels.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def near_duplicate_links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_links(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives' components as (node, component), confirmed links (a, b) between representatives)."""
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    rows = signed.select("doc_id", "key_a", "key_b", "n_shingles", "bands").where("n_shingles > 0")
-    nodes = rows.join(classes, ["key_a", "key_b"]).where("doc_id = node").dropDuplicates(["node", "key_a", "key_b"])
-    members = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "bands")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    live = materialize(members.join(crowded, "bucket"), "live")
+    members = materialize(classes.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct(), "bands")
+    crowded = materialize(members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
+    total = members.count()
+    live = materialize(spread_join(members, crowded, ["bucket"], "crowd", total), "live")
     degree = live.groupBy("node").agg(F.sum("crowd").alias("degree"))
     # every bucket's center, and its pairs with the other members
-    centers = live.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("z"))
-    star = live.join(centers, "bucket").where("node <> z").select(F.col("z").alias("a"), F.col("node").alias("b"))
+    centers = live.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("z"), F.count("*").alias("n"))
+    star = spread_join(live, materialize(centers, "centers"), ["bucket"], "n", total).where("node <> z").select(F.col("z").alias("a"), F.col("node").alias("b"))
     star = materialize(star.distinct(), "star")
     wanted = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
     wanted = materialize(wanted, "wanted")
@@ -218,14 +228,13 @@ def near_duplicate_links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame,
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, key_a, key_b) of every row of ``docs`` (doc_id, text)."""
     signed = materialize(sign(docs), "signed")
-    labels, _ = near_duplicate_links(signed, docs)
-    return _result(signed, labels)
-
-
-def _result(signed: DataFrame, labels: DataFrame) -> DataFrame:
-    classes = signed.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    classes = classes.join(labels, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "key_a", "key_b").join(classes, ["key_a", "key_b"], "left")
+    first = F.min_by(F.struct("n_shingles", "bands"), "doc_id")
+    classes = signed.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), first.alias("first"))
+    classes = materialize(classes.select("key_a", "key_b", "node", "n", "first.bands"), "classes")
+    labels, _ = near_duplicate_links(classes, docs)
+    found = classes.join(labels, "node", "left").select("key_a", "key_b", "n", F.coalesce("component", "node").alias("component"))
+    rows = signed.select("doc_id", "n_shingles", "key_a", "key_b")
+    out = spread_join(rows, materialize(found, "found"), ["key_a", "key_b"], "n", signed.count(), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "key_a", "key_b")
 
