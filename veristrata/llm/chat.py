@@ -12,7 +12,8 @@ comes back. The loss mask covers the texts of assistant turns.
 
 Nulls: a null text is empty, a null role the empty role, events without a sequence come first, a null conversation
 is one conversation, a null turn comes first. Rows of a plain table that share a turn are turns of their own,
-ordered by role and text; repeated rows are kept.
+ordered by role and text; repeated rows are kept. A conversation is one text, so its turns meet in one task after each
+was folded alone; the time is in proportion to their length. Very long texts are kept whole.
 Empty tables give empty results; extra columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OPEN, CLOSE, SEP = "### ", "</turn>\n", ": "
 #: Order within the escapes matters: the backslash first when writing, last when reading.
@@ -71,19 +73,13 @@ def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): one text per conversation, with the loss mask as (start, length) in code points."""
     m = messages.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     m = m.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit(SEP))).withColumn("body", escape(F.col("text")))
-    turns = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "line", "head", "body"))).alias("turns"))
-    sizes = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE))
-    turns = turns.withColumn("sizes", sizes)
-    # running starts: one pass that carries the place and the mask
-    mask = F.aggregate(
-        F.arrays_zip("turns", "sizes"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["sizes"]).alias("at"),
-            F.when(t["turns"]["role"] == "assistant", F.concat(acc["mask"], F.array(F.struct((acc["at"] + F.length(t["turns"]["head"])).alias("start"), F.length(t["turns"]["body"]).cast("long").alias("length"))))).otherwise(acc["mask"]).alias("mask"),
-        ),
-        lambda acc: acc["mask"],
-    )
+    # running ends of the turns in one pass of a window, in the order in which they are put together below
+    m = m.withColumn("size", F.length("head") + F.length("body") + len(CLOSE))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "line").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("end", F.sum(F.col("size").cast("long")).over(order))
+    turns = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "line", "end", "head", "body"))).alias("turns"))
+    own = F.filter("turns", lambda t: t["role"] == "assistant")
+    mask = F.transform(own, lambda t: F.struct((t["end"] - len(CLOSE) - F.length(t["body"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
     return turns.select("conv_id", text.alias("formatted"), mask.alias("loss"))
 
@@ -126,3 +122,19 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], table.schema)
     return digests(materialize(render(fold_events(events_of(table.unionByName(extra)))), "formatted"))
+
+
+def _sql(read: str = "conversations") -> str:
+    """DuckDB SQL for op6's rows. Escapes cancel out in what is read back; they only count in the formatted length."""
+    esc = "replace(replace(replace({0}, '\\', '\\s'), '#', '\\h'), '<', '\\l')"
+    role = "replace(" + esc.format("role") + ", ':', '\\c')"
+    probe = "'\\### Assistant: </turn> ok'"
+    size = f"length({role}) + length({esc.format('text')}) + {len(OPEN) + len(SEP) + len(CLOSE)}"
+    return f"""WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {read}
+        UNION ALL SELECT -7, 0, 'user', {probe} UNION ALL SELECT -7, 1, 'assistant', {probe}),
+    s AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+        coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum({size})::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM s"""
+
+
+ORACLE_SQL = _sql()
