@@ -1,13 +1,16 @@
 """License scans: phrases by their places, and an exact set-similarity join of text blocks with license templates.
 
-The join finds every block that holds at least ``CONTAINED`` of a template's distinct words. A template's words are
-ordered by how often they occur in all documents, rarest first. A block that holds k of a template's n words must
-hold one of the template's n - k + 1 rarest (prefix filter), needs at least k words (length filter), and is given up
-as soon as the words still to come cannot bring it to k (positional filter). Blocks are windows of twice the
-template's length at every multiple of its length, so any stretch as long as the template lies within one.
+The join finds every block that holds at least ``CONTAINED`` of a template's distinct words; a notice of fewer than
+``SHORT`` distinct words must be there with all of them, as its few telling words (a name, a version) are what tells
+it from another license's, and a template may name words that its blocks must not hold. A template's words are ordered
+by how often they occur in all documents, rarest first. A block that holds k of a template's n words must hold one of
+the template's n - k + 1 rarest (prefix filter), needs at least k words (length filter), and is given up as soon as the
+words still to come cannot bring it to k (positional filter). Blocks are windows of twice the template's length at
+every multiple of its length, so any stretch as long as the template lies within one.
 
 Nulls: a null text is empty (no words, no places, score 0); null ids are kept. Empty tables give empty results;
-repeated rows are scanned alike; extra columns are ignored.
+repeated rows are scanned alike; extra columns are ignored. Very long texts are scanned whole. Ties: labels are a set
+in alphabetical order, the score is the largest share of any template found, 1 where a phrase stands.
 """
 
 from __future__ import annotations
@@ -22,25 +25,44 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, text_of
 
-CONTAINED = 0.8
-# The phrases of the base rule, and notices of common licenses.
+CONTAINED, SHORT = 0.8, 12
+# The phrases of the base rule, and texts and notices of common licenses with words that exclude them.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-TEMPLATES = {
-    "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
-        "released under the mit license",
-    ],
-    "apache-2": [
-        "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        "licensed under the apache license version 2 0",
-    ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "gpl-3": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-        "this work is licensed under the gnu general public license version 3",
-    ],
-    "cc-by-nc": ["licensed under cc by nc 4 0"],
-}
+TEMPLATES: list[tuple[str, str, str]] = [
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+        "",
+    ),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", ""),
+    ("mit", "released under the mit license", ""),
+    ("mit", "licensed under the mit license", ""),
+    (
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "",
+    ),
+    ("apache-2", "licensed under the apache license version 2 0", ""),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "sublicense"),
+    (
+        "gpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+        "lesser affero library 2",
+    ),
+    ("gpl-3", "licensed under the gnu general public license version 3", "lesser affero library"),
+    ("gpl-2", "licensed under the gnu general public license version 2", "lesser affero library 3"),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3", ""),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ""),
+    ("mpl-2", "licensed under the mozilla public license version 2 0", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "sa nd"),
+]
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -65,11 +87,13 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 class Template:
     """Distinct words in global order, with the prefix that a block above the threshold must meet."""
 
-    def __init__(self, label: str, text: str, counts: dict[bytes, int], contained: float) -> None:
+    def __init__(self, label: str, text: str, counts: dict[bytes, int], contained: float, without: str = "") -> None:
         words = words_of(text)
         self.label, self.length = label, len(words)
         self.ordered = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
-        self.needed = ceil(contained * len(self.ordered) - 1e-9)
+        self.without = words_of(without)
+        n = len(self.ordered)
+        self.needed = n if n < SHORT else ceil(contained * n - 1e-9)
         self.prefix = frozenset(self.ordered[: len(self.ordered) - self.needed + 1])
 
     def best(self, words: list[bytes], places: dict[bytes, list[int]]) -> float:
@@ -80,10 +104,16 @@ class Template:
         blocks = {b for w in self.prefix for p in places.get(w, ()) for b in (p // step, p // step - 1) if b >= 0}
         for b in blocks:
             low, high, found = b * step, (b + 2) * step, 0
-            for i, w in enumerate(self.ordered):
+
+            def inside(w: bytes, low: int = low, high: int = high) -> bool:
                 at = places.get(w, ())
                 j = bisect_left(at, low)
-                found += j < len(at) and at[j] < high
+                return j < len(at) and at[j] < high
+
+            if any(map(inside, self.without)):
+                continue
+            for i, w in enumerate(self.ordered):
+                found += inside(w)
                 if found + len(self.ordered) - i - 1 < max(self.needed, best + 1):
                     break
             else:
@@ -91,11 +121,11 @@ class Template:
         return best / len(self.ordered)
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """Places of the phrases, labels and score of every document."""
-    vocabulary = {w for texts in templates.values() for t in texts for w in words_of(t)}
+    vocabulary = {w for _, text, without in templates for w in words_of(f"{text} {without}")}
     counts = word_counts(docs, vocabulary)
-    found = [Template(label, t, counts, contained) for label, texts in templates.items() for t in texts]
+    found = [Template(label, text, counts, contained, without) for label, text, without in templates]
     prefixes = frozenset(w for t in found for w in t.prefix)
     phrases = [(f" {p} ".encode(), label) for p, label in PHRASES.items()]
 
