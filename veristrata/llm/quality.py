@@ -10,9 +10,11 @@ single one some 2,000, but then has a cutoff of its own for each rule. In a stra
 bad documents is taken; within a way the mildest of those that reject most; a rule that rejects none is not used.
 Strata with too few labels get the base rules only.
 
-Nulls: a null text has no words and fails; a null lang is a stratum of its own; a null doc_id stays and has no label.
-Labels of one doc_id given twice: the lower quality counts. Repeated rows are judged alike. Empty tables give empty
-results. Extra columns are ignored by ``quality_features`` and kept by ``keep_good``.
+Nulls: a null text has no words and fails; a null lang is a stratum of its own, apart from the empty one; a null doc_id
+stays and has no label. Labels of one doc_id given twice: the lower quality counts. Repeated rows are judged alike.
+Very long texts are measured whole, in arrays of one task. Ties: of cutoffs that reject as many labelled bad documents
+the mildest is taken. Empty tables give empty results, and without labels only the base rules reject. Extra columns are
+ignored by ``quality_features`` and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, materialize, text_of
+from .common import SPACE, beside, documents, materialize, text_of
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 ALPHA, DELTA = 0.02, 0.05
@@ -34,7 +36,8 @@ CUTOFFS = {
 }
 #: Joint steps, strictest first: one cutoff of every rule.
 STEPS = [dict(zip(CUTOFFS, cuts, strict=True)) for cuts in zip(*CUTOFFS.values(), strict=True)]
-MOST_STRATA = 5000
+#: Rejected documents (some 40 bytes each) that are told to all tasks; more meet the documents in a shuffle.
+MOST_REJECTED = 1_000_000
 _SMALL = 64  # distinct repeated windows up to which a scan of them is cheaper than sorting structs
 
 
@@ -42,13 +45,13 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 1000 / whole)).otherwise(0).cast("long")
 
 
-def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, lang, the base counts and the metrics of the other rules; ``carry`` keeps each whole row in _row."""
-    rest = [F.struct(*docs.columns).alias("_row")] if carry else []
-    # a filter on the results must stay above them: pushed down, it would repeat their expressions within lambdas;
-    # it is not pushed below a column that is not deterministic
-    here = [(F.spark_partition_id() >= 0).alias("_here")] if carry else []
-    d = docs.select(*rest, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
+def quality_features(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, key of the text, the base counts and the metrics of the other rules.
+
+    The counts come out of a generator of one row: a filter on them stays above it. Pushed down, it would repeat their
+    expressions within lambdas.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     d = d.withColumn("trimmed", F.regexp_replace("text", f"^[{SPACE}]+|[{SPACE}]+$", ""))
     d = d.withColumn("words", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", f"[{SPACE}]+")))
     d = d.withColumn("n", F.size("words"))
@@ -65,10 +68,7 @@ def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
         ),
     )
     d = d.withColumn("lines", F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^{SPACE.replace(chr(92), chr(92) * 2)}]')"))
-    return d.select(
-        *(["_row"] if carry else []),
-        "doc_id",
-        "lang",
+    counts = F.struct(
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -77,9 +77,10 @@ def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.expr("CASE WHEN size(places) = 0 THEN 0L ELSE aggregate(sequence(0, size(places) - 1), 3L, (c, j) -> c + CASE WHEN j = 0 THEN 0 ELSE least(3, places[j] - places[greatest(j - 1, 0)]) END) END").alias("n_repeat_words"),
         F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.length(F.regexp_replace("text", r"[^!]+", "")).cast("long").alias("n_shouts"),
-    ).select(
+        F.xxhash64("text").alias("key"),
+    )
+    return d.select("doc_id", "lang", F.inline(F.array(counts))).select(
         "*",
-        *here,
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
         _share(F.col("n_symbols"), F.col("n_words")).alias("symbols"),
         _share(F.col("n_repeat_words"), F.col("n_words")).alias("repeats"),
@@ -89,6 +90,11 @@ def quality_features(docs: DataFrame, carry: bool = False) -> DataFrame:
     )
 
 
+def _stratum() -> Column:
+    """A language as a key that is never null: a null language and the empty one differ."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+
+
 def log_binomial_tail(n: str, k: str, p: float) -> Column:
     """ln P(Bin(n, p) <= k) for columns n and k with k <= n, summed term by term in logarithms."""
     return F.expr(
@@ -110,15 +116,16 @@ def _beyond(cuts: dict[str, Column]) -> Column:
 
 
 def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(lang, one cutoff or null per rule): one row per stratum with labels."""
+    """(lang, one cutoff or null per rule): one row per stratum in which something is certified."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = features.where(~F.col("base_failed")).join(marks, "doc_id")
+    known = features.where(~F.col("base_failed")).withColumn("stratum", _stratum()).select("doc_id", "stratum", *CUTOFFS).join(marks, "doc_id")
+    known = materialize(known, "labelled")
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     tries = [(r, c) for r, cuts in CUTOFFS.items() for c in cuts]
     tested = {f"{r}_{c}": F.col(r) > c for r, c in tries} | {f"step_{i}": _beyond({r: F.lit(c) for r, c in step.items()}) for i, step in enumerate(STEPS)}
     counts = [F.sum(F.when(kind & test, 1).otherwise(0)).alias(f"{name}_{key}") for key, test in tested.items() for name, kind in (("good", good), ("bad", bad))]
-    strata = known.groupBy("lang").agg(F.sum(F.when(good, 1).otherwise(0)).alias("n"), *counts)
-    n_strata = known.select("lang").distinct().select(F.greatest(F.count("*"), F.lit(1)).alias("strata")).first()[0]
+    strata = materialize(known.groupBy("stratum").agg(F.sum(F.when(good, 1).otherwise(0)).alias("n"), *counts), "strata")
+    n_strata = max(1, strata.count())
     share = delta / (2 * n_strata)  # of delta, for one way in one stratum
 
     def sure(tested: DataFrame, p: float, level: float) -> DataFrame:
@@ -126,43 +133,40 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALP
         return tested.where(F.col("log_tail") <= F.log(F.lit(level)))
 
     rows = ", ".join(f"'{r}', {c}, good_{r}_{c}, bad_{r}_{c}" for r, c in tries)
-    single = sure(strata.selectExpr("lang", "n", f"stack({len(tries)}, {rows}) AS (rule, cutoff, k, caught)"), alpha / len(CUTOFFS), share / len(tries))
-    single = single.groupBy("lang").agg(*[F.max_by(F.col("cutoff"), F.when(F.col("rule") == r, F.struct("caught", "cutoff"))).alias(f"cut_{r}") for r in CUTOFFS])
+    single = sure(strata.selectExpr("stratum", "n", f"stack({len(tries)}, {rows}) AS (rule, cutoff, k, caught)"), alpha / len(CUTOFFS), share / len(tries))
+    single = single.groupBy("stratum").agg(*[F.max_by(F.col("cutoff"), F.when(F.col("rule") == r, F.struct("caught", "cutoff"))).alias(f"cut_{r}") for r in CUTOFFS])
     caught = F.sum(F.when(bad & _beyond({r: F.col(f"cut_{r}") for r in CUTOFFS}), 1).otherwise(0))
-    single = single.join(known.join(single, "lang").groupBy("lang").agg(caught.alias("caught")), "lang")
+    single = single.join(beside(known, single, n_strata, "stratum").groupBy("stratum").agg(caught.alias("caught")), "stratum")
     # a milder step rejects fewer, so its test is passed whenever a stricter step's is: the sequence has no gaps
     steps = [F.struct(F.lit(i).alias("step"), F.col(f"good_step_{i}").alias("k"), F.col(f"bad_step_{i}").alias("caught"), *[F.when(F.col(f"bad_{r}_{step[r]}") > 0, F.lit(step[r])).alias(f"cut_{r}") for r in CUTOFFS]) for i, step in enumerate(STEPS)]
-    joint = sure(strata.select("lang", "n", F.explode(F.array(*steps)).alias("s")).select("lang", "n", "s.*"), alpha, share)
+    joint = sure(strata.select("stratum", "n", F.explode(F.array(*steps)).alias("s")).select("stratum", "n", "s.*"), alpha, share)
     names = ["caught", *(f"cut_{r}" for r in CUTOFFS)]
-    joint = joint.groupBy("lang").agg(F.max_by(F.struct(*names), F.struct("caught", "step")).alias("joint"))
-    both = single.select("lang", F.struct(*names).alias("single")).join(joint, "lang", "full")
+    joint = joint.groupBy("stratum").agg(F.max_by(F.struct(*names), F.struct("caught", "step")).alias("joint"))
+    both = single.select("stratum", F.struct(*names).alias("single")).join(joint, "stratum", "full")
     better = F.coalesce(F.col("joint.caught"), F.lit(0)) > F.coalesce(F.col("single.caught"), F.lit(0))
-    return both.select("lang", *[F.when(better, F.col(f"joint.{c}")).otherwise(F.col(f"single.{c}")).alias(c) for c in names[1:]])
-
-
-def rejects(cutoffs: DataFrame) -> Column:
-    """True for features that a certified rule rejects. One row per language with thousands of labels is collected."""
-    found = cutoffs.limit(MOST_STRATA + 1).collect()
-    if len(found) > MOST_STRATA:
-        raise ValueError(f"more than {MOST_STRATA} strata have certified cutoffs; group them first")
-    out = F.lit(False)
-    for r in CUTOFFS:
-        cuts = [x for row in found if row[f"cut_{r}"] is not None for x in (F.lit(row["lang"]), F.lit(row[f"cut_{r}"]))]
-        if cuts:
-            out |= F.coalesce(F.col(r) > F.create_map(*cuts)[F.col("lang")], F.lit(False))
-    return out
+    lang = F.when(F.col("stratum") != "", F.expr("substring(stratum, 2)"))
+    return both.select(lang.alias("lang"), *[F.when(better, F.col(f"joint.{c}")).otherwise(F.col(f"single.{c}")).alias(c) for c in names[1:]])
 
 
 def judge(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Features with ``kept``: false if a base rule or a certified rule rejects the document."""
-    return features.withColumn("kept", ~F.col("base_failed") & ~rejects(cutoffs))
+    """Features with ``kept``: false if a base rule or a certified rule of its stratum rejects the document."""
+    found = materialize(cutoffs.withColumn("stratum", _stratum()).drop("lang"), "cutoffs")
+    out = beside(features.withColumn("stratum", _stratum()), found, found.count(), "stratum", "left")
+    kept = ~F.col("base_failed") & ~_beyond({r: F.col(f"cut_{r}") for r in CUTOFFS})
+    return out.withColumn("kept", kept).select(*features.columns, "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Texts are read twice and never shuffled."""
-    cutoffs = certified_cutoffs(materialize(quality_features(docs), "quality"), labels)
-    kept = judge(quality_features(docs, carry=True), cutoffs).where("kept AND _here")
-    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    """The documents that the rules keep, with all their columns.
+
+    Features are computed once, without the texts; the rejected ones are found again by doc_id, language and text hash.
+    """
+    features = materialize(quality_features(docs), "quality")
+    gone = judge(features, certified_cutoffs(features, labels)).where("NOT kept")
+    gone = materialize(gone.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("key").alias("_k")).distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= MOST_REJECTED else gone
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & docs["lang"].cast("string").eqNullSafe(F.col("_l")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_k"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
