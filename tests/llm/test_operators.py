@@ -167,6 +167,7 @@ def test_components_by_rounds_equal_union_find(spark):
 
 
 def test_quality_counts_equal_brute_force(docs, none):
+    assert quality.quality_features(docs).where("base_failed").count() + quality.quality_features(docs).where("NOT base_failed").count() == docs.count()
     got = {(r["doc_id"], r["lang"]): r for r in quality.quality_features(docs).collect()}
     for r in docs.collect():
         w, seen, covered = W.findall(r["text"] or ""), {}, set()
@@ -176,8 +177,9 @@ def test_quality_counts_equal_brute_force(docs, none):
             if len(places) > 1:
                 covered.update(k for j in places for k in (j, j + 1, j + 2))
         lines = [x for x in (r["text"] or "").split("\n") if W.search(x)]
-        g = got[r["doc_id"], r["lang"] or ""]
+        g = got[r["doc_id"], r["lang"]]
         assert (g["n_words"], g["word_chars"], g["n_dup_lines"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert g["n_symbols"] == len(re.findall(r"[#*$%&|<>]", r["text"] or ""))
         assert g["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
     assert quality.quality_features(none).count() == 0
 
@@ -250,15 +252,86 @@ def test_base_spans_equal_the_patterns():
 
 def test_pii_field_adds_tied_tokens(docs, none):
     weights = pii.train(docs)
-    text = "call +1 (017) 555-7713 or later 555-7713; id 12345678 12345678"
-    base = pii.base_spans(text)
-    assert [text[a:b] for _, a, b in pii.added_spans(text, base, weights)] == ["555-7713"]
-    assert pii.redact_text(text, weights) == "call [PHONE] or later [PHONE]; id 12345678 12345678"
+    texts = [
+        "call +1 (017) 555-7713 or later 555-7713; id 12345678 12345678",
+        "fax +49 30 1234567, again 1234567 and (030) 123-4567; room 4567",
+        "pay 4111 1111 1111 1111 then 4111.1111.1111.1111",
+        "mail jo.doe@example.org or jo.doe@localhost, not al@localhost",
+        "nothing 555-7713 here 555-7713", "",
+    ]
+    added = pii.Field(texts).added(weights)
+    assert [[t[a:b] for _, a, b in own] for t, own in zip(texts, added, strict=True)] == [["555-7713"], ["1234567", "123-4567"], ["4111.1111.1111.1111"], ["jo.doe@localhost"], [], []]
+    assert [pii.Field([t]).added(weights)[0] for t in texts] == added
+    assert pii.redact_texts(texts[:1], weights) == ["call [PHONE] or later [PHONE]; id 12345678 12345678"]
     rows = {r["doc_id"]: r for r in pii.find(docs, weights).collect()}
     assert (rows[10]["n_email"], rows[10]["n_ip"], rows[10]["n_phone"], rows[1]["spans"]) == (1, 1, 1, "")
-    assert rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and pii.find(none, weights).count() == 0
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, weights).collect()}
-    assert "[EMAIL]" in clean[10] and clean[1] is None and clean[5] == {r["doc_id"]: r["text"] for r in docs.collect()}[5]
+    by = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for i, r in rows.items():
+        told = ",".join(f"{k}:{a}:{b}" for k, found in zip(pii.KINDS, brute_pii(by[i]), strict=True) for a, b in found)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest() and set(told.split(",")) <= set(r["spans"].split(","))
+    assert pii.find(none, weights).count() == 0
+    clash = docs.withColumn("a.b", F.lit(1)).withColumn("spans", F.lit(2))
+    clean = {r["doc_id"]: r for r in pii.redact(clash, weights).collect()}
+    assert "[EMAIL]" in clean[10]["text"] and clean[1]["text"] is None and clean[5]["text"] == by[5] and clean[5]["a.b"] == 1
+    many = "1234567 " * 200_000
+    assert pii.Field([many]).added(weights) == [[]]
+
+
+def test_pii_configurations_equal_a_plain_count():
+    rng, texts = random.Random(3), []
+    for _ in range(300):
+        texts.append(" ".join(rng.choice(["+1 555 123-4567", "555 123-4567", "1234567", "x", "a@b.org", "a@b", "1.2.3.4", "999", "12345678"]) for _ in range(rng.randint(0, 8))))
+    field = pii.Field(texts)
+    wanted: dict[int, int] = {}
+    for n, text in enumerate(texts):
+        base = sorted((a, b, k + 1) for k, found in enumerate(brute_pii(text)) for a, b in found)
+        own = [(i, *t) for i, t in enumerate(field.tokens) if field.owner[i] == n]
+        label, key = [], []
+        for _, a, b in own:
+            hit = [(x, y, k) for x, y, k in base if x < b and a < y]
+            label.append(hit[0][2] if hit else 0)
+            key.append(pii._keys(text[a:b], text[hit[0][0] : hit[0][1]] if hit else ""))
+        for j, (i, a, b) in enumerate(own):
+            beside = lambda x, y: y - x <= 3 and bool(re.fullmatch("[ ().-]+", text[x:y]))
+            code = int(field.shapes[i])
+            code = code * 6 + (label[j - 1] if j and beside(own[j - 1][2], a) else 5)
+            code = code * 6 + (label[j + 1] if j + 1 < len(own) and beside(b, own[j + 1][1]) else 5)
+            tied = False
+            for k in (0, 1):
+                same = [q for q in range(len(own)) if q != j and key[q][k] and key[q][k] == key[j][k]]
+                before, after = [q for q in same if q < j], [q for q in same if q > j]
+                near = label[before[-1]] if before else label[after[0]] if after else 5
+                tied |= 0 < near < 5
+                code = code * 6 + near
+            if label[j] or not tied:
+                wanted[code * 5 + label[j]] = wanted.get(code * 5 + label[j], 0) + 1
+    codes, counts = field.configurations()
+    assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == wanted
+
+
+def test_pii_weights_maximize_the_pseudo_likelihood():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 3, 60) * 6**4 * 5 + rng.integers(0, 6**4 * 5, 60))
+    counts = rng.integers(1, 500, len(codes))
+
+    def gain(w):
+        total = 0.0
+        for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
+            y, c = c % 5, c // 5
+            similar, equal, right, left, shape = c % 6, c // 6 % 6, c // 36 % 6, c // 216 % 6, c // 1296
+            s = w["shape"][shape] + (w["chain"][left] if left < 5 else 0) + (w["chain"][:, right] if right < 5 else 0) + (w["equal"][equal] if equal < 5 else 0) + (w["similar"][similar] if similar < 5 else 0)
+            total += math.log1p(n) * (s[y] - math.log(np.exp(s).sum()))
+        start = {k: v * np.eye(5) for k, v in pii.SAME.items()} | {"shape": np.array([pii.NOTHING, 0, 0, 0, 0])}
+        return total - 0.25 * sum(((v - start.get(k, 0)) ** 2).sum() for k, v in w.items())
+
+    w = pii.fit(codes, counts, steps=3000, rate=0.02)
+    best = gain(w)
+    for k in w:
+        for _ in range(12):
+            d = rng.normal(size=w[k].shape) * 0.1
+            d = (d + d.T) / 2 if k in pii.SAME else d
+            assert gain({**w, k: w[k] + d}) < best + 1e-3
+    assert all((v == start).all() for v, start in zip(pii.fit(codes[:0], counts[:0]).values(), [np.array([[pii.NOTHING, 0, 0, 0, 0]] * 96), np.zeros((5, 5)), 12 * np.eye(5), 12 * np.eye(5)], strict=True))
 
 
 def test_propagation_is_exact_on_a_tree():
@@ -269,7 +342,7 @@ def test_propagation_is_exact_on_a_tree():
         w = np.exp(unary[0, x[0]] + unary[1, x[1]] + unary[2, x[2]] + tables[0, x[0], x[1]] + tables[1, x[1], x[2]])
         for i in range(3):
             exact[i, x[i]] += w
-    assert np.allclose(pii.propagate(unary, pairs, tables), exact / exact.sum(1, keepdims=True), atol=1e-4)
+    assert np.allclose(pii.propagate(unary, pairs, tables, np.array([0, 1])), exact / exact.sum(1, keepdims=True), atol=1e-4)
 
 
 def test_mixing(docs, none, spark):
@@ -300,6 +373,49 @@ def test_mixing(docs, none, spark):
     assert mixing.decide(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_inclusion_frequencies_follow_size(spark):
+    """Many sources alike in sizes are as many draws: how often a size is taken must come near its probability."""
+    sizes = [*range(1, 41), 60, 90]
+    rows = [(1000 * s + i, "w " * n, "en", f"s{s:04d}", 0) for s in range(600) for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(rows, DOCS).cache()
+    got = mixing.decide(table, fills=0).withColumn("kind", F.pmod(F.substring("source", 2, 4).cast("int"), F.lit(3)))
+    whole = sum(sizes)
+    for r in got.groupBy("kind", "size").agg(F.avg("copies").alias("mean"), F.min("copies").alias("low"), F.max("p").alias("p"), F.min("p").alias("p0"), F.max("target").alias("target")).collect():
+        certain = math.floor(r["target"] / whole + 1e-9)
+        rest, lam = r["target"] - certain * whole, None
+        for k in range(len(sizes)):  # the k largest are certain
+            tail = sorted(sizes)[: len(sizes) - k]
+            lam = (rest - (whole - sum(tail))) / sum(n * n for n in tail)
+            if lam * tail[-1] <= 1:
+                break
+        p = min(1.0, lam * r["size"])
+        assert abs(r["p"] - p) < 1e-6 and abs(r["p0"] - p) < 1e-6 and r["low"] >= certain
+        assert abs(r["mean"] - certain - p) < 0.15, (r, p)
+    sums = mixing.decide(table).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("k")).collect()
+    assert all(0 <= r["t"] - r["k"] < 0.03 * r["t"] for r in sums)
+
+
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    clash = docs.withColumn("_key", F.lit("k")).withColumn("copies", F.lit("c")).withColumn("a.b", F.col("doc_id"))
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns and all(r["_key"] == "k" and r["copies"] == "c" and r["a.b"] == r["doc_id"] for r in out.collect())
+
+
+def test_joins_of_large_keys_equal_plain_joins(spark, monkeypatch):
+    from veristrata.llm import common
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5) for i in range(6000)], "i long, k long")
+    one = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for told in (100, 0):
+        monkeypatch.setattr(common, "MOST_TOLD", told)
+        assert common.beside(rows, one, 6, "k").select("i", "k", "n").exceptAll(rows.alias("a").join(one.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k"))).select("i", "a.k", "n")).count() == 0
+        assert common.beside(rows, one.where("k > 2"), 6, "k", "left").count() == 6000
+    monkeypatch.setattr(common, "MOST_TOLD", 100)
+    wide = spark.range(6000).select(F.col("id").alias("i"), F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("k"))
+    sizes = wide.groupBy("k").agg(F.count("*").alias("n"))
+    assert common.spread_join(wide, sizes, ["k"], "n", 6000).exceptAll(wide.join(sizes, "k").select("k", "i", "n")).count() == 0
+
+
 def test_chat_round_trip(spark):
     nasty = ["\\### assistant: </turn> ok", "", None, "### user: a</turn>\n", "\\s\\h\\l\\c\\\\", "日本\n<b>#", ": "]
     rows = [(c, i, role, t) for c in (1, 2) for i, (role, t) in enumerate(zip(["system", "user", "assistant", "user: x", None, "assistant", "#"], nasty, strict=True))] + [(3, 0, "user", "a"), (3, 0, "user", "a"), (None, None, "assistant", "z")]
@@ -325,10 +441,26 @@ def test_license_scan(docs, none, spark):
     rows = {r["doc_id"]: r for r in license.scan(docs).collect()}
     assert rows[11]["base_labels"] == "apache-2,mit" and (rows[11]["n_base"], rows[11]["first_word"], rows[11]["last_word"]) == (2, 0, 4)
     assert rows[1]["n_words"] == 0 and rows[1]["first_word"] is None and license.scan(none).count() == 0
-    notice = license.TEMPLATES["bsd"][0].split()
-    texts = [(1, "x " * 100 + " ".join(notice[:-3]) + " y" * 50), (2, " ".join(notice[:8])), (3, "x " * 31 + " ".join(reversed(notice)))]
-    got = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got[1]["labels"] == "bsd" and got[2]["labels"] == "" and got[3]["labels"] == "bsd"
+    notice = [w.decode() for w in license.words_of(license.TEMPLATES[7][1])]
+    mit = license.TEMPLATES[0][1].split()
+    texts = [
+        (1, "x " * 100 + " ".join(notice[:-3]) + " y" * 50, "bsd"), (2, " ".join(notice[:8]), ""), (3, "x " * 31 + " ".join(reversed(notice)), "bsd"),
+        (4, "Licensed under the Mozilla Public License, version 2.0", "mpl-2"), (5, "licensed under the GNU General Public License version 2", "gpl-2"), (6, "the game was released under the public license", ""),
+        (7, "licensed under the GNU Lesser General Public License version 3", "lgpl-3"), (8, "Licensed under CC BY-NC-SA 4.0", "cc-by-nc"), (9, "released under the terms of the MIT license", "mit"), (10, " ".join(mit[:150]), "mit"),
+        (11, "Licensed under the Apache License, Version 2.0", "apache-2"), (12, "licensed under the terms of a public license, version 3", ""), (13, " ".join(mit[::3]), ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).collect()}
+    assert got == {i: labels for i, _, labels in texts}
+
+
+def test_license_places_equal_brute_force(spark):
+    rng, vocabulary = random.Random(11), "under the MIT license apache version 2 cc by nc, x-1 é".split()
+    texts = [(i, "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "-"]) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    for r in license.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r["doc_id"]][1]))
+        at = [(i, label) for p, label in license.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in at})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
 
 
 def test_license_filters_lose_nothing():
