@@ -58,10 +58,11 @@ def worker_claims(c: Column, most: int) -> Column:
     return F.filter(F.transform(source, lambda s: F.substring(F.regexp_replace(F.trim(s), r"^[-*][ \t\n\r]*", ""), 1, 1000)), lambda s: s != "")
 
 
-def significant_tokens(c: Column, most: int = 80) -> Column:
-    """Lower-case tokens of more than three characters without stop words, the first ``most``."""
+def significant_tokens(c: Column, most: int | None = None) -> Column:
+    """Lower-case tokens of more than three characters without stop words, all or the first ``most``."""
     tokens = F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9 \t\n\r-]", " "), SPACES)
-    return F.slice(F.filter(tokens, lambda t: (F.length(t) > 3) & ~t.isin(*CLAIM_STOP)), 1, most)
+    kept = F.filter(tokens, lambda t: (F.length(t) > 3) & ~t.isin(*CLAIM_STOP))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def index_tokens(c: Column, stop: tuple[str, ...]) -> Column:

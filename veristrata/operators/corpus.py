@@ -38,9 +38,13 @@ def bm25_idf(counts: DataFrame, key: str, n_docs: int) -> DataFrame:
 
 
 def sparse_vectors(tf: DataFrame, idf: DataFrame, key: str, buckets: int = 50_000) -> DataFrame:
-    """(key, idx, value): sums of tf * idf by hashed token; a token without idf counts with 1."""
-    j = tf.join(idf.select("token", "idf"), "token", "left")
-    return j.groupBy(key, T.hash_token(F.col("token"), buckets).alias("idx")).agg(F.sum(F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("value"))
+    """(key, idx, value): sums of tf * idf by hashed token; a token without idf counts with 1.
+
+    Tokens are hashed once each, beside their idf, and not once for every text that holds them.
+    """
+    known = idf.select("token", "idf", T.hash_token(F.col("token"), buckets).alias("_idx"))
+    j = tf.join(known, "token", "left").withColumn("idx", F.coalesce("_idx", T.hash_token(F.col("token"), buckets)))
+    return j.groupBy(key, "idx").agg(F.sum(F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("value"))
 
 
 def normalize_wikilink(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import materialize
 
 
 def claims(texts: DataFrame, id_col: str, text_col: str = "text", most: int = 13) -> DataFrame:
@@ -14,25 +15,41 @@ def claims(texts: DataFrame, id_col: str, text_col: str = "text", most: int = 13
     return texts.select(F.col(id_col), F.posexplode(T.worker_claims(F.col(text_col), most)).alias("ord", "claim"))
 
 
-def evidence_pairs(claim_rows: DataFrame, evidence: DataFrame, keys: list[str], most_df: int = 40, most: int = 5) -> DataFrame:
-    """Claims with the evidence that shares most of their rare tokens.
+LABEL_TOKENS = 80
+#: Rows of claim tokens, or of pairs, that are told to all tasks; more are joined by a shuffle.
+MOST_TOLD = 200_000
 
-    ``evidence``: doc_id, text, source. Tokens in more than ``most_df`` evidence texts say little and would pair
-    nearly all; they still count for labels. A claim keeps its ``most`` best evidence texts (count, then doc_id).
+
+def told(df: DataFrame) -> DataFrame:
+    """A materialized table, broadcast if its size is proven small."""
+    return F.broadcast(df) if df.count() <= MOST_TOLD else df
+
+
+def evidence_pairs(claim_rows: DataFrame, evidence: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """Each claim with its ``most`` best evidence texts: by summed weights of shared tokens, then by doc_id.
+
+    ``evidence``: doc_id (one row each), text, source. Whole texts are searched, and every token counts, with the weight
+    round(1000 ln(1 + texts / texts that hold it)); whole numbers, so that sums do not depend on their order. Only the
+    claims' tokens leave the scan. Sums are made where a document's tokens lie, and each task hands on a claim's best.
     """
-    docs = evidence.select("doc_id", F.explode(F.array_distinct(T.significant_tokens(F.col("text")))).alias("token"))
-    rare = docs.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most_df).select("token")
-    docs = docs.join(rare, "token")
-    own = claim_rows.select(*keys, F.explode(F.array_distinct(T.significant_tokens(F.col("claim")))).alias("token"))
-    shared = own.join(docs, "token").groupBy(*keys, "doc_id").agg(F.count("*").alias("shared"))
+    own = materialize(claim_rows.select(*keys, F.explode(F.array_distinct(T.significant_tokens(F.col("claim")))).alias("token")), "claim-tokens")
+    words = evidence.select("doc_id", F.explode(F.array_distinct(T.significant_tokens(F.col("text")))).alias("token"))
+    hits = materialize(words.join(told(own.select("token").distinct()), "token", "left_semi"), "hits")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    weighted = own.join(df, "token").withColumn("weight", F.round(1000 * F.log(1 + F.lit(evidence.count()) / F.col("df"))).cast("long")).drop("df")
+    pairs = hits.repartition("doc_id").join(told(materialize(weighted, "weights")), "token")
+    shared = pairs.groupBy(*keys, "doc_id").agg(F.sum("weight").alias("shared"))
     best = Window.partitionBy(*keys).orderBy(F.desc("shared"), "doc_id")
-    top = shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-    return top.join(claim_rows, keys).join(evidence.select("doc_id", "text", "source"), "doc_id")
+    top = materialize(shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(claim_rows, keys), "top")
+    return evidence.select("doc_id", "text", "source").join(told(top), "doc_id")
 
 
 def lexical_label(pairs: DataFrame, claim: str = "claim", evidence: str = "text") -> DataFrame:
-    """Label and scores from token overlap and refuting cues: nli_label, supporting, refuting, neutral, relevance."""
-    p = pairs.withColumn("_own", T.significant_tokens(F.col(claim))).withColumn("_other", T.significant_tokens(F.col(evidence)))
+    """Label and scores from token overlap and refuting cues: nli_label, supporting, refuting, neutral, relevance.
+
+    The overlap of a claim with a found text looks at LABEL_TOKENS tokens of each, which is the label's definition.
+    """
+    p = pairs.withColumn("_own", T.significant_tokens(F.col(claim), LABEL_TOKENS)).withColumn("_other", T.significant_tokens(F.col(evidence), LABEL_TOKENS))
     p = p.withColumn("_n", F.size("_own"))
     p = p.withColumn("ratio", F.when(F.col("_n") == 0, 0.0).otherwise(F.size(F.filter("_own", lambda t: F.array_contains(F.col("_other"), t))) / F.col("_n")))
     cue, ratio = T.refuting_cues(F.col(evidence)), F.col("ratio")
@@ -49,14 +66,19 @@ def lexical_label(pairs: DataFrame, claim: str = "claim", evidence: str = "text"
     )
 
 
-def beta_fold(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """alpha, beta and p_true per claim: evidence that is neutral or not labelled does not count."""
+def beta_fold(labels: DataFrame, keys: list[str], claim_rows: DataFrame | None = None) -> DataFrame:
+    """alpha, beta and p_true per claim: evidence that is neutral or not labelled does not count.
+
+    With ``claim_rows`` every claim has a row; one without evidence keeps the prior, alpha = beta = 1.
+    """
     counts = ~F.col("nli_label").isin("neutral", "nli_unavailable")
     out = labels.groupBy(*keys).agg(
         (1 + F.sum(F.when(counts, F.col("supporting")).otherwise(0.0))).alias("alpha"),
         (1 + F.sum(F.when(counts, F.col("refuting")).otherwise(0.0))).alias("beta"),
         F.count("*").alias("n_evidence"),
     )
+    if claim_rows is not None:
+        out = claim_rows.select(*keys).join(out, keys, "left").fillna(1.0, ["alpha", "beta"]).fillna(0, ["n_evidence"])
     return out.withColumn("p_true", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
@@ -73,8 +95,11 @@ def _signal(score: str, kept: Column) -> Column:
     return F.coalesce(T.clamp(F.max(value) * 0.75 + T.clamp(F.avg(value), 0, 1) * 0.25, 0, 1), F.lit(0.0))
 
 
-def logit_verdicts(labels: DataFrame, keys: list[str], coverage_target: float = 0.9, floor: float = 0.4) -> DataFrame:
-    """p_true, interval and review flag per claim from its labelled evidence (credibility may be null)."""
+def logit_verdicts(labels: DataFrame, keys: list[str], claim_rows: DataFrame | None = None, coverage_target: float = 0.9, floor: float = 0.4) -> DataFrame:
+    """p_true, interval and review flag per claim from its labelled evidence (credibility may be null).
+
+    With ``claim_rows`` every claim has a row; one without evidence is all neutral, with the full penalty, for review.
+    """
     relevant = F.col("relevance") >= floor
     supports = (F.col("nli_label") == "support") & (F.col("supporting") >= 0.35) & relevant
     refutes = (F.col("nli_label") == "refute") & (F.col("refuting") >= 0.35) & relevant
@@ -84,12 +109,15 @@ def logit_verdicts(labels: DataFrame, keys: list[str], coverage_target: float =
         F.avg(F.when((F.col("nli_label") == "neutral") | ~relevant, 1.0).otherwise(0.0)).alias("neutral_share"),
         F.avg("relevance").alias("mean_relevance"),
     )
-    penalty = T.clamp(0.28 * (1 - F.col("mean_relevance")), 0, 0.28)
+    if claim_rows is not None:
+        v = claim_rows.select(*keys).join(v, keys, "left").fillna(0.0, ["support", "refute"]).fillna(1.0, ["neutral_share"])
+    bare = F.col("mean_relevance").isNull()
+    penalty = F.when(bare, 0.3).otherwise(T.clamp(0.28 * (1 - F.col("mean_relevance")), 0, 0.28))
     logit = -0.25 + 2.0 * F.col("support") - 3.1 * F.col("refute") - 0.2 * F.col("neutral_share") - penalty
     v = v.withColumn("p", T.clamp(1 / (1 + F.exp(-logit)), 0.03, 0.97)).withColumn("strength", T.clamp(F.greatest("support", "refute"), 0, 1))
     v = v.withColumn("width", T.clamp(0.34 - F.col("strength") * 0.16 + (coverage_target - 0.8) * 0.2, 0.12, 0.42))
     v = v.withColumn("low", T.round4(T.clamp(F.col("p") - F.col("width") / 2, 0, 1))).withColumn("high", T.round4(T.clamp(F.col("p") + F.col("width") / 2, 0, 1)))
-    return v.select(*keys, T.round4(F.col("p")).alias("p_true"), "low", "high", T.round4(F.col("strength")).alias("gain"), ((F.col("high") - F.col("low")) > 0.35).alias("review"))
+    return v.select(*keys, T.round4(F.col("p")).alias("p_true"), "low", "high", T.round4(F.col("strength")).alias("gain"), (bare | ((F.col("high") - F.col("low")) > 0.35)).alias("review"))
 
 
 def geo_mean(verdicts: DataFrame, keys: list[str]) -> DataFrame:

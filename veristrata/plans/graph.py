@@ -114,7 +114,7 @@ def join_category_hier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
-    return G.pagerank(nodes, edges, 3)
+    return G.pagerank(nodes, edges, 20)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -130,7 +130,7 @@ def gr_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(nodes, edges, 20).select("id", F.round("rank", 8).alias("rank"))
 
 
-@plan(f"""WITH {NODES}, {EDGES}, {_pagerank_sql(3)} SELECT id, round(0.4::DOUBLE * 0.5::DOUBLE + CASE WHEN rank > 0 THEN log10(rank * 1000000 + 1) / 6 * 0.35::DOUBLE ELSE 0 END + CASE WHEN inbound > 0 THEN log10(inbound + 1) / 5 * 0.25::DOUBLE ELSE 0 END, 6) AS quality FROM r3 JOIN (SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS inbound FROM nodes) USING (id)""")
+@plan(f"""WITH {NODES}, {EDGES}, {_pagerank_sql(20)} SELECT id, round(0.4::DOUBLE * 0.5::DOUBLE + CASE WHEN rank > 0 THEN log10(rank * 1000000 + 1) / 6 * 0.35::DOUBLE ELSE 0 END + CASE WHEN inbound > 0 THEN log10(inbound + 1) / 5 * 0.25::DOUBLE ELSE 0 END, 6) AS quality FROM r20 JOIN (SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS inbound FROM nodes) USING (id)""")
 def fn_quality_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
     j = _ranked(spark, sf_dir).join(G.in_degrees(nodes, edges), "id")

@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import chunking, search
 from ..operators import corpus as C
-from ..session import table
+from ..session import numbered, table
 from .corpus import COUNTS, HASH, TF
 from .registry import plan
-from .verify import PAIRS, labelled, squeeze_sql, tokens_sql
+from .verify import PAIRS, claims, labelled, squeeze_sql, tokens_sql
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +56,12 @@ def filt_by_qid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.upper(F.when(F.upper(k).startswith("Q"), k).otherwise(F.concat(F.lit("Q"), k))).alias("qid"))
 
 
-@plan(f"WITH {PAIRS} SELECT item_id, ord::INT AS ord, string_agg(CASE WHEN nli_label = 'support' THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS supporting, string_agg(CASE WHEN nli_label = 'refute' THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS refuting, round(coalesce(avg(ratio), 0.5::DOUBLE), 6) AS similarity FROM labels GROUP BY ALL")
+@plan(f"WITH {PAIRS} SELECT item_id, ord::INT AS ord, string_agg(CASE WHEN nli_label = 'support' THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS supporting, string_agg(CASE WHEN nli_label = 'refute' THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS refuting, round(coalesce(avg(ratio), 0.5::DOUBLE), 6) AS similarity FROM claims LEFT JOIN labels USING (item_id, ord) GROUP BY ALL")
 def agg_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence lists by label, and the mean similarity (agg_similarity_mean, agg_verdict_row)."""
     ids = lambda label: F.nullif(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("nli_label") == label, F.col("doc_id")))), lambda x: x.cast("string")), ","), F.lit(""))
-    return labelled(spark, sf_dir).groupBy("item_id", "ord").agg(ids("support").alias("supporting"), ids("refute").alias("refuting"), F.round(F.coalesce(F.avg("ratio"), F.lit(0.5)), 6).alias("similarity"))
+    rows = claims(spark, sf_dir).select("item_id", "ord").join(labelled(spark, sf_dir), ["item_id", "ord"], "left")
+    return rows.groupBy("item_id", "ord").agg(ids("support").alias("supporting"), ids("refute").alias("refuting"), F.round(F.coalesce(F.avg("ratio"), F.lit(0.5)), 6).alias("similarity"))
 
 
 @plan("""WITH l AS (SELECT user_id AS claim, event_type AS label, count(DISTINCT event_id % 7) AS labelers FROM events GROUP BY ALL) SELECT claim, count(*) FILTER (labelers >= 3) AS concordant, CASE WHEN count(*) FILTER (labelers >= 3) > 1 THEN 'dispute' WHEN count(*) FILTER (labelers >= 3) = 1 THEN 'promoted' ELSE 'open' END AS state FROM l GROUP BY claim""")
@@ -99,11 +100,11 @@ def fn_compact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.slice(w, 1, 6), " ").alias("query"), F.when(german, "de,en").otherwise("en").alias("languages"), (T.squeeze(F.col("text")) == F.col("text")).alias("tidy"))
 
 
-@plan("SELECT doc_id, substring(sha256(concat_ws('::', 'Q' || doc_id, lang, (doc_id % 5)::VARCHAR, (doc_id % 3)::VARCHAR)), 1, 40) AS passage_id, concat_ws(chr(10), 'Article: ' || source, CASE WHEN lang <> 'en' THEN 'Section: ' || lang END, substring(text, 1, 80)) AS embed_text FROM documents")
+@plan("SELECT doc_id, substring(sha256(concat_ws('::', 'Q' || doc_id, lang, (doc_id % 5)::VARCHAR, (doc_id % 3)::VARCHAR)), 1, 40) AS passage_id, concat_ws(chr(10), 'Article: ' || source, CASE WHEN lang <> 'en' THEN 'Section: ' || lang END, text) AS embed_text FROM documents")
 def fn_passage_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic passage ids and the text that is embedded (fn_embed_text)."""
     qid = F.concat(F.lit("Q"), F.col("doc_id").cast("string"))
-    embed = F.concat_ws("\n", F.concat(F.lit("Article: "), F.col("source")), F.when(F.col("lang") != "en", F.concat(F.lit("Section: "), F.col("lang"))), F.substring("text", 1, 80))
+    embed = F.concat_ws("\n", F.concat(F.lit("Article: "), F.col("source")), F.when(F.col("lang") != "en", F.concat(F.lit("Section: "), F.col("lang"))), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", T.passage_id(qid, F.col("lang"), F.col("doc_id") % 5, F.col("doc_id") % 3).alias("passage_id"), embed.alias("embed_text"))
 
 
@@ -117,18 +118,18 @@ def fn_verdict_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("""SELECT 'benchmark' AS origin, item_id AS old_id, item_id AS new_id FROM benchmark UNION ALL SELECT 'conversation', conv_id, (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY conv_id) FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def set_union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sets in one, the second renumbered after the first's last id. Evaluation sets are small: one row per case."""
+    """Two sets in one, the second renumbered after the first's last id, by offsets of range-sorted parts."""
     b = table(spark, sf_dir, "benchmark")
     top = b.agg(F.max("item_id")).first()[0] or 0
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("conv_id")))
+    c = numbered(table(spark, sf_dir, "conversations").select("conv_id").distinct(), "conv_id").withColumn("k", F.col("place") + 1)
     first = b.select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("old_id"), F.col("item_id").alias("new_id"))
     return first.union(c.select(F.lit("conversation"), "conv_id", F.col("k") + top))
 
 
-@plan("""SELECT sha256(lower(trim(substring(text, 1, 100)))) AS hash, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) - 1 AS accesses FROM documents GROUP BY 1""")
+@plan("""SELECT sha256(lower(trim(text))) AS hash, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) - 1 AS accesses FROM documents GROUP BY 1""")
 def sink_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence by content hash: first and last sight, further accesses counted."""
-    d = docs(spark, sf_dir).select(F.sha2(F.lower(F.trim(F.substring("text", 1, 100))).cast("binary"), 256).alias("hash"), "doc_id")
+    d = docs(spark, sf_dir).select(F.sha2(F.lower(F.trim("text")).cast("binary"), 256).alias("hash"), "doc_id")
     return d.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), (F.count("*") - 1).alias("accesses"))
 
 

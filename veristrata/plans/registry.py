@@ -25,4 +25,4 @@ def plan(sql: str | None = None, name: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of plans, so that all are registered."""
-    from . import corpus, evaluation, graph, more, search, streams, verify  # noqa: F401
+    from . import claims, corpus, evaluation, graph, more, search, streams, verify, wikitext  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import graph as G
-from ..session import table
+from ..session import numbered, table
 from .registry import plan
 
 
@@ -59,18 +59,8 @@ def st_batch_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("""SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 25 AS batch FROM (SELECT * FROM events WHERE event_type = 'signup')""")
 def fn_batching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows dealt into batches of 25 in id order: places from range-sorted partitions, no window over all rows."""
-    from pyspark import StorageLevel
-
-    rows = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id").repartitionByRange("event_id").sortWithinPartitions("event_id")
-    part = rows.withColumn("p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    sizes = {r["p"]: r["n"] for r in part.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    first, total = [], 0
-    for p in sorted(sizes):
-        first.append((p, total))
-        total += sizes[p]
-    offsets = rows.sparkSession.createDataFrame(first, "p int, before long")
-    w = Window.partitionBy("p").orderBy("event_id")
-    return part.join(F.broadcast(offsets), "p").select("event_id", F.floor((F.col("before") + F.row_number().over(w) - 1) / 25).alias("batch"))
+    rows = numbered(table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id"), "event_id")
+    return rows.select("event_id", F.floor(F.col("place") / 25).alias("batch"))
 
 
 @plan("""SELECT user_id, event_id FROM (SELECT *, max(ts) OVER () AS now FROM events) WHERE ts > now - INTERVAL 1 DAY""")

@@ -21,8 +21,9 @@ def sentences_sql(x: str) -> str:
     return rf"string_split(regexp_replace({squeeze_sql(x)}, '([.!?]) ', '\1' || chr(31), 'g'), chr(31))"
 
 
-def tokens_sql(x: str) -> str:
-    return rf"list_slice(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9 \t\n\r-]', ' ', 'g'), '[ \t\n\r]+'), lambda t: length(t) > 3 AND t NOT IN ({STOP})), 1, 80)"
+def tokens_sql(x: str, most: int | None = None) -> str:
+    tokens = rf"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9 \t\n\r-]', ' ', 'g'), '[ \t\n\r]+'), lambda t: length(t) > 3 AND t NOT IN ({STOP}))"
+    return tokens if most is None else f"list_slice({tokens}, 1, {most})"
 
 
 def claims_sql(table_name: str, key: str, text: str = "text", most: int = 13) -> str:
@@ -35,13 +36,14 @@ def claims_sql(table_name: str, key: str, text: str = "text", most: int = 13) ->
 CUES = " + ".join(f"CASE WHEN contains(lower(text), '{c}') THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END" for c in T.REFUTING_CUES)
 PAIRS = f"""claims AS ({claims_sql("benchmark", "item_id")}),
 dt AS (SELECT DISTINCT doc_id, unnest({tokens_sql("text")}) AS token FROM documents),
-rare AS (SELECT token FROM dt GROUP BY token HAVING count(*) <= 40),
 ct AS (SELECT DISTINCT item_id, ord, unnest({tokens_sql("claim")}) AS token FROM claims),
-shared AS (SELECT item_id, ord, doc_id, count(*) AS shared FROM ct JOIN rare USING (token) JOIN dt USING (token) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM dt WHERE token IN (SELECT token FROM ct) GROUP BY token),
+weights AS (SELECT item_id, ord, token, round(1000 * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df))::BIGINT AS weight FROM ct JOIN df USING (token)),
+shared AS (SELECT item_id, ord, doc_id, sum(weight)::BIGINT AS shared FROM weights JOIN dt USING (token) GROUP BY ALL),
 pairs AS (SELECT s.*, claim, text, source FROM (SELECT *, row_number() OVER (PARTITION BY item_id, ord ORDER BY shared DESC, doc_id) AS rank FROM shared) s
     JOIN claims USING (item_id, ord) JOIN documents USING (doc_id) WHERE rank <= 5),
 scored AS (SELECT *, CASE WHEN length(own) = 0 THEN 0.0::DOUBLE ELSE length(list_filter(own, lambda t: list_contains(other, t)))::DOUBLE / length(own) END AS ratio,
-    least(0.42::DOUBLE, {CUES}) AS cue FROM (SELECT *, {tokens_sql("claim")} AS own, {tokens_sql("text")} AS other FROM pairs)),
+    least(0.42::DOUBLE, {CUES}) AS cue FROM (SELECT *, {tokens_sql("claim", 80)} AS own, {tokens_sql("text", 80)} AS other FROM pairs)),
 named AS (SELECT *, CASE WHEN cue > 0 AND ratio >= 0.35::DOUBLE THEN 'refute' WHEN ratio >= 0.42::DOUBLE THEN 'support' ELSE 'neutral' END AS nli_label FROM scored),
 sure AS (SELECT *, CASE WHEN nli_label = 'refute' THEN least(0.86::DOUBLE, greatest(0.55::DOUBLE, 0.55::DOUBLE + cue + ratio * 0.2::DOUBLE))
     ELSE least(0.78::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE + ratio * 0.45::DOUBLE)) END AS confidence FROM named),
@@ -49,17 +51,20 @@ labels AS (SELECT *, CASE WHEN nli_label = 'support' THEN confidence ELSE 0.08::
     least(0.75::DOUBLE, greatest(0.15::DOUBLE, 0.15::DOUBLE + ratio * 0.6::DOUBLE)) AS relevance FROM sure)"""
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.claims(table(spark, sf_dir, "benchmark"), "item_id")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = V.claims(table(spark, sf_dir, "benchmark"), "item_id")
-    return V.lexical_label(V.evidence_pairs(claims, table(spark, sf_dir, "documents"), ["item_id", "ord"]))
+    return V.lexical_label(V.evidence_pairs(claims(spark, sf_dir), table(spark, sf_dir, "documents"), ["item_id", "ord"]))
 
 
-@plan(rf"""WITH {PAIRS}, beta AS (SELECT item_id, ord, 1 + sum(CASE WHEN nli_label <> 'neutral' THEN supporting ELSE 0.0::DOUBLE END) AS a, 1 + sum(CASE WHEN nli_label <> 'neutral' THEN refuting ELSE 0.0::DOUBLE END) AS b FROM labels GROUP BY ALL),
+@plan(rf"""WITH {PAIRS}, beta AS (SELECT item_id, ord, 1 + sum(CASE WHEN nli_label <> 'neutral' THEN supporting ELSE 0.0::DOUBLE END) AS a, 1 + sum(CASE WHEN nli_label <> 'neutral' THEN refuting ELSE 0.0::DOUBLE END) AS b FROM claims LEFT JOIN labels USING (item_id, ord) GROUP BY ALL),
 p AS (SELECT item_id, a / (a + b) AS p FROM beta)
 SELECT item_id, count(*) AS n_claims, round(CASE WHEN count(*) = 1 THEN max(p) ELSE exp(sum(ln(least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, p))))) END, 6) AS doc_score FROM p GROUP BY item_id""")
 def verify_documents_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims, evidence by shared rare tokens, lexical labels, Beta fold, product over each document."""
-    beliefs = V.beta_fold(labelled(spark, sf_dir), ["item_id", "ord"])
+    """Claims, evidence by weighted shared tokens, lexical labels, Beta fold, product over each document."""
+    beliefs = V.beta_fold(labelled(spark, sf_dir), ["item_id", "ord"], claims(spark, sf_dir))
     return V.doc_product(beliefs, ["item_id"]).select("item_id", "n_claims", F.round("doc_score", 6).alias("doc_score"))
 
 
@@ -69,27 +74,27 @@ def fn_nli_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("item_id", "ord", "doc_id", "shared", "nli_label", *r6)
 
 
-@plan(rf"""WITH {PAIRS} SELECT item_id, ord::INT AS ord, round(1 + sum(CASE WHEN nli_label <> 'neutral' THEN supporting ELSE 0.0::DOUBLE END), 6) AS alpha, round(1 + sum(CASE WHEN nli_label <> 'neutral' THEN refuting ELSE 0.0::DOUBLE END), 6) AS beta, count(*) AS n_evidence FROM labels GROUP BY ALL""")
+@plan(rf"""WITH {PAIRS} SELECT item_id, ord::INT AS ord, round(1 + sum(CASE WHEN nli_label <> 'neutral' THEN supporting ELSE 0.0::DOUBLE END), 6) AS alpha, round(1 + sum(CASE WHEN nli_label <> 'neutral' THEN refuting ELSE 0.0::DOUBLE END), 6) AS beta, count(doc_id) AS n_evidence FROM claims LEFT JOIN labels USING (item_id, ord) GROUP BY ALL""")
 def agg_beta_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.beta_fold(labelled(spark, sf_dir), ["item_id", "ord"])
+    b = V.beta_fold(labelled(spark, sf_dir), ["item_id", "ord"], claims(spark, sf_dir))
     return b.select("item_id", "ord", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "n_evidence")
 
 
 _LOGIT = rf"""{PAIRS}, sig AS (SELECT item_id, ord,
     CASE WHEN nli_label = 'support' AND supporting >= 0.35::DOUBLE AND relevance >= 0.4::DOUBLE THEN supporting * 0.7::DOUBLE * relevance END AS s,
     CASE WHEN nli_label = 'refute' AND refuting >= 0.35::DOUBLE AND relevance >= 0.4::DOUBLE THEN refuting * 0.7::DOUBLE * relevance END AS r,
-    CASE WHEN nli_label = 'neutral' OR relevance < 0.4::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS neu, relevance FROM labels),
+    CASE WHEN doc_id IS NULL OR nli_label = 'neutral' OR relevance < 0.4::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS neu, relevance FROM claims LEFT JOIN labels USING (item_id, ord)),
 agg AS (SELECT item_id, ord, coalesce(max(s) * 0.75::DOUBLE + avg(s) * 0.25::DOUBLE, 0) AS support, coalesce(max(r) * 0.75::DOUBLE + avg(r) * 0.25::DOUBLE, 0) AS refute, avg(neu) AS neu, avg(relevance) AS rel FROM sig GROUP BY ALL),
-pr AS (SELECT *, least(0.97::DOUBLE, greatest(0.03::DOUBLE, 1 / (1 + exp(-(-0.25::DOUBLE + 2 * support - 3.1::DOUBLE * refute - 0.2::DOUBLE * neu - least(0.28::DOUBLE, greatest(0.0::DOUBLE, 0.28::DOUBLE * (1 - rel)))))))) AS p, greatest(support, refute) AS strength FROM agg),
+pr AS (SELECT *, least(0.97::DOUBLE, greatest(0.03::DOUBLE, 1 / (1 + exp(-(-0.25::DOUBLE + 2 * support - 3.1::DOUBLE * refute - 0.2::DOUBLE * neu - CASE WHEN rel IS NULL THEN 0.3::DOUBLE ELSE least(0.28::DOUBLE, greatest(0.0::DOUBLE, 0.28::DOUBLE * (1 - rel))) END))))) AS p, greatest(support, refute) AS strength FROM agg),
 wd AS (SELECT *, least(0.42::DOUBLE, greatest(0.12::DOUBLE, 0.34::DOUBLE - strength * 0.16::DOUBLE + (0.9::DOUBLE - 0.8::DOUBLE) * 0.2::DOUBLE)) AS width FROM pr),
-verdicts AS (SELECT item_id, ord, floor(p * 10000 + 0.5::DOUBLE) / 10000 AS p_true, floor(greatest(0, p - width / 2) * 10000 + 0.5::DOUBLE) / 10000 AS low, floor(least(1, p + width / 2) * 10000 + 0.5::DOUBLE) / 10000 AS high, floor(strength * 10000 + 0.5::DOUBLE) / 10000 AS gain FROM wd)"""
+verdicts AS (SELECT item_id, ord, floor(p * 10000 + 0.5::DOUBLE) / 10000 AS p_true, floor(greatest(0, p - width / 2) * 10000 + 0.5::DOUBLE) / 10000 AS low, floor(least(1, p + width / 2) * 10000 + 0.5::DOUBLE) / 10000 AS high, floor(strength * 10000 + 0.5::DOUBLE) / 10000 AS gain, rel IS NULL AS bare FROM wd)"""
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.logit_verdicts(labelled(spark, sf_dir).withColumn("credibility", F.lit(None).cast("double")), ["item_id", "ord"])
+    return V.logit_verdicts(labelled(spark, sf_dir).withColumn("credibility", F.lit(None).cast("double")), ["item_id", "ord"], claims(spark, sf_dir))
 
 
-@plan(rf"""WITH {_LOGIT} SELECT item_id, ord::INT AS ord, p_true, low, high, gain, (high - low) > 0.35::DOUBLE AS review FROM verdicts""")
+@plan(rf"""WITH {_LOGIT} SELECT item_id, ord::INT AS ord, p_true, low, high, gain, bare OR (high - low) > 0.35::DOUBLE AS review FROM verdicts""")
 def agg_claim_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir)
 
@@ -195,12 +200,12 @@ def agg_nli_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("claim", "label", *[F.round(c, 6).alias(c) for c in ("supporting", "refuting", "neutral", "confidence")], "reasoning")
 
 
-_UN = """e AS (SELECT doc_id % 50 AS doc, doc_id AS claim, (doc_id % 7) / 10.0::DOUBLE AS entail, (doc_id % 3) / 10.0::DOUBLE AS contradict, 1 - (doc_id % 7) / 10.0::DOUBLE - (doc_id % 3) / 10.0::DOUBLE AS neutral FROM documents)"""
+_UN = """e AS (SELECT doc_id // 20 AS doc, doc_id AS claim, (doc_id % 7) / 10.0::DOUBLE AS entail, (doc_id % 3) / 10.0::DOUBLE AS contradict, 1 - (doc_id % 7) / 10.0::DOUBLE - (doc_id % 3) / 10.0::DOUBLE AS neutral FROM documents)"""
 
 
 def _scored_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.selectExpr("cast(doc_id % 50 AS string) AS doc", "cast(doc_id AS string) AS claim", "(doc_id % 7) / 10D AS entail", "(doc_id % 3) / 10D AS contradict", "1 - (doc_id % 7) / 10D - (doc_id % 3) / 10D AS neutral")
+    return d.selectExpr("cast(doc_id div 20 AS string) AS doc", "cast(doc_id AS string) AS claim", "(doc_id % 7) / 10D AS entail", "(doc_id % 3) / 10D AS contradict", "1 - (doc_id % 7) / 10D - (doc_id % 3) / 10D AS neutral")
 
 
 @plan(f"WITH {_UN} SELECT doc::VARCHAR AS doc, round(sum(ln(greatest(contradict + 0.5::DOUBLE * neutral, 0.001::DOUBLE))), 6) AS log_false, round(sum(ln(greatest(entail + 0.5::DOUBLE * neutral, 0.001::DOUBLE))), 6) AS log_true FROM e GROUP BY doc")
@@ -217,15 +222,56 @@ def fn_binary_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.binary_factors(_scored_claims(spark, sf_dir)).select("claim", (F.round("log_same", 6) + 0.0).alias("log_same"), (F.round("log_other", 6) + 0.0).alias("log_other"))
 
 
-@plan()
-def gr_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors by belief propagation on each document's claims; neighbours in id order share a factor."""
+def _factor_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Twenty claims a document; neighbours in id order share a factor."""
     from pyspark.sql.window import Window
 
     from ..operators import inference as I
 
     c = _scored_claims(spark, sf_dir)
-    nodes = I.unary_factors(c, ["doc", "claim"])
     ahead = F.lead("claim").over(Window.partitionBy("doc").orderBy(F.col("claim").cast("long")))
-    pairs = I.binary_factors(c.withColumn("b", ahead).where("b IS NOT NULL")).select("doc", F.col("claim").alias("a"), "b", "log_same", "log_other")
-    return I.infer(nodes, pairs).withColumn("p_true", F.round("p_true", 5)).drop("log_bound")
+    pairs = I.binary_factors(c.withColumn("b", ahead).where("b IS NOT NULL")).select("doc", F.col("claim").alias("a"), "b", "log_same", "log_other", (F.col("entail") - F.col("contradict")).alias("r"))
+    return I.unary_factors(c, ["doc", "claim"]), pairs
+
+
+@plan()
+def gr_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors by belief propagation on each document's claims (gr_lbp, gr_trwbp, gr_marginals)."""
+    from ..operators import inference as I
+
+    return I.infer(*_factor_graph(spark, sf_dir)).withColumn("p_true", F.round("p_true", 5)).drop("log_bound", "mismatch")
+
+
+@plan(f"""WITH {_UN}, n AS (SELECT doc, claim, ln(greatest(contradict + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) AS lf, ln(greatest(entail + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) AS lt, greatest(0, least(1, greatest(entail, contradict) - neutral)) AS w, row_number() OVER (PARTITION BY doc ORDER BY claim) AS k FROM e),
+t AS (SELECT * FROM n WHERE k <= 3), a AS (SELECT x.doc, x.claim AS c1, y.claim AS c2, z.claim AS c3, s1, s2, s3, exp(CASE s1 WHEN 1 THEN x.lt ELSE x.lf END + CASE s2 WHEN 1 THEN y.lt ELSE y.lf END + CASE s3 WHEN 1 THEN z.lt ELSE z.lf END
+    + CASE WHEN s1 = s2 THEN x.lt ELSE x.lf END * x.w + CASE WHEN s2 = s3 THEN y.lt ELSE y.lf END * y.w) AS p FROM t x JOIN t y ON x.doc = y.doc AND x.k = 1 AND y.k = 2 JOIN t z ON z.doc = x.doc AND z.k = 3, (VALUES (0), (1)) a(s1), (VALUES (0), (1)) b(s2), (VALUES (0), (1)) c(s3))
+SELECT doc::VARCHAR AS doc, unnest([c1, c2, c3])::VARCHAR AS claim, round(unnest([sum(p * s1) / sum(p), sum(p * s2) / sum(p), sum(p * s3) / sum(p)]), 3) AS p_true FROM a GROUP BY doc, c1, c2, c3""")
+def gr_lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Propagation on chains of three claims, where it is exact: the SQL sums over all eight worlds."""
+    from pyspark.sql.window import Window
+
+    from ..operators import inference as I
+
+    nodes, pairs = _factor_graph(spark, sf_dir)
+    three = nodes.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("claim").cast("long")))).where("k <= 3")
+    whole = three.groupBy("doc").agg(F.count("*").alias("n")).where("n = 3").select("doc")
+    own = three.join(whole, "doc").drop("k")
+    return I.infer(own, pairs, "fast").select("doc", "claim", F.round("p_true", 3).alias("p_true"))
+
+
+@plan()
+def gr_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solver's marginals against Gibbs sampling, by document (gr_gibbs, gr_conditional)."""
+    from ..operators import inference as I
+
+    return I.infer(*_factor_graph(spark, sf_dir), check=0.05).groupBy("doc").agg(F.round(F.max("mismatch"), 4).alias("mismatch"))
+
+
+@plan()
+def gr_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint probability of a document's claims under a Gaussian copula with the pairs' correlations."""
+    from ..operators import inference as I
+
+    nodes, pairs = _factor_graph(spark, sf_dir)
+    beliefs = nodes.select("doc", "claim", (1 / (1 + F.exp(F.col("log_false") - F.col("log_true")))).alias("p_true"))
+    return I.copula_scores(beliefs, pairs.select("doc", "a", "b", "r")).withColumn("joint", F.round("joint", 6))

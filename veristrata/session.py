@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own_dirs: dict[str, str] = {}
 
@@ -17,7 +20,7 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", os.environ.get("VERISTRATA_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )
 
@@ -27,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="veristrata-")
@@ -41,6 +46,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Rows with ``place``, their number from 0 in the order of ``key``: range-sorted parts and one offset per part.
+
+    The parts are written once, so that places do not change when a task is run again.
+    """
+    rows = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    rows = materialize(rows.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1), "numbered")
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per part
+    first, total = [], 0
+    for p in sorted(sizes):
+        first.append((p, total))
+        total += sizes[p]
+    offsets = df.sparkSession.createDataFrame(first, "_part int, _before long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
