@@ -255,7 +255,7 @@ def gr_lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, pairs = _factor_graph(spark, sf_dir)
     three = nodes.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("claim").cast("long")))).where("k <= 3")
     whole = three.groupBy("doc").agg(F.count("*").alias("n")).where("n = 3").select("doc")
-    own = three.join(whole, "doc").drop("k")
+    own = three.join(whole, "doc").select(*[F.col(c).alias(c) for c in nodes.columns])
     return I.infer(own, pairs, "fast").select("doc", "claim", F.round("p_true", 3).alias("p_true"))
 
 

@@ -33,6 +33,17 @@ def property_edges(entities: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return s.where(F.coalesce(kind, F.lit("value")) == "value").select(F.col("qid").alias("src"), target.alias("dst"), "type").where("dst IS NOT NULL")
 
 
+def compact_claims(entities: DataFrame, properties: int = 40, values: int = 3, most: int = 100) -> DataFrame:
+    """(qid, property, value): at most so many values of each of the first properties, by name, and in all."""
+    names = F.slice(F.array_sort(F.map_keys("claims")), 1, properties)
+    rows = entities.select("qid", F.posexplode(names).alias("p", "property"), "claims").select("qid", "p", "property", F.try_variant_get(F.element_at("claims", F.col("property")), "$", "array<variant>").alias("vs"))
+    s = rows.select("qid", "p", "property", F.posexplode(F.slice("vs", 1, values)).alias("i", "s"))
+    path = "$.mainsnak.datavalue.value"
+    s = s.withColumn("value", F.coalesce(F.try_variant_get("s", f"{path}.id", "string"), F.try_variant_get("s", f"{path}.time", "string"), F.try_variant_get("s", f"{path}.amount", "string"), F.try_variant_get("s", f"{path}.text", "string"), F.try_variant_get("s", path, "string")))
+    found = s.where("value IS NOT NULL").groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct("p", "i", "property", "value"))), 1, most).alias("c"))
+    return found.select("qid", F.explode("c").alias("c")).select("qid", "c.property", "c.value")
+
+
 def enwiki(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, title, text, is_redirect) of main-namespace pages of an XML dump."""
     schema = "ns long, id long, title string, redirect struct<_title:string>, revision struct<text:struct<_VALUE:string>>"

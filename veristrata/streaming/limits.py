@@ -16,11 +16,12 @@ def window_counts(events: DataFrame, key: str, ts: str, width: str = "60 seconds
     return counts.select(key, F.col("window.start").alias("start"), "n", (F.col("n") > limit).alias("over"))
 
 
-def token_bucket(events: DataFrame, key: str, ts: str, rate: float, burst: float) -> DataFrame:
+def token_bucket(events: DataFrame, key: str, ts: str, rate: float, burst: float, forget: bool = True) -> DataFrame:
     """(key, event_id, allowed) by a bucket per key that refills with ``rate`` per second up to ``burst``.
 
     ``events`` has key, event_id and ts; within a batch a key's events are taken in (ts, event_id) order. A key that
-    stays away longer than its bucket needs to fill loses its state, which is the same as a full bucket.
+    stays away longer than its bucket needs to fill loses its state, which is the same as a full bucket; a run over
+    what is there (availableNow) must not ``forget``, as it would wait for the time-outs.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,11 +39,12 @@ def token_bucket(events: DataFrame, key: str, ts: str, rate: float, burst: float
             out.append(level >= 1)
             level -= level >= 1
         state.update((float(level), float(last)))
-        state.setTimeoutDuration(int(1000 * burst / rate) + 1000)
+        if forget:
+            state.setTimeoutDuration(int(1000 * burst / rate) + 1000)
         yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"].to_numpy(), "allowed": out})
 
     schema = f"{key} long, event_id long, allowed boolean"
-    return events.groupBy(key).applyInPandasWithState(step, schema, "level double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, schema, "level double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def job_states(events: DataFrame, job: str, ts: str, terminal: tuple[str, ...] = ("done", "error")) -> DataFrame:
@@ -74,9 +76,7 @@ def split_bad(valid: str, good_path: str, bad_path: str) -> Callable[[DataFrame,
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
         batch.where(valid).write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
         batch.where(f"NOT coalesce({valid}, false)").write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
-        batch.unpersist()
 
     return write
