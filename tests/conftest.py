@@ -6,6 +6,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+os.environ.setdefault("VERISTRATA_DRIVER_MEMORY", "3g")
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [sys.path[0], os.environ.get("PYTHONPATH")]))
+
+
 @pytest.fixture(scope="session")
 def spark():
     from veristrata.session import session

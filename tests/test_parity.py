@@ -16,10 +16,11 @@ DATA = "/root/testdata/sf0.001"
 def duck():
     import duckdb
 
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "2GB", "threads": 2})
     for path in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
-    return con
+    yield con
+    con.close()
 
 
 def _cell(v):
@@ -40,6 +41,6 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert rows(got) == rows(wanted)
 
 
-def test_rows_only_queries_run(spark):
-    for name in set(registry.QUERIES) - set(registry.ORACLES):
-        assert registry.QUERIES[name](spark, DATA).count() >= 0
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_rows_only_queries_run(spark, name):
+    assert registry.QUERIES[name](spark, DATA).count() > 0
