@@ -99,6 +99,22 @@ def test_packing(spark, docs, none):
     assert packing.pack_documents(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_pieces_equal_plain_tokenization(docs):
+    from tokenizers import Tokenizer
+
+    plain, texts = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got: dict = {}
+    for r in packing.pieces_of(docs.dropDuplicates(["doc_id"]), P.path("byte_bpe_50k.json"), 0, 256).collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    assert set(got) == set(texts)
+    for i, pieces in got.items():
+        ids = np.array([*plain.encode(texts[i], add_special_tokens=False).ids, 0], dtype="<u4")
+        n = -(-len(ids) // 256)
+        first = len(ids) - (n - 1) * 256
+        cuts = [0, *range(first, len(ids) + 1, 256)]
+        assert sorted(pieces) == [(k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(2)
     histogram = {k: rng.randint(1, 900) for k in rng.sample(range(1, 2049), 700)} | {2048: 5000}
@@ -489,6 +505,20 @@ def test_fingerprints(docs, none):
     assert rows[5]["fingerprint"] == rows[6]["fingerprint"] and rows[2]["fingerprint"] == "" and fingerprints.compare_with_next(none).count() == 0
 
 
+def test_fingerprints_and_likeness_equal_single_calls(spark):
+    rng = random.Random(12)
+    texts = {i: words(rng, rng.choice([0, 3, 40, 300])) for i in range(40)} | {40: "", 41: "é" * 9}
+    one = lambda t: fingerprints.sketches([t])[0]
+    for r in fingerprints.compare_with_next(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)).collect():
+        t, n = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % 42]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), fingerprints.fingerprint(one(t)), fingerprints.fingerprint(one(e)))
+        split = lambda s: [s[k : k + 8] for k in range(0, len(s), 8)] or ["." * 8] * 64
+        for other, near in ((fingerprints.fingerprint(one(e)), r["near_edited"]), (fingerprints.fingerprint(one(n)), r["near_next"])):
+            pairs = [(a, b) for a, b in zip(split(r["fingerprint"]), split(other), strict=True) if a[0] != "." or b[0] != "."]
+            assert near == (sum(a == b for a, b in pairs) / len(pairs) if pairs else 1.0)
+
+
 def test_fingerprints_do_not_depend_on_offset():
     rng = random.Random(8)
     base, other = words(rng, 500), words(rng, 500)
@@ -510,6 +540,38 @@ def test_fingerprints_do_not_depend_on_the_texts_beside(spark):
     assert {r["fingerprint"] for r in both.where("doc_id < 2").collect()} == {r["fingerprint"] for r in fingerprints.compare_with_next(a).collect()}
 
 
+def test_ftrl_equals_plain_updates():
+    rng = random.Random(2)
+    texts = [words(rng, rng.randint(0, 12)) + (" bad word here" if i % 3 == 0 else "") for i in range(120)]
+    labels = np.array([float(i % 3 == 0) for i in range(120)])
+    grams = []
+    for t in texts:
+        w = t.split()
+        own = {(x,) for x in w} | {(a, b, 1) for a, b in zip(w, w[1:], strict=False)} | {(a, b, 2) for a, b in zip(w, w[2:], strict=False)}
+        slots = sorted(set(toxicity.slots_of([t])[0].tolist()))
+        assert len(slots) == len(own)
+        grams.append(slots)
+    z, n, bz, bn, tox = {}, {}, 0.0, 0.0, toxicity
+
+    def weight(s):
+        zi = z.get(s, 0.0)
+        return 0.0 if abs(zi) <= tox.L1 else -(zi - math.copysign(tox.L1, zi)) / ((tox.BETA + math.sqrt(n.get(s, 0.0))) / tox.RATE + tox.L2)
+
+    for _ in range(tox.EPOCHS):
+        for own, y in zip(grams, labels, strict=True):
+            w, b = {s: weight(s) for s in own}, -bz / ((tox.BETA + math.sqrt(bn)) / tox.RATE)
+            g = 1 / (1 + math.exp(-(b + sum(w.values())))) - y
+            for s in own:
+                old = n.get(s, 0.0)
+                z[s] = z.get(s, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / tox.RATE * w[s]
+                n[s] = old + g * g
+            bz, bn = bz + g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / tox.RATE * b, bn + g * g
+    wanted = {s: weight(s) for s in z if weight(s)}
+    slots, weights, bias = tox.train_ftrl(texts, labels)
+    assert set(slots.tolist()) == set(wanted) and all(abs(wanted[s] - w) < 1e-9 for s, w in zip(slots.tolist(), weights, strict=True))
+    assert abs(bias + bz / ((tox.BETA + math.sqrt(bn)) / tox.RATE)) < 1e-9 and len(wanted) > 3
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     rows = [(i, words(rng, 40) + (" you horrid " * 2 if i % 4 == 0 else ""), "en", "s", 0) for i in range(400)]
