@@ -108,3 +108,23 @@ def test_near_pairs_equal_brute_force(spark):
         return 2 * 6371 * asin(min(1, sqrt(h)))
 
     assert got == {(p[0], q[0]) for p in pts for q in pts if p[0] < q[0] and km(p, q) < 700}
+
+
+def test_running_sums_equal_windows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from veristrata.operators import metrics
+    from veristrata.session import numbered, running
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(None if i % 9 == 0 else "hot" if i % 3 else f"k{i % 5}", rng.randint(0, 50), i) for i in range(3000)], "k string, v long, i long")
+    w = Window.partitionBy("k").orderBy(F.desc("v"), "i").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = df.select("k", "v", "i", F.count("*").over(Window.partitionBy("k")).alias("total"), F.count("*").over(w).alias("n"), F.sum("v").over(w).alias("s"))
+    got = running(df, ["k"], [F.desc("v"), F.asc("i")], {"n": F.lit(1), "s": F.col("v")})
+    assert got.exceptAll(wanted).count() == 0 and got.count() == 3000
+    share = df.select("k", "v", "i", F.cume_dist().over(Window.partitionBy("k").orderBy("v")).alias("ecdf"))
+    assert metrics.ecdf(df, ["k"], "v").select("k", "v", "i", "ecdf").exceptAll(share).count() == 0
+    assert {(r["i"], r["place"]) for r in numbered(df, "i").collect()} == {(i, i) for i in range(3000)}

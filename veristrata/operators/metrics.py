@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import join_same, running
+
 
 def ratio(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(other))
@@ -42,31 +44,49 @@ def aurc(df: DataFrame, keys: list[str], confidence: str = "confidence", correct
 
     Rows are taken by falling confidence, ties by falling ``tie``.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc(confidence), F.desc(tie))
-    best = Window.partitionBy(*keys).orderBy(F.desc(F.col(correct).cast("int")), F.desc(tie))
-    whole = Window.partitionBy(*keys)
     wrong = 1 - F.col(correct).cast("int")
-    up = lambda x: x.rowsBetween(Window.unboundedPreceding, 0)
-    r = df.select(*keys, confidence, correct, tie, F.row_number().over(w).alias("k"), F.row_number().over(best).alias("kb"), F.count("*").over(whole).alias("n"), F.sum(wrong).over(up(w)).alias("e"), F.sum(wrong).over(up(best)).alias("eb"))
-    r = r.withColumn("risk", F.col("e") / F.col("k")).withColumn("risk_b", F.col("eb") / F.col("kb"))
-    r = r.withColumn("last", F.coalesce(F.lag("risk").over(w), F.lit(0.0))).withColumn("last_b", F.coalesce(F.lag("risk_b").over(best), F.lit(0.0)))
-    out = r.groupBy(*keys).agg(F.sum((F.col("risk") + F.col("last")) / 2 / F.col("n")).alias("aurc"), F.sum((F.col("risk_b") + F.col("last_b")) / 2 / F.col("n")).alias("best"))
-    return out.select(*keys, "aurc", F.col("best").alias("aurc_opt"), (F.col("aurc") - F.col("best")).alias("eaurc"))
+    rows = df.select(*keys, confidence, tie, wrong.alias("_w"))
+
+    def area(order: list[Column], name: str) -> DataFrame:
+        r = running(rows, keys, order, {"k": F.lit(1), "e": F.col("_w")})
+        risk, last = F.col("e") / F.col("k"), F.when(F.col("k") > 1, (F.col("e") - F.col("_w")) / (F.col("k") - 1)).otherwise(0.0)
+        return r.groupBy(*keys).agg(F.sum((risk + last) / 2 / F.col("total")).alias(name))
+
+    out = join_same(area([F.desc(confidence), F.desc(tie)], "aurc"), area([F.asc("_w"), F.desc(tie)], "aurc_opt"), keys)
+    return out.select(*keys, "aurc", "aurc_opt", (F.col("aurc") - F.col("aurc_opt")).alias("eaurc"))
 
 
 def risk_coverage(df: DataFrame, keys: list[str], confidence: str, correct: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(confidence), F.desc(tie))
-    k, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*keys))
-    wrong = F.sum(1 - F.col(correct).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.select(*keys, tie, (k / n).alias("coverage"), (wrong / k).alias("risk"))
+    rows = df.select(*keys, tie, confidence, (1 - F.col(correct).cast("int")).alias("_w"))
+    r = running(rows, keys, [F.desc(confidence), F.desc(tie)], {"k": F.lit(1), "e": F.col("_w")})
+    return r.select(*keys, tie, (F.col("k") / F.col("total")).alias("coverage"), (F.col("e") / F.col("k")).alias("risk"))
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n, upto, total): rows of each distinct value, rows up to it and of the key in all."""
+    cells = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    r = running(cells, keys, [F.asc(value)], {"upto": F.col("n")}).drop("total")
+    return join_same(r, sizes, keys).withColumnRenamed("_size", "total")
+
+
+def ecdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the share of their key's rows whose value is not larger; ranks are those of distinct values."""
+    ranks = value_ranks(df, keys, value).select(*keys, value, (F.col("upto") / F.col("total")).alias("ecdf"))
+    return join_same(df, ranks, [*keys, value])
+
+
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
+    """(keys, n, value): the value of a rank from 1 that may depend on the key's number of rows ``total``."""
+    r = value_ranks(df, keys, value).where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    return r.select(*keys, F.col("total").alias("n"), F.col(value))
 
 
 def conformal_quantiles(df: DataFrame, keys: list[str], score: str, alpha: float = 0.1, least: int = 50) -> DataFrame:
     """Score of rank ceil((n + 1)(1 - alpha)), kept within 1..n; null for strata under ``least`` rows."""
-    w = Window.partitionBy(*keys)
-    r = df.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(score)))
-    rank = F.least(F.greatest(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.lit(1)), F.col("_n"))
-    return r.groupBy(*keys).agg(F.max("_n").alias("n"), F.max(F.when((F.col("_k") == rank) & (F.col("_n") >= least), F.col(score))).alias("quantile"))
+    rank = F.least(F.greatest(F.ceil((F.col("total") + 1) * (1 - alpha)), F.lit(1)), F.col("total"))
+    r = value_at_rank(df.select(*keys, F.col(score).alias("_score")), keys, "_score", rank)
+    return r.select(*keys, "n", F.when(F.col("n") >= least, F.col("_score")).alias("quantile"))
 
 
 def conformal_apply(df: DataFrame, quantiles: DataFrame, key: str, p: str = "p", fallback: float = 0.2) -> DataFrame:

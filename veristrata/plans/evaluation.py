@@ -148,14 +148,14 @@ def agg_latency_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("""WITH a AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY 1) SELECT event_type, v[greatest(floor(n * 0.95::DOUBLE)::INT, 1)] AS p95 FROM a""")
 def agg_load_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type")
-    r = table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
-    return r.where("k = greatest(floor(n * 0.95D), 1)").select("event_type", F.col("value").alias("p95"))
+    rank = F.greatest(F.floor(F.col("total") * 0.95), F.lit(1))
+    return M.value_at_rank(table(spark, sf_dir, "events"), ["event_type"], "value", rank).select("event_type", F.col("value").alias("p95"))
 
 
 @plan("""SELECT event_id, event_type, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS ecdf FROM events""")
 def win_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "event_type", F.round(F.cume_dist().over(Window.partitionBy("event_type").orderBy("value")), 6).alias("ecdf"))
+    e = M.ecdf(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["event_type"], "value")
+    return e.select("event_id", "event_type", F.round("ecdf", 6).alias("ecdf"))
 
 
 @plan("""SELECT event_type, q, round(v, 6) AS value FROM (SELECT event_type, unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS q, unnest(quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])) AS v FROM events GROUP BY event_type)""")

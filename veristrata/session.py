@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,6 +62,31 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which null meets null; the right side's keys are dropped."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums (whole numbers, own row included) in a total order within each key, and ``total``, the
+    key's number of rows.
+
+    Rows are dealt by ranges of (keys, order), summed within each range, and the ranges before are added: a key that
+    holds most rows is spread over many tasks. The ranges are written once, so that reruns see the same ones.
+    """
+    start = df.select("*", *[c.cast("long").alias(f"_v_{n}") for n, c in sums.items()])
+    ranged = materialize(start.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, "_part", F.sum("_n").over(Window.partitionBy(*keys)).alias("total"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.select("*", *[F.sum(f"_v_{n}").over(own).alias(f"_o_{n}") for n in sums])
+    out = join_same(rows, materialize(offsets, "offsets"), [*keys, "_part"])  # one row per key and range
+    return out.select(*df.columns, "total", *[(F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
