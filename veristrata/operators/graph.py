@@ -117,15 +117,25 @@ def near_pairs(points: DataFrame, km: float) -> DataFrame:
     return a.join(b, ["key_band", "key_cell"]).where("a < b").withColumn("km", d).where(F.col("km") < km).select("a", "b", "km").distinct()
 
 
+#: Nodes (some 60 bytes each) whose ranks are told to all tasks.
+MOST_RANKS = 1_000_000
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """Textbook PageRank without dangling mass: (id, rank). Lineage is cut every few rounds."""
+    """Textbook PageRank without dangling mass: (id, rank). Lineage is cut every few rounds.
+
+    Up to MOST_RANKS nodes the ranks go to the edges, which stay where they are read, and only partial sums by target
+    move; larger graphs meet their ranks in a shuffle.
+    """
     nodes = materialize(nodes.select("id"), "nodes")
     n = nodes.count()
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     e = materialize(edges.select("src", "dst").join(out, "src"), "edges")
     ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    small = n <= MOST_RANKS
     for i in range(iterations):
-        given = e.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+        own = ranks.withColumnRenamed("id", "src")
+        given = e.join(F.broadcast(own) if small else own, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         ranks = nodes.select("id").join(given, "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
         if (i + 1) % every == 0:
             ranks = materialize(ranks, "ranks")

@@ -216,15 +216,15 @@ def agg_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("claim").agg(F.round(V._signal("score", F.lit(True)), 6).alias("signal"))
 
 
-@plan("""WITH p AS (SELECT vec_id AS vid, embedding::DOUBLE[] AS v, (vec_id * 37 % 16000) / 100.0::DOUBLE - 80 AS lat, (vec_id * 91 % 35900) / 100.0::DOUBLE - 180 AS lon FROM embeddings), near AS (SELECT * FROM p WHERE 2 * 6371.0::DOUBLE * asin(least(1, sqrt(pow(sin((radians(48.0::DOUBLE) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(48.0::DOUBLE)) * pow(sin(radians(11.0::DOUBLE - lon) / 2), 2)))) <= 5000),
+@plan("""WITH p AS (SELECT vec_id AS vid, embedding::DOUBLE[] AS v, (vec_id % 90)::DOUBLE AS lat, (vec_id % 40)::DOUBLE AS lon FROM embeddings), near AS (SELECT * FROM p WHERE 2 * 6371.0::DOUBLE * asin(least(1, sqrt(pow(sin((radians(48.0::DOUBLE) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(48.0::DOUBLE)) * pow(sin(radians(11.0::DOUBLE - lon) / 2), 2)))) <= 1500),
 s AS (SELECT q.vec_id AS qid, vid, list_dot_product(q.embedding::DOUBLE[], v) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v, v))) AS score FROM embeddings q JOIN near ON q.vec_id <> vid WHERE q.vec_id % 20 = 0)
 SELECT qid, vid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS k FROM s) WHERE k <= 3""")
 def vec_by_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-NN among vectors whose place is within a radius."""
     e = table(spark, sf_dir, "embeddings")
-    corpus = e.selectExpr("vec_id AS vid", "embedding AS vec", "(vec_id * 37 % 16000) / 100D - 80 AS lat", "(vec_id * 91 % 35900) / 100D - 180 AS lon")
+    corpus = e.selectExpr("vec_id AS vid", "embedding AS vec", "cast(vec_id % 90 AS double) AS lat", "cast(vec_id % 40 AS double) AS lon")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return S.knn(q, corpus, 3, filt=S.PayloadFilter(near=(48.0, 11.0, 5000.0))).select("qid", "vid", F.round("score", 6).alias("score"))
+    return S.knn(q, corpus, 3, filt=S.PayloadFilter(near=(48.0, 11.0, 1500.0))).select("qid", "vid", F.round("score", 6).alias("score"))
 
 
 @plan(f"""WITH {NODES}, {EDGES}, w AS (SELECT 'Region' AS w UNION SELECT 'REGION_1' UNION SELECT 'NATION_2'), hit AS (SELECT DISTINCT id FROM nodes JOIN w ON contains(lower(name), lower(w))), u AS (SELECT src, dst, type FROM edges WHERE type = 'PART_OF' UNION ALL SELECT dst, src, type FROM edges WHERE type = 'PART_OF') SELECT DISTINCT src AS id, type, dst AS other FROM u JOIN hit ON hit.id = src""")
