@@ -129,3 +129,58 @@ def resolve_entities(claims: DataFrame, labels: DataFrame, key: str = "claim_id"
     known = labels.select("qid", "label", F.lower("label").alias("_label"))
     exact = spans.join(known, "_label").select(key, "qid", "label", F.lit(1.0).alias("similarity"), F.lit("exact").alias("source")).distinct()
     return exact, claims.join(exact.select(key).distinct(), key, "left_anti")
+
+
+# Words that say nothing about whose age a claim is.
+AGE_STOP = ("aged", "away", "dead", "death", "died", "passed", "year", "years")
+_CLAIMED = (
+    r"(?i)\b(?:died|dead|passed\s+away)\b[^.?!]{0,80}\b(?:at|aged|age|with)\s+(?:the\s+age\s+of\s+)?(\d{1,3})\b",
+    r"(?i)\b(?:died|dead|passed\s+away)\b[^.?!]{0,80}\b(\d{1,3})\s*(?:years?|yrs?)\b",
+    r"(?i)\b(\d{1,3})\s*(?:years?|yrs?)\s*old\b[^.?!]{0,80}\b(?:when\s+)?(?:he|she|they|[A-Z][a-z]+)?\s*(?:died|dead|passed\s+away)\b",
+    r"(?i)\b(?:was|were)\s+(\d{1,3})\b[^.?!]{0,80}\b(?:when\s+)?(?:he|she|they)?\s*(?:died|dead|passed\s+away)\b",
+)
+_TOLD = (
+    r"(?i)\b(?:died|dead|death)\b[^.?!]{0,100}\b(?:aged|age|at\s+the\s+age\s+of|at)\s+(\d{1,3})\b",
+    r"(?i)\b(?:aged|age)\s+(\d{1,3})\b[^.?!]{0,100}\b(?:died|dead|death)\b",
+    r"(?i)\b(\d{1,3})\s*(?:years?|yrs?)\s*old\b[^.?!]{0,100}\b(?:when\s+)?(?:he|she|they)?\s*(?:died|dead|death)\b",
+)
+_WRITTEN = r"(?i)\b(\d{1,2})\s+(January|Jan|February|Feb|March|Mar|April|Apr|May|June|Jun|July|Jul|August|Aug|September|Sept|Sep|October|Oct|November|Nov|December|Dec)\s+(\d{4})\b"
+_YEARS = r"\b(1[5-9]\d{2}|20\d{2})\s*[-–—]\s*(1[5-9]\d{2}|20\d{2})\b"
+
+
+def _first_age(c: Column, patterns: tuple[str, ...]) -> Column:
+    """Number of the first pattern that gives one from 0 to 125."""
+    age = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).cast("int")
+    return F.coalesce(*[F.when(age(p) <= 125, age(p)) for p in patterns])
+
+
+def _age_from_dates(c: Column) -> Column:
+    """Age between the first two written dates, in order, that give one from 0 to 125."""
+    month = F.create_map(*[x for i, m in enumerate(T.MONTHS) for x in (F.lit(m[:3]), F.lit(i + 1))])
+    dates = F.transform(F.regexp_extract_all(c, F.lit(_WRITTEN), F.lit(0)), lambda d: F.struct(F.regexp_extract(d, _WRITTEN, 3).cast("int").alias("y"), (month[F.lower(F.substring(F.regexp_extract(d, _WRITTEN, 2), 1, 3))] * 100 + F.regexp_extract(d, _WRITTEN, 1).cast("int")).alias("md")))
+    age = lambda a, b: b["y"] - a["y"] - F.when(b["md"] >= a["md"], 0).otherwise(1)
+    pairs = F.flatten(F.transform(dates, lambda a, i: F.transform(F.slice(dates, i + 2, F.size(dates)), lambda b: age(a, b))))
+    return F.get(F.filter(pairs, lambda x: (x >= 0) & (x <= 125)), F.lit(0))
+
+
+def death_age_rule(rows: DataFrame, claim: str = "claim", evidence: str = "evidence") -> DataFrame:
+    """Adds rule_label and rule_confidence where a claim states an age at death and the evidence is about its subject.
+
+    An equal age supports, another one refutes; ages from a range of years are known to a year only. Null: no rule.
+    """
+    text, low = F.col(evidence), F.lower(evidence)
+    r = rows.withColumn("_claimed", _first_age(F.col(claim), _CLAIMED))
+    names = F.regexp_extract_all(F.col(claim), F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0))
+    tokens = F.filter(T.significant_tokens(F.col(claim), 80), lambda t: ~t.isin(*AGE_STOP))
+    shared = F.size(F.filter(tokens, lambda t: low.contains(t)))
+    about = F.exists(names, lambda n: low.contains(F.lower(n))) | ((F.size(tokens) > 0) & (shared >= F.least(F.lit(2), F.size(tokens))))
+    years = F.regexp_extract(text, _YEARS, 2).try_cast("int") - F.regexp_extract(text, _YEARS, 1).try_cast("int")
+    r = r.withColumn("_about", about).withColumn("_exact", F.coalesce(_first_age(text, _TOLD), _age_from_dates(text)))
+    r = r.withColumn("_near", F.when(F.col("_exact").isNull() & (years >= 0) & (years <= 125), years))
+    found, gap = F.coalesce("_exact", "_near"), F.abs(F.coalesce("_exact", "_near") - F.col("_claimed"))
+    sure = F.col("_exact").isNotNull()
+    label = F.when(found.isNull(), "neutral").when(sure & (gap == 0), "support").when(gap > F.when(sure, 0).otherwise(1), "refute").otherwise("neutral")
+    confidence = F.when(found.isNull(), 0.74).when(sure & (gap == 0), 0.9).when(gap > F.when(sure, 0).otherwise(1), 0.92).otherwise(0.72)
+    rule = F.col("_claimed").isNotNull() & F.col("_about")
+    out = r.withColumn("rule_label", F.when(rule, label)).withColumn("rule_confidence", F.when(rule, confidence))
+    return out.drop("_claimed", "_about", "_exact", "_near")

@@ -177,3 +177,18 @@ def set_intersect_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.array(F.col("o_custkey") % 9, F.col("o_custkey") % 4).alias("e"))
     n = o.select(F.col("a").alias("b"), F.col("e").alias("f"))
     return o.withColumn("b", F.col("a") + 1).join(n, "b").select("a", "b", F.size(F.array_intersect("e", "f")).alias("shared"))
+
+
+@plan("""WITH c AS (SELECT c_custkey AS id, 40 + c_custkey % 50 AS claimed, 40 + c_custkey % 50 + c_custkey % 3 AS told, c_custkey % 6 AS way FROM customer)
+SELECT id, CASE WHEN way = 5 THEN 'none' WHEN way = 4 THEN 'neutral' WHEN way = 3 THEN CASE WHEN id % 3 > 1 THEN 'refute' ELSE 'neutral' END WHEN told = claimed THEN 'support' ELSE 'refute' END AS label,
+    round(CASE WHEN way = 5 THEN 0 WHEN way = 4 THEN 0.74::DOUBLE WHEN way = 3 THEN CASE WHEN id % 3 > 1 THEN 0.92::DOUBLE ELSE 0.72::DOUBLE END WHEN told = claimed THEN 0.9::DOUBLE ELSE 0.92::DOUBLE END, 2) AS confidence FROM c""")
+def fn_nli_rule_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claimed ages at death against explicit ages, dates of birth and death, ranges of years, and nothing."""
+    told = "(40 + c_custkey % 50 + c_custkey % 3)"
+    c = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id",
+        "CASE WHEN c_custkey % 2 = 0 THEN concat('Anna Maria Berg died at the age of ', 40 + c_custkey % 50, '.') ELSE concat('Anna Maria Berg was ', 40 + c_custkey % 50, ' years old when she died.') END AS claim",
+        f"""CASE c_custkey % 6 WHEN 0 THEN concat('Anna Maria Berg, painter, died in Rome aged ', {told}) WHEN 1 THEN concat('anna maria berg was ', {told}, ' years old when she died')
+            WHEN 2 THEN concat('Anna Maria Berg (4 May 1801 to 3 June ', 1801 + {told}, ')') WHEN 3 THEN concat('Anna Maria Berg (1801–', 1801 + {told}, ')') WHEN 4 THEN 'Anna Maria Berg painted.' ELSE 'Somebody else, aged 50, died.' END AS evidence""",
+    )
+    return L.death_age_rule(c).select("id", F.coalesce("rule_label", F.lit("none")).alias("label"), F.coalesce("rule_confidence", F.lit(0.0)).alias("confidence"))
