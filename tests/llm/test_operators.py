@@ -241,11 +241,13 @@ def test_joint_steps_certify_small_strata(spark):
     assert kept.where("bad").count() == 0 and kept.count() == 1100
 
 
-def test_keep_good_keeps_columns(spark, docs):
+def test_keep_good_keeps_columns(spark, docs, monkeypatch):
     labels = spark.createDataFrame([(5, 1), (5, None), (None, 0)], "doc_id long, quality int")
     kept = quality.keep_good(docs.withColumn("n_words", F.lit("clash")), labels)
     assert kept.columns[:5] == docs.columns and {r["doc_id"] for r in kept.collect()} >= {5, 6, 9}
     assert 4 not in {r["doc_id"] for r in kept.collect()}
+    monkeypatch.setattr(quality, "MOST_REJECTED", 0)
+    assert quality.keep_good(docs, labels).exceptAll(kept.select(docs.columns)).count() == 0 and quality.keep_good(docs, labels).count() == kept.count()
 
 
 def brute_pii(t):

@@ -36,8 +36,8 @@ CUTOFFS = {
 }
 #: Joint steps, strictest first: one cutoff of every rule.
 STEPS = [dict(zip(CUTOFFS, cuts, strict=True)) for cuts in zip(*CUTOFFS.values(), strict=True)]
-#: Rejected documents (some 40 bytes each) that are told to all tasks; more meet the documents in a shuffle.
-MOST_REJECTED = 1_000_000
+#: Rejected documents (some 160 bytes each) that are told to all tasks; more meet the documents in a shuffle.
+MOST_REJECTED = 300_000
 _SMALL = 64  # distinct repeated windows up to which a scan of them is cheaper than sorting structs
 
 
