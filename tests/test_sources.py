@@ -62,7 +62,7 @@ def test_token_bucket_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(1, i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate([0, 0, 0, 1, 10])] + [(2, 9, t0)]
     s = _stream(spark, tmp_path, rows, "user_id long, event_id long, ts timestamp")
-    got = {r["event_id"]: r["allowed"] for r in _drain(limits.token_bucket(s, "user_id", "ts", 1.0, 2.0), "bucket", "append", tmp_path)}
+    got = {r["event_id"]: r["allowed"] for r in _drain(limits.token_bucket(s, "user_id", "ts", 1.0, 2.0, forget=False), "bucket", "append", tmp_path)}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 9: True}
 
 
