@@ -58,10 +58,18 @@ def worker_claims(c: Column, most: int) -> Column:
     return F.filter(F.transform(source, lambda s: F.substring(F.regexp_replace(F.trim(s), r"^[-*][ \t\n\r]*", ""), 1, 1000)), lambda s: s != "")
 
 
+def raw_tokens(c: Column) -> Column:
+    """Lower-case pieces of letters, digits and hyphens."""
+    return F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9 \t\n\r-]", " "), SPACES)
+
+
+def is_significant(token: Column) -> Column:
+    return (F.length(token) > 3) & ~token.isin(*CLAIM_STOP)
+
+
 def significant_tokens(c: Column, most: int | None = None) -> Column:
     """Lower-case tokens of more than three characters without stop words, all or the first ``most``."""
-    tokens = F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9 \t\n\r-]", " "), SPACES)
-    kept = F.filter(tokens, lambda t: (F.length(t) > 3) & ~t.isin(*CLAIM_STOP))
+    kept = F.filter(raw_tokens(c), is_significant)
     return kept if most is None else F.slice(kept, 1, most)
 
 

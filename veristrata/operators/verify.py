@@ -33,7 +33,7 @@ def evidence_pairs(claim_rows: DataFrame, evidence: DataFrame, keys: list[str],
     claims' tokens leave the scan. Sums are made where a document's tokens lie, and each task hands on a claim's best.
     """
     own = materialize(claim_rows.select(*keys, F.explode(F.array_distinct(T.significant_tokens(F.col("claim")))).alias("token")), "claim-tokens")
-    words = evidence.select("doc_id", F.explode(F.array_distinct(T.significant_tokens(F.col("text")))).alias("token"))
+    words = evidence.select("doc_id", F.explode(F.array_distinct(T.raw_tokens(F.col("text")))).alias("token")).where(T.is_significant(F.col("token")))
     hits = materialize(words.join(told(own.select("token").distinct()), "token", "left_semi"), "hits")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     weighted = own.join(df, "token").withColumn("weight", F.round(1000 * F.log(1 + F.lit(evidence.count()) / F.col("df"))).cast("long")).drop("df")
@@ -41,28 +41,37 @@ def evidence_pairs(claim_rows: DataFrame, evidence: DataFrame, keys: list[str],
     shared = pairs.groupBy(*keys, "doc_id").agg(F.sum("weight").alias("shared"))
     best = Window.partitionBy(*keys).orderBy(F.desc("shared"), "doc_id")
     top = materialize(shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(claim_rows, keys), "top")
-    return evidence.select("doc_id", "text", "source").join(told(top), "doc_id")
+    found = evidence.select("doc_id", "text", "source").join(told(materialize(top.select("doc_id").distinct(), "found")), "doc_id", "left_semi")
+    return with_cues(found.repartition("doc_id"), "text").join(told(top), "doc_id")  # once for each text, however many claims find it
+
+
+def with_cues(evidence: DataFrame, text: str) -> DataFrame:
+    """Adds what a label needs of a text: its first tokens and the weight of its refuting cues."""
+    return evidence.withColumn("label_tokens", T.significant_tokens(F.col(text), LABEL_TOKENS)).withColumn("cue", T.refuting_cues(F.col(text)))
 
 
 def lexical_label(pairs: DataFrame, claim: str = "claim", evidence: str = "text") -> DataFrame:
     """Label and scores from token overlap and refuting cues: nli_label, supporting, refuting, neutral, relevance.
 
-    The overlap of a claim with a found text looks at LABEL_TOKENS tokens of each, which is the label's definition.
+    The overlap of a claim with a found text looks at LABEL_TOKENS tokens of each, which is the label's definition. Pairs
+    of ``evidence_pairs`` bring ``label_tokens`` and ``cue`` along; others get them here.
     """
-    p = pairs.withColumn("_own", T.significant_tokens(F.col(claim), LABEL_TOKENS)).withColumn("_other", T.significant_tokens(F.col(evidence), LABEL_TOKENS))
-    p = p.withColumn("_n", F.size("_own"))
-    p = p.withColumn("ratio", F.when(F.col("_n") == 0, 0.0).otherwise(F.size(F.filter("_own", lambda t: F.array_contains(F.col("_other"), t))) / F.col("_n")))
-    cue, ratio = T.refuting_cues(F.col(evidence)), F.col("ratio")
-    p = p.withColumn("_cue", cue)
-    p = p.withColumn("nli_label", F.when((F.col("_cue") > 0) & (ratio >= 0.35), "refute").when(ratio >= 0.42, "support").otherwise("neutral"))
+    if "label_tokens" not in pairs.columns:
+        pairs = with_cues(pairs, evidence)
+    # each side is bound to a lambda's variable: a column named within a lambda is computed again for each of its elements
+    own, other = T.significant_tokens(F.col(claim), LABEL_TOKENS), F.col("label_tokens")
+    share = lambda o, e: F.when(F.size(o) == 0, 0.0).otherwise(F.size(F.filter(o, lambda t: F.array_contains(e, t))) / F.size(o))
+    p = pairs.withColumn("ratio", F.element_at(F.zip_with(F.array(own), F.array(other), share), 1))
+    ratio = F.col("ratio")
+    p = p.withColumn("nli_label", F.when((F.col("cue") > 0) & (ratio >= 0.35), "refute").when(ratio >= 0.42, "support").otherwise("neutral"))
     refute, support, neutral = (F.col("nli_label") == x for x in ("refute", "support", "neutral"))
-    p = p.withColumn("confidence", F.when(refute, T.clamp(0.55 + F.col("_cue") + ratio * 0.2, 0.55, 0.86)).otherwise(T.clamp(0.35 + ratio * 0.45, 0.25, 0.78)))
+    p = p.withColumn("confidence", F.when(refute, T.clamp(0.55 + F.col("cue") + ratio * 0.2, 0.55, 0.86)).otherwise(T.clamp(0.35 + ratio * 0.45, 0.25, 0.78)))
     return (
         p.withColumn("supporting", F.when(support, F.col("confidence")).otherwise(0.08))
         .withColumn("refuting", F.when(refute, F.col("confidence")).otherwise(0.05))
         .withColumn("neutral", F.when(neutral, F.col("confidence")).otherwise(1 - F.col("confidence")))
         .withColumn("relevance", T.clamp(0.15 + ratio * 0.6, 0.15, 0.75))
-        .drop("_own", "_other", "_n", "_cue")
+        .drop("label_tokens", "cue")
     )
 
 
