@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veristrata.operators import candidates as C
 from veristrata.operators import chunking, inference
 from veristrata.operators import claims as L
 from veristrata.operators import verify as V
@@ -99,3 +100,33 @@ def test_answers_that_are_cut_off_or_empty(spark):
     rows = [(1, "```json\n{\"claims\": [{\"text\": \"A b.\"}]}", "x A B."), (2, "{\"claims\": \"no list\"}", "A sentence of its own. Short."), (3, "[{\"text\": \" \"}, {\"claim_type\": \"causal\", \"text\": \"c\"}]", "d"), (4, None, None)]
     got = [(r["id"], r["claim"], r["claim_type"], r["lo"], r["hi"]) for r in L.parse_claims(spark.createDataFrame(rows, "id int, answer string, text string"), ["id"]).orderBy("id", "ord").collect()]
     assert got == [(1, "A b.", "unclassified", 2, 6), (2, "A sentence of its own.", "unclassified", 0, 22), (3, "c", "causal", None, None)]
+
+
+def test_article_chunks_hold_whole_sentences_and_their_section():
+    first, second = (" ".join(f"{w} sentence {i} is here for size." for i in range(20)) for w in ("Early", "Late"))
+    raw, plain = f"{first}\n== Later ==\n{second}", f"{first} {second}"
+    own = chunking.article_chunks(raw, plain)  # one sentence fits into the overlap: its space is not counted
+    assert all(plain[a - (a > 0) :].startswith(t[:20]) and len(t) <= 512 + 64 for a, _, _, t in own)
+    assert [s for _, _, s, _ in own][:2] == ["Introduction", "Introduction"] and own[-2][2] == "Later" and own[0][0] == 0
+    assert all(s in " ".join(t for *_, t in own) for s in plain.split(". ")[:-1])
+    assert chunking.article_chunks("x", "Too short. It is.") == [] and chunking.article_chunks("", "") == []
+
+
+def test_first_tree_stays_in_its_component():
+    edges = np.array([[0, 1], [1, 2], [0, 2], [3, 4]])
+    assert inference.first_tree(5, edges, np.array([0.2, 0.9, 0.2, 1.0])) == [0, 1]
+    assert inference.first_tree(1, np.zeros((0, 2), dtype=int), np.zeros(0)) == []
+
+
+def test_candidates_of_odd_texts(spark):
+    rows = [("The great Marie Curie (Warsaw) discovered radium.",), ("",), (None,), ("is what",), ("The a der is it",)]
+    got = spark.createDataFrame(rows, "t string").select(C.named_candidates(F.col("t")), C.subject_guess(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(["Marie Curie Warsaw"], "great Marie Curie Warsaw"), ([], ""), ([], ""), ([], ""), ([], "")]
+
+
+def test_false_variants_only_where_too_few_are_false(spark):
+    few = spark.createDataFrame([(i, f"It is {i} years old in 1990", i > 0) for i in range(10)], "id long, text string, label boolean")
+    got = {r["id"]: r for r in C.with_false_variants(few).collect()}
+    made = [r for r in got.values() if r["id"] < 0]
+    assert len(made) == 5 and all(not r["label"] and r["text"] != got[-r["id"] - 1]["text"] for r in made if r["kind"] != "synthetic")
+    assert C.with_false_variants(few.withColumn("label", F.col("id") > 5)).count() == 10 and C.with_false_variants(few.limit(0)).count() == 0

@@ -4,6 +4,7 @@ expresses, so each text is chunked by a small function within a vectorized UDF."
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,6 +76,55 @@ def claim_chunks(text: str, tokens: int = 1000, overlap: int = 100) -> list[tupl
     return out
 
 
+_HEADER = re.compile(r"^(={2,6})[ \t]*([^\n]+?)[ \t]*\1[ \t]*$", re.MULTILINE)
+_CAPITAL = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+ARTICLE_CHUNKS = "array<struct<start:int,end:int,section:string,text:string>>"
+
+
+def section_of(raw: str, plain_length: int):
+    """Finds the section at a place of the plain text: its share of the plain length, as a place in the raw text."""
+    heads = list(_HEADER.finditer(raw))
+    names = (["Introduction"] if not heads or heads[0].start() > 0 else []) + [h.group(2).strip() for h in heads]
+    ends = ([heads[0].start()] if heads and heads[0].start() > 0 else []) + [h.start() for h in heads[1:]] + [len(raw)]
+    return lambda place: names[min(bisect_right(ends, int(place / max(plain_length, 1) * len(raw))), len(names) - 1)]
+
+
+def article_chunks(raw: str, plain: str, size: int = 512, overlap: int = 64, least: int = 100) -> list[tuple[int, int, str, str]]:
+    """(start, end, section, text): sentences of the plain text up to ``size`` characters, after the last sentences of the
+    chunk before that fit into ``overlap``. Places count one space between sentences, but, as upstream, none
+    within the overlap that a chunk begins with. A last chunk under ``least`` characters is left out; one that stays has
+    the section of the chunk before it."""
+    sentences = [s.strip() for s in _CAPITAL.split(plain) if s.strip()] if len(plain) >= least else []
+    find, out, section = section_of(raw, len(plain)), [], "Introduction"
+    own: list[str] = []
+    held = start = at = 0
+    for s in sentences:
+        if own and held + len(s) > size:
+            section = find((start + at) // 2)
+            out.append((start, at, section, " ".join(own)))
+            kept, held = [], 0
+            while own and held + len(own[-1]) <= overlap:
+                kept.append(own.pop())
+                held += len(kept[-1])
+            own, start = kept[::-1], at - held
+        own.append(s)
+        held += len(s)
+        at += len(s) + 1
+    if own and held >= least:
+        out.append((start, at, section, " ".join(own)))
+    return out
+
+
+def article_column(raw: Column, plain: Column) -> Column:
+    """Chunks of articles with their sections: an array of (start, end, section, text); nulls count as empty."""
+
+    @F.pandas_udf(ARTICLE_CHUNKS)
+    def run(raws: pd.Series, plains: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "end", "section", "text"), c, strict=True)) for c in article_chunks(r or "", p or "")] for r, p in zip(raws, plains, strict=True)])
+
+    return run(raw, plain)
+
+
 def chunk_column(c: Column, how) -> Column:
     """A chunker over a text column: an array of (start, text); a null text has none."""
 

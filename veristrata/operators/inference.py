@@ -89,6 +89,28 @@ def spanning_cover(n: int, edges: np.ndarray, strength: np.ndarray) -> np.ndarra
     return np.maximum((first.astype(float) + second) / 2, 0.25)
 
 
+def first_tree(n: int, edges: np.ndarray, strength: np.ndarray) -> list[int]:
+    """Edges of the strongest spanning tree of node 0's component, in the order they join it; of equals the first."""
+    reached, chosen = np.arange(n) == 0, []
+    while len(edges) and (cut := np.flatnonzero(reached[edges[:, 0]] != reached[edges[:, 1]])).size:
+        chosen.append(int(cut[np.argmax(strength[cut])]))
+        reached[edges[chosen[-1]]] = True
+    return chosen
+
+
+def spanning_trees(pairs: DataFrame) -> DataFrame:
+    """(doc, a, b, step) of the strongest spanning tree from each document's smallest claim: pairs (doc, a, b, strength)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["a", "b"]).reset_index(drop=True)
+        names = sorted(set(p["a"]) | set(p["b"]))
+        place = {c: i for i, c in enumerate(names)}
+        chosen = first_tree(len(names), np.stack([p["a"].map(place), p["b"].map(place)], 1), p["strength"].to_numpy(dtype=float))
+        return p.loc[chosen, ["doc", "a", "b"]].assign(step=range(len(chosen)))
+
+    return pairs.select("doc", "a", "b", "strength").groupBy("doc").applyInPandas(run, "doc long, a long, b long, step long")
+
+
 def log_bound(unary: np.ndarray, edges: np.ndarray, binary: np.ndarray, p: np.ndarray, messages: np.ndarray, rho: np.ndarray) -> float:
     """Reweighted free energy at the marginals: expected log potentials, node entropies, less weighted information."""
     entropy = lambda q: -float((q * np.log(np.maximum(q, 1e-12))).sum())

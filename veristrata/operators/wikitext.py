@@ -68,6 +68,24 @@ def link_text(c: Column) -> Column:
     return strip(c)
 
 
+LIST = r"(?is)\{\{\s*(?:hlist|plainlist|flatlist|ubl|unbulleted\s*list|bulleted\s*list)\b(.*?)\}\}"
+
+
+def list_items(c: Column) -> Column:
+    """Items of a value, sorted: of a list template, else its links, else its parts at the first of comma, new line,
+    semicolon and "and" that it holds. Parts have 2 to 99 characters; bars after a template's opening do not part, bars in links do."""
+    body = F.regexp_extract(c, LIST, 1)
+    head = F.substring_index(body, "{{", 1)
+    parts = F.split(F.concat(F.replace(head, F.lit("|"), F.lit(MARK)), F.substring(body, F.length(head) + 1, F.length(body))), MARK)
+    fit = lambda a: F.filter(F.transform(a, strip), lambda x: (F.length(x) > 1) & (F.length(x) < 100))
+    listed = fit(F.flatten(F.transform(parts, lambda x: F.transform(F.split(x, r"[\n\r]+|\*"), link_text))))
+    linked = F.filter(F.transform(F.regexp_extract_all(c, F.lit(LINK), F.lit(1)), strip), lambda x: F.length(x) > 1)
+    plain, pieces = link_text(c), F.array().cast("array<string>")
+    for sep in (" and ", ";", "\n", ","):
+        pieces = F.when(plain.contains(sep), fit(F.split(plain, sep))).otherwise(pieces)
+    return F.array_sort(F.array_distinct(F.when(F.size(listed) > 0, listed).when(F.size(linked) > 0, linked).otherwise(pieces)))
+
+
 _NESTED = r"\{\{(?:[^{}]|\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})*\}\}"
 
 

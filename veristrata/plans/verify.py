@@ -236,7 +236,7 @@ def _factor_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @plan()
 def gr_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors by belief propagation on each document's claims (gr_lbp, gr_trwbp, gr_marginals)."""
+    """Posteriors by belief propagation on the factor graph of each document's claims (gr_factor_graph, gr_trwbp, gr_marginals)."""
     from ..operators import inference as I
 
     return I.infer(*_factor_graph(spark, sf_dir)).withColumn("p_true", F.round("p_true", 5)).drop("log_bound", "mismatch")
