@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, fim, trie
+from .bpe import op13_byte_bpe
 from .chat import op6_chat_formatting
+from .fim import op12_fill_in_middle
 from .fingerprints import op9_document_fingerprints
 from .license import op7_license_scan
 from .mixing import op3_mixing_pareto
@@ -17,6 +19,7 @@ from .pii import op2_pii_skip_chain
 from .quality import op8_quality_rules
 from .tokens import op4_token_files
 from .toxicity import op1_toxicity_ftrl
+from .trie import op11_conversation_trie
 
 _QUERIES = [
     op1_toxicity_ftrl,
@@ -29,6 +32,9 @@ _QUERIES = [
     op8_quality_rules,
     op9_document_fingerprints,
     op10_best_fit_packing,
+    op11_conversation_trie,
+    op12_fill_in_middle,
+    op13_byte_bpe,
 ]
 
 
@@ -37,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.ORACLE_SQL}
+    return {"op6_chat_formatting": chat.ORACLE_SQL, "op11_conversation_trie": trie.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
