@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -74,17 +76,16 @@ class Vocabulary:
 
     WIDEST = 512  # bytes of a part in a matrix
     CELLS = 1 << 20  # cells of a matrix
-    LIMIT = 600_000  # parts in the memo
-    LONGEST = 40  # characters of a part in the memo
-    POOL = 8 << 20  # ids in the pool
+    LIMIT = 300_000  # parts in the memo
+    LONGEST = 24  # characters of a part in the memo
+    POOL = 4 << 20  # ids in the pool
+    AT_ONCE = 1 << 20  # characters of the texts that are parted at once, one text at least
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
         self.ranks, self.parts = ranks, regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        halves = [(a, b, made) for token, made in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
-        self.pairs = PairTable(*np.array(halves, dtype=np.int64).reshape(-1, 3).T)
         tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             tokens[i] = token
@@ -94,6 +95,17 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(t or b"" for t in tokens), dtype=np.uint8)
         self._reset()
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        """Every way to put a token together from two; only encoding asks for it."""
+        flat = array("q")
+        for token, made in self.ranks.items():
+            for i in range(1, len(token)):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    flat.extend((a, b, made))
+        return PairTable(*np.frombuffer(flat, dtype=np.int64).reshape(-1, 3).T)
+
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as f:
@@ -207,6 +219,16 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
+        ends = np.cumsum([0, *map(len, texts)])
+        at, ids, counts = 0, [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.AT_ONCE, "right")) - 1)
+            for out, own in zip((ids, counts), self._encode(texts[at:to]), strict=True):
+                out.append(own)
+            at = to
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.LIMIT or self.used > self.POOL:
             self._reset()
         split = [self.parts(t) if t else [] for t in texts]
