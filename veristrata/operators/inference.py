@@ -186,6 +186,21 @@ def infer(nodes: DataFrame, pairs: DataFrame, rigor: str = "balanced", check: fl
     return nodes.groupBy("doc").cogroup(pairs.groupBy("doc")).applyInPandas(lambda k, a, b: run(k, a, b), BELIEF)
 
 
+def sampled(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, claim, share): how often the sampler found each claim true; one document's claims in a task."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("claim").reset_index(drop=True)
+        place = {c: i for i, c in enumerate(left["claim"])}
+        right = right[right["a"].isin(place) & right["b"].isin(place) & (right["a"] != right["b"])].sort_values(["a", "b"])
+        edges = np.array([(place[a], place[b]) for a, b in zip(right["a"], right["b"], strict=True)], dtype=int).reshape(-1, 2)
+        same, other = right["log_same"].to_numpy(dtype=float), right["log_other"].to_numpy(dtype=float)
+        binary = np.stack([np.stack([same, other], 1), np.stack([other, same], 1)], 1)
+        return left[["doc", "claim"]].assign(share=gibbs(left[["log_false", "log_true"]].to_numpy(dtype=float), edges, binary, seed_of(left["claim"].tolist())))
+
+    return nodes.groupBy("doc").cogroup(pairs.groupBy("doc")).applyInPandas(run, "doc string, claim string, share double")
+
+
 def nearest_correlation(r: np.ndarray, floor: float = 1e-4) -> np.ndarray:
     """Nearest correlation matrix: negative eigenvalues lifted, diagonal brought back to one."""
     values, vectors = np.linalg.eigh((r + r.T) / 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import dealt, materialize
 
 
 def claims(texts: DataFrame, id_col: str, text_col: str = "text", most: int = 13) -> DataFrame:
@@ -25,23 +25,83 @@ def told(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_TOLD else df
 
 
-def evidence_pairs(claim_rows: DataFrame, evidence: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
-    """Each claim with its ``most`` best evidence texts: by summed weights of shared tokens, then by doc_id.
+#: Texts that a claim's rarest tokens may reach for a first bound of its best sums, and how many times as many texts as
+#: are asked for are then summed in full.
+SEED_TEXTS, SEED_BEST = 200, 6
 
-    ``evidence``: doc_id (one row each), text, source. Whole texts are searched, and every token counts, with the weight
-    round(1000 ln(1 + texts / texts that hold it)); whole numbers, so that sums do not depend on their order. Only the
-    claims' tokens leave the scan. Sums are made where a document's tokens lie, and each task hands on a claim's best.
+
+def claim_tokens(claim_rows: DataFrame, evidence: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(weighted, hits): each claim's tokens, and where they stand in the evidence (doc_id, token).
+
+    ``weighted`` has weight, df (texts that hold the token), ``rest``, the weights of this token and of all that are not
+    rarer, and ``seed``: the claim's rarest token, and the next ones while all of them reach at most SEED_TEXTS texts. Only
+    the claims' tokens leave the scan.
     """
     own = materialize(claim_rows.select(*keys, F.explode(F.array_distinct(T.significant_tokens(F.col("claim")))).alias("token")), "claim-tokens")
     words = evidence.select("doc_id", F.explode(F.array_distinct(T.raw_tokens(F.col("text")))).alias("token")).where(T.is_significant(F.col("token")))
     hits = materialize(words.join(told(own.select("token").distinct()), "token", "left_semi"), "hits")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = own.join(df, "token").withColumn("weight", F.round(1000 * F.log(1 + F.lit(evidence.count()) / F.col("df"))).cast("long")).drop("df")
-    pairs = hits.repartition("doc_id").join(told(materialize(weighted, "weights")), "token")
-    shared = pairs.groupBy(*keys, "doc_id").agg(F.sum("weight").alias("shared"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("shared"), "doc_id")
-    top = materialize(shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(claim_rows, keys), "top")
-    found = evidence.select("doc_id", "text", "source").join(told(materialize(top.select("doc_id").distinct(), "found")), "doc_id", "left_semi")
+    weighted = own.join(df, "token").withColumn("weight", F.round(1000 * F.log(1 + F.lit(evidence.count()) / F.col("df"))).cast("long"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("weight"), "token")  # one claim's tokens
+    after, before = order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, 0)
+    seed = (F.sum("df").over(before) <= SEED_TEXTS) | (F.row_number().over(order) == 1)
+    return materialize(weighted.select("*", F.sum("weight").over(after).alias("rest"), seed.alias("seed")), "weights"), hits
+
+
+def _sums(tokens: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, doc_id, shared): summed weights of the tokens that a claim and a text share."""
+    return hits.join(told(tokens.select(*keys, "token", "weight")), "token").groupBy(*keys, "doc_id").agg(F.sum("weight").alias("shared"))
+
+
+def _completed(sums: DataFrame, tokens: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of (keys, doc_id, shared) with the weights of further tokens of the claim that the text holds."""
+    asked = sums.select(*keys, "doc_id").join(told(tokens.select(*keys, "token", "weight")), keys)
+    more = asked.join(hits, ["doc_id", "token"]).select(*keys, "doc_id", F.col("weight").alias("shared"))
+    return sums.unionByName(more).groupBy(*keys, "doc_id").agg(F.sum("shared").alias("shared"))
+
+
+def _best(sums: DataFrame, keys: list[str], most: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc("shared"), "doc_id")
+    return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def prefix_tokens(weighted: DataFrame, hits: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """(tokens, seeds): ``weighted`` with ``bound`` and ``prefix``, and the sums over seed tokens.
+
+    ``bound`` is a sum that at least ``most`` texts of the claim reach (0 if fewer are known): the best texts of the seeds
+    are summed in full. A text with none of the tokens whose ``rest`` is at least the bound has a smaller sum than these,
+    so it is not among the best. These tokens and the seeds are the claim's prefix.
+    """
+    seeds = materialize(_sums(weighted.where("seed"), hits, keys), "seeds")
+    full = _completed(materialize(_best(seeds, keys, SEED_BEST * most).drop("rank"), "seed-best"), weighted.where("NOT seed"), hits, keys)
+    bound = _best(full, keys, most).where(F.col("rank") == most).select(*keys, F.col("shared").alias("bound"))
+    bounded = weighted.join(told(materialize(bound, "bounds")), keys, "left").fillna(0, ["bound"])
+    return materialize(bounded.withColumn("prefix", F.col("seed") | (F.col("rest") >= F.col("bound"))), "prefixes"), seeds
+
+
+def best_texts(claim_rows: DataFrame, evidence: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """(keys, doc_id, shared, rank): the ``most`` texts of each claim with the largest summed weights, then by doc_id.
+
+    Texts come from the tokens of each claim's prefix only; those whose sum could still reach the bound are summed over
+    the claim's other tokens.
+    """
+    weighted, hits = claim_tokens(claim_rows, evidence, keys)
+    tokens, seeds = prefix_tokens(weighted, hits, keys, most)
+    limits = tokens.groupBy(*keys).agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(~F.col("prefix"), F.col("weight"))), F.lit(0)).alias("beyond"))
+    sums = seeds.unionByName(_sums(tokens.where("prefix AND NOT seed"), hits, keys)).groupBy(*keys, "doc_id").agg(F.sum("shared").alias("shared"))
+    near = sums.join(told(materialize(limits, "limits")), keys).where(F.col("shared") + F.col("beyond") >= F.col("bound"))
+    return _best(_completed(materialize(near.select(*keys, "doc_id", "shared"), "near"), tokens.where("NOT prefix"), hits, keys), keys, most)
+
+
+def evidence_pairs(claim_rows: DataFrame, evidence: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """Each claim with its ``most`` best evidence texts: by summed weights of shared tokens, then by doc_id.
+
+    ``evidence``: doc_id (one row each), text, source. Whole texts are searched, and every token counts, with the weight
+    round(1000 ln(1 + texts / texts that hold it)); whole numbers, so that sums do not depend on their order.
+    """
+    evidence = dealt(evidence.select("doc_id", "text", "source"))
+    top = materialize(best_texts(claim_rows, evidence, keys, most).join(claim_rows, keys), "top")
+    found = evidence.join(told(materialize(top.select("doc_id").distinct(), "found")), "doc_id", "left_semi")
     return with_cues(found.repartition("doc_id"), "text").join(told(top), "doc_id")  # once for each text, however many claims find it
 
 

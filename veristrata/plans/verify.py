@@ -234,29 +234,49 @@ def _factor_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return I.unary_factors(c, ["doc", "claim"]), pairs
 
 
-@plan()
+#: Exact marginals of a chain of claims, from messages along it in both directions.
+_CHAIN = f"""{_UN}, n AS (SELECT doc, claim, lf, lt, lt - lf AS odds, lt * w AS same, lf * w AS other, row_number() OVER (PARTITION BY doc ORDER BY claim) AS k, count(*) OVER (PARTITION BY doc) AS size FROM (
+    SELECT *, ln(greatest(contradict + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) AS lf, ln(greatest(entail + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) AS lt, greatest(0, least(1, greatest(entail, contradict) - neutral)) AS w FROM e)),
+f AS (SELECT doc, k, 0.0::DOUBLE AS m, lf AS z0, lt AS z1 FROM n WHERE k = 1 UNION ALL SELECT y.doc, y.k, ln((exp(x.same + x.odds + f.m) + exp(x.other)) / (exp(x.other + x.odds + f.m) + exp(x.same))),
+    y.lf + ln(exp(f.z0 + x.same) + exp(f.z1 + x.other)), y.lt + ln(exp(f.z1 + x.same) + exp(f.z0 + x.other)) FROM f JOIN n x ON x.doc = f.doc AND x.k = f.k JOIN n y ON y.doc = f.doc AND y.k = f.k + 1),
+g AS (SELECT doc, k, 0.0::DOUBLE AS m FROM n WHERE k = size UNION ALL SELECT x.doc, x.k, ln((exp(x.same + y.odds + g.m) + exp(x.other)) / (exp(x.other + y.odds + g.m) + exp(x.same)))
+    FROM g JOIN n y ON y.doc = g.doc AND y.k = g.k JOIN n x ON x.doc = g.doc AND x.k = g.k - 1),
+exact AS (SELECT n.doc, claim, size, 1 / (1 + exp(-(odds + f.m + g.m))) AS p, f.z0, f.z1, n.k FROM n JOIN f USING (doc, k) JOIN g USING (doc, k))"""
+
+
+@plan(f"""WITH RECURSIVE {_CHAIN} SELECT doc::VARCHAR AS doc, claim::VARCHAR AS claim, round(p, 6) AS p_true, true AS converged, CASE WHEN size > 1 THEN 'trw_bp' ELSE 'unary' END AS algorithm, size - 1 AS edge_count FROM exact""")
 def gr_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors by belief propagation on the factor graph of each document's claims (gr_factor_graph, gr_trwbp, gr_marginals)."""
-    from ..operators import inference as I
+    """Posteriors of all claims by propagation over the message table of each document's factor graph (gr_factor_graph, gr_marginals)."""
+    from ..operators import propagation as B
 
-    return I.infer(*_factor_graph(spark, sf_dir)).withColumn("p_true", F.round("p_true", 5)).drop("log_bound", "mismatch")
+    return B.infer(*_factor_graph(spark, sf_dir), tolerance=1e-9).select("doc", "claim", F.round("p_true", 6).alias("p_true"), "converged", "algorithm", "edge_count")
 
 
-@plan(f"""WITH {_UN}, n AS (SELECT doc, claim, ln(greatest(contradict + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) AS lf, ln(greatest(entail + 0.5::DOUBLE * neutral, 0.001::DOUBLE)) AS lt, greatest(0, least(1, greatest(entail, contradict) - neutral)) AS w, row_number() OVER (PARTITION BY doc ORDER BY claim) AS k FROM e),
-t AS (SELECT * FROM n WHERE k <= 3), a AS (SELECT x.doc, x.claim AS c1, y.claim AS c2, z.claim AS c3, s1, s2, s3, exp(CASE s1 WHEN 1 THEN x.lt ELSE x.lf END + CASE s2 WHEN 1 THEN y.lt ELSE y.lf END + CASE s3 WHEN 1 THEN z.lt ELSE z.lf END
-    + CASE WHEN s1 = s2 THEN x.lt ELSE x.lf END * x.w + CASE WHEN s2 = s3 THEN y.lt ELSE y.lf END * y.w) AS p FROM t x JOIN t y ON x.doc = y.doc AND x.k = 1 AND y.k = 2 JOIN t z ON z.doc = x.doc AND z.k = 3, (VALUES (0), (1)) a(s1), (VALUES (0), (1)) b(s2), (VALUES (0), (1)) c(s3))
-SELECT doc::VARCHAR AS doc, unnest([c1, c2, c3])::VARCHAR AS claim, round(unnest([sum(p * s1) / sum(p), sum(p * s2) / sum(p), sum(p * s3) / sum(p)]), 3) AS p_true FROM a GROUP BY doc, c1, c2, c3""")
+@plan(f"""WITH RECURSIVE {_CHAIN} SELECT doc::VARCHAR AS doc, claim::VARCHAR AS claim, round(p, 6) AS p_true FROM exact""")
 def gr_lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Propagation on chains of three claims, where it is exact: the SQL sums over all eight worlds."""
-    from pyspark.sql.window import Window
+    """Plain propagation over all claims; the graphs are chains, where it is exact."""
+    from ..operators import propagation as B
+
+    return B.infer(*_factor_graph(spark, sf_dir), "fast", tolerance=1e-9, rounds=200).select("doc", "claim", F.round("p_true", 6).alias("p_true"))
+
+
+@plan(f"""WITH RECURSIVE {_CHAIN} SELECT doc::VARCHAR AS doc, round(ln(exp(z0) + exp(z1)), 5) AS log_bound FROM exact WHERE k = size""")
+def gr_trwbp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reweighted form's bound of each document's log partition function; on a tree it is the function itself."""
+    from ..operators import propagation as B
+
+    return B.infer(*_factor_graph(spark, sf_dir), tolerance=1e-9).select("doc", F.round("log_bound", 5).alias("log_bound")).distinct()
+
 
+@plan(f"""WITH {_UN} SELECT doc::VARCHAR AS doc, claim::VARCHAR AS claim, true AS near FROM e""")
+def gr_gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the seeded sampler's share of each claim comes within 0.1 of the propagated posterior."""
     from ..operators import inference as I
+    from ..operators import propagation as B
 
     nodes, pairs = _factor_graph(spark, sf_dir)
-    three = nodes.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("claim").cast("long")))).where("k <= 3")
-    whole = three.groupBy("doc").agg(F.count("*").alias("n")).where("n = 3").select("doc")
-    own = three.join(whole, "doc").select(*[F.col(c).alias(c) for c in nodes.columns])
-    return I.infer(own, pairs, "fast").select("doc", "claim", F.round("p_true", 3).alias("p_true"))
+    both = B.infer(nodes, pairs).select("doc", "claim", "p_true").join(I.sampled(nodes, pairs), ["doc", "claim"])
+    return both.select("doc", "claim", (F.abs(F.col("share") - F.col("p_true")) <= 0.1).alias("near"))
 
 
 @plan()

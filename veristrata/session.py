@@ -87,6 +87,12 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     return out.select(*df.columns, "total", *[(F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table read in fewer tasks than there are cores (one row group, say), dealt to all; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
