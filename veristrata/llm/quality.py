@@ -52,8 +52,9 @@ def quality_features(docs: DataFrame) -> DataFrame:
     expressions within lambdas.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    d = d.withColumn("trimmed", F.regexp_replace("text", f"^[{SPACE}]+|[{SPACE}]+$", ""))
-    d = d.withColumn("words", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", f"[{SPACE}]+")))
+    # only the first and the last part can be empty; a pattern that trims would try every inner run of white space
+    d = d.withColumn("words", F.split("text", f"[{SPACE}]+"))
+    d = d.withColumn("words", F.expr("slice(words, 1 + int(words[0] = ''), size(words) - int(words[0] = '') - int(size(words) > 1 AND words[size(words) - 1] = ''))"))
     d = d.withColumn("n", F.size("words"))
     d = d.withColumn("grams", F.expr("CASE WHEN n < 3 THEN array() ELSE transform(sequence(0, n - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) END").cast("array<bigint>"))
     d = d.withColumn("ordered", F.sort_array("grams"))
