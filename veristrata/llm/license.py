@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from math import ceil
 
 import pyarrow as pa
@@ -121,22 +122,22 @@ class Template:
         return best / len(self.ordered)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
-    """Places of the phrases, labels and score of every document."""
+def scan_texts(texts: list[str], templates: list[tuple[str, str, str]] = TEMPLATES, contained: float = CONTAINED, counts: dict[bytes, int] | None = None) -> Iterator[tuple]:
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of each text."""
     vocabulary = {w for _, text, without in templates for w in words_of(f"{text} {without}")}
-    counts = word_counts(docs, vocabulary)
-    found = [Template(label, text, counts, contained, without) for label, text, without in templates]
+    found = [Template(label, text, counts or {}, contained, without) for label, text, without in templates]
     prefixes = frozenset(w for t in found for w in t.prefix)
     phrases = [(f" {p} ".encode(), label) for p, label in PHRASES.items()]
-
-    def one(text: str) -> tuple:
+    for text in texts:
         words = words_of(text)
         line = b" " + b" ".join(words) + b" "
         places, labels = [], set()
         for phrase, label in phrases:
-            at = line.find(phrase)
+            at, seen, n = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                n += line.count(b" ", seen, at)  # on from the last place
+                seen = at
+                places.append(n)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         score, own = 1.0 if places else 0.0, set(labels)
@@ -149,10 +150,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, con
                 if not t.prefix.isdisjoint(where) and (share := t.best(words, where)) > 0:
                     own.add(t.label)
                     score = max(score, share)
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(own)), score
+        yield len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(own)), score
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+    """Places of the phrases, labels and score of every document."""
+    counts = word_counts(docs, {w for _, text, without in templates for w in words_of(f"{text} {without}")})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*map(one, batch.column("text").to_pylist()), strict=True))
+        columns = list(zip(*scan_texts(batch.column("text").to_pylist(), templates, contained, counts), strict=True))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
