@@ -12,7 +12,8 @@ comes back. The loss mask covers the texts of assistant turns.
 
 Nulls: a null text is empty, a null role the empty role, events without a sequence come first, a null conversation
 is one conversation, a null turn comes first. Rows of a plain table that share a turn are turns of their own,
-ordered by role and text; repeated rows are kept. A conversation is one text, so its turns meet in one task after each
+ordered by role and text; repeated rows are kept; its texts are written as a log of messages, deltas, edits and
+regenerations before they are folded. A conversation is one text, so its turns meet in one task after each
 was folded alone; the time is in proportion to their length. Very long texts are kept whole.
 Empty tables give empty results; extra columns are ignored.
 """
@@ -58,15 +59,28 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A plain table (conv_id, turn, role, text) as an event log: one message event per row, its turn as sequence.
+    """A plain table (conv_id, turn, role, text) as the event log of a chat service that gives its messages.
 
-    Rows that share a turn stay messages of their own: each distinct (role, text) has a line, repeated rows are
-    numbered within it.
+    ``line`` is a message's number in its conversation, by turn, role and text, so rows that share a turn, repeated ones
+    too, stay messages of their own. Assistant texts are streamed in two deltas after a message that opens them, and
+    every second time after a first answer that was regenerated; other texts are sent whole, or drafted and then
+    edited. Sequence numbers ascend within a conversation; the log's rows have no order.
     """
-    rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    line = F.shiftleft(F.shiftrightunsigned(F.xxhash64("role", "text"), 20), 16) + F.col("copy")
-    return each.select("conv_id", F.col("turn").alias("seq"), "turn", line.alias("line"), F.lit("message").alias("kind"), "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.withColumn("line", F.row_number().over(order).cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft: "), F.substring("text", 1, 20))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(events)])
+
+    none, again = F.lit(""), F.col("line") % 2 == 0
+    streamed = F.when(again, log(("message", draft), ("delta", draft), ("regenerate", none), ("delta", first), ("delta", second))).otherwise(log(("message", none), ("delta", first), ("delta", second)))
+    sent = F.when(again, log(("message", draft), ("edit", F.col("text")))).otherwise(log(("message", F.col("text"))))
+    each = rows.select("conv_id", "turn", "role", "line", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(sent)).alias("e"))
+    role = F.when(F.col("e.kind") != "delta", F.col("role"))  # deltas do not repeat it
+    return each.select("conv_id", (8 * F.col("line") + F.col("e.step")).alias("seq"), "turn", "line", F.col("e.kind").alias("kind"), role.alias("role"), F.col("e.text").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -121,7 +135,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], table.schema)
-    return digests(materialize(render(fold_events(events_of(table.unionByName(extra)))), "formatted"))
+    log = materialize(events_of(table.unionByName(extra)), "events")
+    return digests(materialize(render(fold_events(log)), "formatted"))
 
 
 def _sql(read: str = "conversations") -> str:
