@@ -8,7 +8,9 @@ same name before '@' share "similar" ones, each with the one before it and with
 with the number of nodes. A token inside a base span takes the digits of the whole span, so that a number written in
 groups meets its repeats in other forms. Tokens in base spans are clamped to their kind; damped loopy belief
 propagation carries that along the edges, and an unclamped token whose marginal of a kind is at least ``SURE`` becomes
-a span, together with the tokens of its kind beside it.
+a span, together with the tokens of its kind beside it, if equal and similar edges lead from it to a clamped token.
+Repetition alone is no evidence: two tokens that share their digits are as likely both nothing as both of a kind
+(``fair``), and a number that fails its pattern stays plain however often it is repeated.
 
 All weights (token shapes, chain, equal, similar) maximize the pseudo-likelihood of the labels that the base patterns
 give, over all documents: one count per configuration of a token and its neighbours, at most N_SHAPES * 6**4 * 5 rows,
@@ -187,6 +189,23 @@ class Field:
             code = code * 6 + near[k]
         return np.unique((code * N_LABELS + self.labels)[~tied], return_counts=True)
 
+    def _tied(self) -> np.ndarray:
+        """Whether equal and similar edges lead from a node to a clamped one."""
+        edges = np.concatenate([self.edges["equal"], self.edges["similar"]])
+        group = np.arange(len(self.labels))  # the smallest node that is reached; groups have a center, so few rounds do
+        while len(edges):
+            low = np.minimum(group[edges[:, 0]], group[edges[:, 1]])
+            new = group.copy()
+            np.minimum.at(new, edges[:, 0], low)
+            np.minimum.at(new, edges[:, 1], low)
+            new = new[new]
+            if (new == group).all():
+                break
+            group = new
+        clamped = np.zeros(len(group), dtype=bool)
+        clamped[group[self.labels > 0]] = True
+        return clamped[group]
+
     def added(self, weights: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
         """(kind, start, end) by text of the tokens that the field labels beyond the base spans; neighbours as one."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in self.base]
@@ -196,12 +215,12 @@ class Field:
         clamped = np.flatnonzero(self.labels)
         potential[clamped] = -30.0
         potential[clamped, self.labels[clamped]] = 0.0
-        names = ("chain", "equal", "similar")
+        names, weights = ("chain", "equal", "similar"), fair(weights)
         pairs = np.concatenate([self.edges[k] for k in names])
         kinds = np.repeat(np.arange(3), [len(self.edges[k]) for k in names])
         p = propagate(potential, pairs, np.stack([weights[k] for k in names]), kinds)
         best = p.argmax(axis=1)
-        sure = np.flatnonzero((best > 0) & (self.labels == 0) & (p[np.arange(len(p)), best] >= SURE))
+        sure = np.flatnonzero((best > 0) & (self.labels == 0) & (p[np.arange(len(p)), best] >= SURE) & self._tied())
         beside = {(int(a), int(b)) for a, b in self.edges["chain"]} if len(sure) else set()
         last = -1
         for i in sure.tolist():
@@ -215,6 +234,14 @@ class Field:
         return out
 
 
+def fair(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights in which tied tokens share 'no personal data' at least as strongly as any kind."""
+    out = {k: v.copy() for k, v in weights.items()}
+    for k in SAME:
+        out[k][0, 0] = out[k].diagonal().max()
+    return out
+
+
 def propagate(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Marginals by damped loopy belief propagation: nodes x labels, edges (i, j), log potentials by edge kind."""
     source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
