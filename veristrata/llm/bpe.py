@@ -31,6 +31,8 @@ from .common import arrow_map, documents, text_of
 from .tokenizing import _gather
 
 NO_RANK = 2**31 - 1
+#: Ids of the documents that are decoded into one batch, one document at least.
+LISTS = 1 << 18
 
 
 class PairTable:
@@ -79,6 +81,7 @@ class Vocabulary:
     LIMIT = 300_000  # parts in the memo
     LONGEST = 24  # characters of a part in the memo
     POOL = 4 << 20  # ids in the pool
+    BLOCK = 1 << 16  # ids that are decoded at once
     AT_ONCE = 1 << 20  # characters of the texts that are parted at once, one text at least
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
@@ -249,7 +252,8 @@ class Vocabulary:
         if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         lengths = self.lengths[ids]
-        return self.bytes[_gather(self.starts[ids], lengths)].tobytes(), lengths
+        blocks = [slice(i, i + self.BLOCK) for i in range(0, len(ids), self.BLOCK)]
+        return b"".join(self.bytes[_gather(self.starts[ids[x]], lengths[x])].tobytes() for x in blocks), lengths
 
 
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
@@ -279,13 +283,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern)
         for batch in batches:
-            lists = batch.column("ids")
-            ids = np.asarray(lists.flatten(), dtype=np.int64)
-            flat, lengths = own.decode(ids)
-            counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-            total = np.concatenate([[0], np.cumsum(lengths)])
-            bounds = np.concatenate([[0], total[np.cumsum(counts)]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "ids", "decoded"])
+            ends = np.cumsum(np.asarray(batch.column("ids").value_lengths().fill_null(0), dtype=np.int64))
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LISTS, "right")))
+                yield some(own, batch.slice(at, to - at))
+                at = to
+
+    def some(own: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("ids")
+        flat, lengths = own.decode(np.asarray(lists.flatten()))
+        counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        decoded = pa.array([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
