@@ -29,6 +29,17 @@ def vec_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir, 5).select("qid", "vid", F.round("score", 6).alias("score"), "rank")
 
 
+@plan(f"WITH {_K} SELECT qid, vid, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rank FROM s) WHERE rank <= 5")
+def vec_knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same five neighbours from an inverted file, whose lists are read as far as the triangle inequality asks."""
+    from ..operators import vector_index as I
+
+    q, c = _vectors(spark, sf_dir)
+    centers = I.fit_centroids(c)
+    hits, _ = I.search(I.build(c, centers), centers, q, 5)
+    return hits.select("qid", "vid", F.round("score", 6).alias("score"), "rank")
+
+
 @plan(f"WITH {_K} SELECT qid, vid, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rank FROM s WHERE label IN (1, 2, 3) AND vid >= 50) WHERE rank <= 3")
 def filt_vector_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-NN behind a payload filter given as data (vec_by_quality, vec_by_wikidata, vec_no_disambig)."""
@@ -38,7 +49,8 @@ def filt_vector_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"WITH {_K} SELECT qid, least(count(*), 100) AS n FROM s WHERE score >= 0.1::DOUBLE GROUP BY qid")
 def vec_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, 1 << 30, least=0.1).groupBy("qid").agg(F.least(F.count("*"), F.lit(100)).alias("n"))
+    q, c = _vectors(spark, sf_dir)
+    return S.above(q, c, 0.1).groupBy("qid").agg(F.least(F.count("*"), F.lit(100)).alias("n"))
 
 
 @plan(f"""WITH {_K}, d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS r FROM s), h AS (SELECT qid, vid, least(1.0::DOUBLE, score + least(0.6::DOUBLE, 0.3::DOUBLE * ((ql = label)::INT + (vid % 10 = qid % 10)::INT))) AS score FROM d WHERE r <= 10)

@@ -110,15 +110,18 @@ def st_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(good, "good").union(count(bad, "bad"))
 
 
-@plan("""WITH t AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT event_id, true AS allowed FROM t WHERE k <= 5""")
+@plan("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::DOUBLE AS t, false AS allowed, 5.0::DOUBLE AS level FROM e WHERE i = 1
+    UNION ALL SELECT user_id, i, event_id, t, now >= 1, now - (now >= 1)::INT FROM (SELECT e.user_id, e.i, e.event_id, e.t, least(5.0::DOUBLE, level + coalesce(greatest(0.0::DOUBLE, e.t - r.t), 0) * (1.0::DOUBLE / 86400)) AS now FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, allowed FROM r WHERE i > 0""")
 def st_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream through token buckets: with a burst of five and next to no refill the first five of each user pass."""
+    """A stream through token buckets of five that get one token a day: every request, passed or not."""
     from ..streaming.limits import token_bucket
 
     out, marks = shared_path(spark, "allowed"), shared_path(spark, "marks")
     stream = K.stream_of(table(spark, sf_dir, "events"), spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", F.to_timestamp("ts").alias("ts"))
-    token_bucket(stream, "user_id", "ts", 1e-9, 5.0, forget=False).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).where("allowed").select("event_id", "allowed")
+    token_bucket(stream, "user_id", "ts", 1 / 86_400, 5.0, forget=False).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "allowed")
 
 
 @plan("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'seen' ELSE 'new' END AS state, CASE WHEN doc_id % 4 = 0 THEN 0.5::DOUBLE + (doc_id % 5) / 10.0::DOUBLE END > 0.6::DOUBLE AS usable FROM documents WHERE doc_id % 4 = 0")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..session import shared_path
 
 
 def window_counts(events: DataFrame, key: str, ts: str, width: str = "60 seconds", late: str | None = None, limit: int = 20) -> DataFrame:
@@ -69,6 +72,71 @@ def first_deliveries(messages: DataFrame, ts: str, keys: list[str], late: str =
     return messages.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def ttl_cache(requests: DataFrame, scope: str, key: str, at: str, ttl: int, most: int = 1000) -> DataFrame:
+    """(scope, event_id, hit, size): each request against its scope's cache, which it fills when it misses.
+
+    ``requests`` has scope (long), event_id, key (string) and ``at``, whole microseconds. An entry serves until its
+    request's time plus ``ttl``; one that is found too old is taken out and counts as a miss. A full cache gives up
+    the entry that was put in first, however often it was read. The state of a scope is its entries, at most ``most``,
+    in the order in which they came; within a batch a scope's requests are taken in (at, event_id) order, so the size of a
+    trigger bounds what a task sorts.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, until = state.get if state.exists else ((), ())
+        entries = dict(zip(keys, until, strict=True))
+        pdf = pd.concat(list(batches)).sort_values([at, "event_id"])
+        hits, sizes = [], []
+        for name, now in zip(pdf[key], pdf[at], strict=True):
+            hits.append(entries.get(name, now - 1) >= now)
+            if not hits[-1]:
+                entries.pop(name, None)
+                if len(entries) >= most:
+                    del entries[next(iter(entries))]
+                entries[name] = int(now) + ttl
+            sizes.append(len(entries))
+        state.update((list(entries), [int(u) for u in entries.values()]))
+        yield pd.DataFrame({scope: k[0], "event_id": pdf["event_id"].to_numpy(), "hit": hits, "size": sizes})
+
+    schema = f"{scope} long, event_id long, hit boolean, size long"
+    return requests.groupBy(scope).applyInPandasWithState(step, schema, "keys array<string>, until array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_totals(deliveries: DataFrame, totals: DataFrame) -> DataFrame:
+    """(run, batches_completed, total_seen, total_errors, status) from first deliveries and the runs' sizes.
+
+    ``deliveries`` (run, batch, seen, failure): one row per finished batch (failure null) and one per failed attempt. A run is complete
+    when all of its ``batches_total`` are; more never count.
+    """
+    good = F.col("failure").isNull()
+    d = deliveries.groupBy("run").agg(F.count_if(good).alias("n"), F.coalesce(F.sum(F.when(good, F.col("seen"))), F.lit(0)).alias("total_seen"), F.count_if(~good).alias("total_errors"))
+    rows = totals.join(d, "run", "left").fillna(0, ["n", "total_seen", "total_errors"])
+    done = (F.col("batches_total") > 0) & (F.col("n") >= F.col("batches_total"))
+    counted = F.when(F.col("batches_total") > 0, F.least("n", "batches_total")).otherwise(F.col("n"))
+    return rows.select("run", counted.alias("batches_completed"), "total_seen", "total_errors", F.when(done, "complete").otherwise("running").alias("status"))
+
+
+def replayed(rows: DataFrame, pieces: list[Column], name: str, query: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a streaming query gives for rows that arrive in pieces, with ``piece``, the number of the run that gave it.
+
+    Each piece (a condition) is put into the folder that the stream reads; then the query starts from its checkpoint, works
+    on what is new and stops. A batch's rows go to a folder of their own, which a repeated batch overwrites.
+    """
+    spark = rows.sparkSession
+    source, out, marks = (shared_path(spark, f"{name}-{part}") for part in ("source", "out", "marks"))
+    schema = None
+    for i, piece in enumerate(pieces):
+        rows.where(piece).write.parquet(f"{source}/piece={i}")
+        stream = query(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(source))
+        schema = stream.schema
+
+        def write(batch: DataFrame, number: int, i: int = i) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/piece={i}/batch={number}")
+
+        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*schema.fields, StructField("piece", IntegerType())])).option("basePath", out).parquet(f"{out}/piece=*")
+
+
 def split_bad(valid: str, good_path: str, bad_path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: rows that meet ``valid`` to one table, all others to the rejected ones.
 
