@@ -133,15 +133,6 @@ def sink_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), (F.count("*") - 1).alias("accesses"))
 
 
-@plan("""SELECT src, dst, count(*) AS n, min(ord) AS first FROM (SELECT 'D' || doc_id % 40 AS src, 'L' || lang AS dst, doc_id AS ord FROM documents UNION ALL SELECT 'D' || doc_id % 40, 'S' || source, doc_id FROM documents) GROUP BY ALL""")
-def gr_article_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed edges of articles, driven by one table of fields (sink_graph_edges): upsert keeps one edge per pair."""
-    fields = {"lang": "L", "source": "S"}
-    made = F.array(*[F.struct(F.concat(F.lit(p), F.col(f)).alias("dst")) for f, p in fields.items()])
-    e = docs(spark, sf_dir).select(F.concat(F.lit("D"), (F.col("doc_id") % 40).cast("string")).alias("src"), F.col("doc_id").alias("ord"), F.explode(made).alias("e"))
-    return e.groupBy("src", F.col("e.dst").alias("dst")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-
-
 @plan("""WITH u AS (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '//', 2), '^(www|m)\\.', '') AS uri FROM pages) SELECT min(page_id) AS page_id, uri, count(*) AS copies FROM u GROUP BY uri""")
 def win_dedupe_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("//"), F.lit(2)), r"^(www|m)\.", "")

@@ -25,4 +25,4 @@ def plan(sql: str | None = None, name: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of plans, so that all are registered."""
-    from . import candidates, claims, corpus, evaluation, graph, more, reports, search, sinks, sources, streams, verify, wikitext  # noqa: F401
+    from . import candidates, claims, corpus, evaluation, graph, knowledge, more, reports, search, sinks, sources, streams, verify, wikitext  # noqa: F401
