@@ -49,22 +49,79 @@ def related(edges: DataFrame, starts: DataFrame, types: list[str], direction: st
     return hops.join(starts, "id", "left_semi")
 
 
-def paths2(edges: DataFrame, source: str, target: str, most: int = 3) -> DataFrame:
-    """Undirected paths of one or two edges between two nodes, shortest first."""
-    u = undirected(edges)
-    first = u.where(F.col("src") == source)
-    one = first.where(F.col("dst") == target).select(F.lit(1).alias("hops"), F.lit("").alias("via"), F.col("type").alias("types"))
-    second = u.where(F.col("dst") == target).select(F.col("src").alias("mid"), F.col("type").alias("type2"))
-    two = first.join(second, first["dst"] == second["mid"]).where(~F.col("mid").isin(source, target))
-    two = two.select(F.lit(2).alias("hops"), F.col("mid").alias("via"), F.concat_ws(">", "type", "type2").alias("types"))
-    return one.union(two).orderBy("hops", "via", "types").limit(most)
-
-
-def follow_redirects(redirects: DataFrame, most: int = 3) -> DataFrame:
-    """(src, dst) chains followed for at most ``most`` hops."""
-    r, out = redirects.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), redirects.select("src", "dst")
-    for _ in range(most - 1):
-        out = out.join(r, out["dst"] == r["_s"], "left").select("src", F.coalesce("_d", "dst").alias("dst"))
+#: Rows that share a key beyond which their one partner is told to all tasks; at most a hundred-thousandth of the rows.
+HOT = 100_000
+
+
+def join_to_one(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` with the columns of the one row of ``table`` that has their key, null where there is none.
+
+    A key with very many rows is joined where they lie.
+    """
+    many = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key))
+    near = rows.join(many, key, "left_semi").join(F.broadcast(table.join(many, key, "left_semi")), key, "left")
+    return near.unionByName(rows.join(many, key, "left_anti").join(table.join(many, key, "left_anti"), key, "left"))
+
+
+def _steps(edges: DataFrame, start: str, hops: int) -> list[DataFrame]:
+    """Simple undirected paths from one node of 0 to ``hops`` edges: (node, nodes, types), as a table for each length."""
+    u = materialize(undirected(edges).select(F.col("src").alias("node"), F.col("dst").alias("next"), "type"), "undirected")
+    here = edges.sparkSession.createDataFrame([(start, [start], [])], "node string, nodes array<string>, types array<string>")
+    out = [here]
+    for _ in range(hops):
+        on = u.join(F.broadcast(here) if len(out) == 1 else here, "node").where(~F.array_contains("nodes", F.col("next")))
+        here = on.select(F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("types", F.array("type")).alias("types"))
+        here = materialize(here, "frontier")
+        out.append(here)
+    return out
+
+
+def paths(edges: DataFrame, source: str, target: str, hops: int = 2, most: int = 3) -> DataFrame:
+    """(hops, via, types): simple undirected paths between two nodes of at most ``hops`` edges, the first ``most``.
+
+    Shortest first, then by the nodes between and the types. Frontiers grow from both ends, each half as far, and meet in
+    the middle, so that a node with very many edges is not left again on the way.
+    """
+    if source == target:
+        return edges.sparkSession.createDataFrame([], "hops int, via string, types string")
+    ahead, back = _steps(edges, source, -(-hops // 2)), _steps(edges, target, hops // 2)
+    found = None
+    for n in range(1, hops + 1):
+        left = ahead[-(-n // 2)]
+        right = back[n // 2].select("node", F.reverse("nodes").alias("after"), F.reverse("types").alias("types_after"))
+        both = left.join(right, "node").where(F.size(F.array_intersect("nodes", "after")) == 1)
+        whole = F.concat("nodes", F.slice("after", 2, F.size("after")))
+        one = both.select(F.lit(n).alias("hops"), F.array_join(F.slice(whole, 2, F.size(whole) - 2), ">").alias("via"), F.array_join(F.concat("types", "types_after"), ">").alias("types"))
+        found = one if found is None else found.unionByName(one)
+    return found.orderBy("hops", "via", "types").limit(most)
+
+
+def follow_redirects(redirects: DataFrame) -> DataFrame:
+    """(src, dst, hops): where each chain of redirects (one dst for each src) ends, and after how many.
+
+    Every round doubles the distance that is known, so a chain of n takes log2(n) rounds. Chains that run into a cycle have no
+    end: dst and hops are null.
+    """
+    at = materialize(redirects.select("src", "dst", F.lit(1).cast("long").alias("hops")), "redirects")
+    sources = at.select(F.col("src").alias("dst"), F.lit(True).alias("_more"))
+    open_, jump, done = materialize(join_to_one(at, sources, "dst"), "hops"), at, []
+    while True:
+        done.append(open_.where("_more IS NULL").drop("_more"))
+        last, open_ = done[-1], open_.where("_more").drop("_more")
+        # of a longer chain some source would have come to the end in this round: what is left runs in cycles
+        if last.isEmpty() or open_.isEmpty():
+            break
+        table = jump.select(F.col("src").alias("dst"), F.col("dst").alias("_next"), F.col("hops").alias("_hops"))
+
+        def further(rows: DataFrame, table: DataFrame = table) -> DataFrame:
+            moved = join_to_one(rows, table, "dst")
+            return moved.select("src", F.coalesce("_next", "dst").alias("dst"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"))
+
+        open_ = materialize(join_to_one(further(open_), sources, "dst"), "hops")
+        jump = materialize(further(jump), "jumps")
+    out = open_.select("src", F.lit(None).cast(redirects.schema["dst"].dataType).alias("dst"), F.lit(None).cast("long").alias("hops"))
+    for rows in done:
+        out = out.unionByName(rows)
     return out
 
 

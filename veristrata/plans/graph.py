@@ -67,11 +67,15 @@ def join_rel_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.related(edges, nodes.where("label = 'Nation'").select("id"), ["BASED_IN", "PART_OF"])
 
 
-@plan(f"""WITH {EDGES}, u AS (SELECT * FROM edges UNION ALL SELECT dst, src, type FROM edges), p AS (SELECT 1::INT AS hops, '' AS via, type AS types FROM u WHERE src = 'N1' AND dst = 'R1' UNION ALL SELECT 2, a.dst, a.type || '>' || b.type FROM u a JOIN u b ON a.dst = b.src WHERE a.src = 'N1' AND b.dst = 'R1' AND a.dst NOT IN ('N1', 'R1'))
-SELECT * FROM p ORDER BY hops, via, types LIMIT 3""")
+@plan(f"""WITH RECURSIVE {EDGES}, u AS (SELECT * FROM edges UNION ALL SELECT dst, src, type FROM edges), p AS (SELECT ['N1'] AS nodes, []::VARCHAR[] AS types, 0 AS hops, 'N1' AS node
+    UNION ALL SELECT list_append(nodes, dst), list_append(types, type), hops + 1, dst FROM p JOIN u ON u.src = p.node WHERE hops < 4 AND node <> 'R2' AND NOT list_contains(nodes, dst) AND (type = 'PART_OF' OR hops < 2 OR dst LIKE 'N%'))
+SELECT hops::INT AS hops, array_to_string(nodes[2:hops], '>') AS via, array_to_string(types, '>') AS types FROM p WHERE node = 'R2' ORDER BY hops, via, types LIMIT 20""")
 def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three undirected paths of one or two hops; the limit is the operator's own."""
-    return G.paths2(graph(spark, sf_dir)[1], "N1", "R1")
+    """The first twenty undirected paths of up to four hops between two nodes; the limit is the operator's own.
+
+    A path of four hops ends in an edge of a nation, as only nations have edges to regions: the SQL says so to stay small.
+    """
+    return G.paths(graph(spark, sf_dir)[1], "N1", "R2", 4, 20)
 
 
 @plan(f"""WITH {NODES}, {EDGES}, r AS (SELECT name, min(id) AS target FROM nodes WHERE NOT stub GROUP BY name), m AS (SELECT id AS old, target FROM nodes JOIN r USING (name) WHERE stub)
@@ -80,10 +84,14 @@ def join_stub_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolve_stubs(*graph(spark, sf_dir))[1]
 
 
-@plan("""WITH r AS (SELECT n_nationkey AS src, CASE WHEN n_nationkey < 20 THEN n_nationkey + 3 ELSE n_nationkey + 100 END AS dst FROM nation) SELECT a.src, coalesce(c.dst, b.dst, a.dst)::BIGINT AS dst FROM (SELECT src::BIGINT AS src, dst FROM r) a LEFT JOIN r b ON b.src = a.dst LEFT JOIN r c ON c.src = b.dst""")
+@plan("""WITH RECURSIVE r AS (SELECT * FROM (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 2 WHEN o_orderkey % 50 = 47 THEN o_orderkey + 2 WHEN o_orderkey % 50 = 33 THEN o_orderkey WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 WHEN o_orderkey % 3 = 0 THEN o_orderkey + 4 END AS dst FROM orders) WHERE dst IS NOT NULL),
+c AS (SELECT src, dst, 1 AS hops FROM r UNION ALL SELECT c.src, r.dst, hops + 1 FROM c JOIN r ON r.src = c.dst WHERE hops < 100), e AS (SELECT src, max(hops) AS hops, arg_max(dst, hops) AS dst FROM c GROUP BY src)
+SELECT e.src::BIGINT AS src, CASE WHEN hops < 100 THEN dst ELSE -1 END::BIGINT AS dst, CASE WHEN hops < 100 THEN hops ELSE -1 END::BIGINT AS hops FROM e""")
 def join_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS bigint) AS src", "cast(CASE WHEN n_nationkey < 20 THEN n_nationkey + 3 ELSE n_nationkey + 100 END AS bigint) AS dst")
-    return G.follow_redirects(r, 3)
+    """Chains of redirects over all orders by pointer doubling; -1 where a chain runs into a cycle."""
+    k = F.col("o_orderkey").cast("long")
+    to = F.when(k % 50 == 49, k - 2).when(k % 50 == 47, k + 2).when(k % 50 == 33, k).when(k % 2 == 0, F.floor(k / 2)).when(k % 3 == 0, k + 4)
+    return G.follow_redirects(table(spark, sf_dir, "orders").select(k.alias("src"), to.cast("long").alias("dst")).where("dst IS NOT NULL")).fillna(-1)
 
 
 _M = "m AS (SELECT DISTINCT l_orderkey AS item, p_brand AS grp FROM lineitem JOIN part ON l_partkey = p_partkey)"

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import chunking, search
 from ..operators import corpus as C
-from ..session import numbered, table
+from ..operators import terms as S
+from ..session import dealt, numbered, table
 from .corpus import COUNTS, HASH, TF
 from .registry import plan
 from .verify import PAIRS, claims, labelled, squeeze_sql, tokens_sql
@@ -26,10 +27,35 @@ def filt_quality_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "n_chars")
 
 
-@plan(r"""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9_\x{80}-\x{10FFFF}])(idiot|moron|scum)($|[^A-Za-z0-9_\x{80}-\x{10FFFF}])')""")
+#: The table of listed terms: long words of the claims. A text's words are runs of letters, digits and underscores.
+_TERMS = r"""terms AS (SELECT list(DISTINCT t) AS terms FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS t FROM benchmark) WHERE length(t) >= 8),
+b AS (SELECT doc_id, text, len(list_intersect(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_\x{80}-\x{10FFFF}]+'), terms)) > 0 AS bad FROM documents, terms)"""
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    return table(spark, sf_dir, "benchmark").select(words.alias("term")).where("length(term) >= 8")
+
+
+@plan(f"WITH {_TERMS} SELECT doc_id FROM b WHERE NOT bad")
 def filt_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without a listed word, whole words in any case (first step of filt_chain)."""
-    return docs(spark, sf_dir).where(~F.col("text").rlike(r"(?i)(?<![A-Za-z0-9_\x{80}-\x{10FFFF}])(idiot|moron|scum)(?![A-Za-z0-9_\x{80}-\x{10FFFF}])")).select("doc_id")
+    """Texts without a listed term, whole words in any case; hundreds of terms come from a table."""
+    return S.first_term(dealt(docs(spark, sf_dir)), "text", _terms(spark, sf_dir)).where("term IS NULL").select("doc_id")
+
+
+_HARM = """CASE doc_id % 7 WHEN 0 THEN '{"harmful": true, "category": "x"}' WHEN 1 THEN 'no json {' WHEN 2 THEN concat('```json', chr(10), '{"harmful": false}', chr(10), '```') ELSE '{}' END"""
+_CLAIM = """CASE doc_id % 5 WHEN 0 THEN '{"action": "reject_no_claim"}' WHEN 1 THEN concat('```', chr(10), '{"action": "EXTRACT_CLAIM", "claim": " Claim ', doc_id, ' "}') WHEN 2 THEN '{"action": "EXTRACT_CLAIM", "claim": " "}' WHEN 3 THEN '{"action": "PASS_THROUGH"}' ELSE '' END"""
+
+
+@plan(f"""WITH {_TERMS}, d AS (SELECT *, CASE WHEN bad THEN 'blacklist' WHEN doc_id % 7 = 0 THEN 'harm' WHEN doc_id % 5 IN (0, 2) THEN 'claim' END AS stopped FROM b)
+SELECT doc_id, CASE WHEN stopped IS NOT NULL THEN 'reject' WHEN doc_id % 5 = 1 THEN 'rewrite' ELSE 'allow' END AS action, CASE WHEN stopped IS NOT NULL THEN stopped WHEN doc_id % 5 = 1 THEN 'claim' END AS stage,
+    (CASE stopped WHEN 'claim' THEN 422 WHEN 'harm' THEN 403 WHEN 'blacklist' THEN 403 ELSE 200 END)::INT AS status, md5(CASE WHEN stopped IS NULL AND doc_id % 5 = 1 THEN 'Claim ' || doc_id ELSE coalesce(text, '') END) AS digest FROM d""")
+def filt_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed terms, the model's word on harm, its word on claims, in order, with the step that decided."""
+    d = dealt(docs(spark, sf_dir)).selectExpr("doc_id", "text", f"{_HARM} AS harm", f"{_CLAIM} AS claim")
+    d = S.first_term(d, "text", _terms(spark, sf_dir))
+    out = S.run_chain(d, "text", [S.blacklist_step(), S.harm_step(F.col("harm")), S.claim_step(F.col("claim"))])
+    return out.select("doc_id", "action", "stage", F.coalesce("status", F.lit(200)).alias("status"), F.md5(F.coalesce("final_text", F.lit("")).cast("binary")).alias("digest"))
 
 
 @plan(f"WITH {PAIRS} SELECT item_id, ord::INT AS ord, doc_id FROM labels WHERE relevance >= 0.4::DOUBLE AND ((nli_label = 'support' AND supporting >= 0.35::DOUBLE) OR (nli_label = 'refute' AND refuting >= 0.35::DOUBLE))")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import sinks as K
-from ..session import shared_path, table
+from ..session import dealt, shared_path, table
 from .registry import plan
 
 
@@ -124,10 +124,13 @@ def st_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", "allowed")
 
 
-@plan("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'seen' ELSE 'new' END AS state, CASE WHEN doc_id % 4 = 0 THEN 0.5::DOUBLE + (doc_id % 5) / 10.0::DOUBLE END > 0.6::DOUBLE AS usable FROM documents WHERE doc_id % 4 = 0")
+@plan(r"""WITH w AS (SELECT DISTINCT item_id, lower(w) AS word FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')[1:5]) AS w FROM benchmark) WHERE length(w) > 3),
+m AS (SELECT DISTINCT item_id, doc_id, (doc_id * 37 % 1000) / 1000.0::DOUBLE AS similarity FROM w JOIN documents ON contains(lower(text), word))
+SELECT item_id, doc_id, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM m) WHERE rank <= 5""")
 def filt_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence that was persisted before: found by the hash of its whole text, usable above a floor."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat("text", F.col("doc_id").cast("string")).cast("binary"), 256).alias("hash"))
-    path = shared_path(spark, "facts")
-    K.upsert(path, d.where("doc_id % 4 = 0").select("hash", (0.5 + (F.col("doc_id") % 5) / 10).alias("confidence")), ["hash"], 0)
-    return d.join(K.merged(spark, path, ["hash"]), "hash").select("doc_id", F.lit("seen").alias("state"), (F.col("confidence") > 0.6).alias("usable"))
+    """Evidence that was persisted before: texts that contain one of a claim's first long words, by stored similarity."""
+    from ..operators.terms import best_with_words
+
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    texts = dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "text", (F.col("doc_id") * 37 % 1000 / 1000).alias("similarity")))
+    return best_with_words(claims, texts).select(F.col("qid").alias("item_id"), F.col("tid").alias("doc_id"), "similarity", "rank")
