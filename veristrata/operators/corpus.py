@@ -37,6 +37,11 @@ def bm25_idf(counts: DataFrame, key: str, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0)))
 
 
+def cut_vocabulary(idf: DataFrame, size: int) -> DataFrame:
+    """``idf`` (token, idf), cut to the ``size`` highest scores where it has more than 1.5 times as many rows."""
+    return idf.orderBy(F.desc(F.round("idf", 9)), "token").limit(size) if idf.count() > 1.5 * size else idf
+
+
 def sparse_vectors(tf: DataFrame, idf: DataFrame, key: str, buckets: int = 50_000) -> DataFrame:
     """(key, idx, value): sums of tf * idf by hashed token; a token without idf counts with 1.
 

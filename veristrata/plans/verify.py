@@ -295,3 +295,16 @@ def gr_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, pairs = _factor_graph(spark, sf_dir)
     beliefs = nodes.select("doc", "claim", (1 / (1 + F.exp(F.col("log_false") - F.col("log_true")))).alias("p_true"))
     return I.copula_scores(beliefs, pairs.select("doc", "a", "b", "r")).withColumn("joint", F.round("joint", 6))
+
+
+@plan("""WITH e AS (SELECT doc_id // 3 AS doc, doc_id, (doc_id % 7) / 10.0::DOUBLE - (doc_id % 3) / 10.0::DOUBLE AS r FROM documents), p AS (SELECT *, lead(doc_id) OVER (PARTITION BY doc ORDER BY doc_id) IS NOT NULL AS tied FROM e)
+SELECT doc::VARCHAR AS doc, count(*) AS n_claims, round(CASE count(*) WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.25::DOUBLE + sum(CASE WHEN tied THEN asin(r) ELSE 0 END) / (2 * pi()) ELSE 0.125::DOUBLE + sum(CASE WHEN tied THEN asin(r) ELSE 0 END) / (4 * pi()) END, 4) AS joint FROM p GROUP BY doc""")
+def gr_copula_orthant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint probabilities of up to three even claims with correlated neighbours, integrated; the SQL has their closed forms."""
+    from pyspark.sql.window import Window
+
+    from ..operators import inference as I
+
+    c = table(spark, sf_dir, "documents").selectExpr("cast(doc_id div 3 AS string) AS doc", "doc_id", "cast(doc_id AS string) AS claim", "0.5D AS p_true", "(doc_id % 7) / 10D - (doc_id % 3) / 10D AS r")
+    pairs = c.withColumn("b", F.lead("claim").over(Window.partitionBy("doc").orderBy("doc_id"))).where("b IS NOT NULL").select("doc", F.col("claim").alias("a"), "b", "r")
+    return I.copula_scores(c.select("doc", "claim", "p_true"), pairs).withColumn("joint", F.round("joint", 4))

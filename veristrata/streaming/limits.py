@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import shared_path
+from ..operators.corpus import cut_vocabulary
+from ..session import materialize, shared_path
 
 
 def window_counts(events: DataFrame, key: str, ts: str, width: str = "60 seconds", late: str | None = None, limit: int = 20) -> DataFrame:
@@ -116,6 +117,28 @@ def run_totals(deliveries: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.select("run", counted.alias("batches_completed"), "total_seen", "total_errors", F.when(done, "complete").otherwise("running").alias("status"))
 
 
+def batch_idf(batch: DataFrame, number: int, path: str, key: str, size: int) -> None:
+    """A foreachBatch sink that keeps idf scores by batches: version ``number`` of the vocabulary from the one before.
+
+    ``batch`` (key, token, one row for each token and text). A token's score comes from the last batch that holds it: its texts there,
+    and all texts up to then. A vocabulary of more than 1.5 times ``size`` is cut to the ``size`` highest scores (by token where they
+    are equal). A version is written whole, so a repeated batch changes nothing.
+    """
+    spark = batch.sparkSession
+    rows = materialize(batch.select(key, "token").distinct(), "tokens")
+    own = rows.select(key).distinct().count()
+    last = spark.read.parquet(f"{path}/version={number - 1}") if number else None
+    before = 0 if last is None else last.agg(F.max("texts")).first()[0] or 0
+    df = rows.where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("df"))
+    score = F.greatest(F.log((before + own - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
+    new = df.select("token", "df", score.alias("idf"))
+    if last is not None:
+        new = new.unionByName(last.select("token", "df", "idf").where("token IS NOT NULL").join(df, "token", "left_anti"))
+    new = cut_vocabulary(materialize(new, "vocabulary"), size)
+    marker = spark.createDataFrame([(None, 0, 0.0)], "token string, df long, idf double")  # keeps the count where no token is left
+    new.unionByName(marker).withColumn("texts", F.lit(before + own)).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+
 def replayed(rows: DataFrame, pieces: list[Column], name: str, query: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a streaming query gives for rows that arrive in pieces, with ``piece``, the number of the run that gave it.
 
