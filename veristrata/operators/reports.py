@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import materialize, running
 from .graph import undirected
 from .metrics import ratio
 
@@ -73,6 +73,25 @@ def union_first(sets: list[DataFrame], keys: list[str]) -> DataFrame:
     return best.select(*keys, "v.way", *[f"v.{c}" for c in values])
 
 
+def only_without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other set lacks: a search that is asked only where another found nothing."""
+    return rows.join(other.select(*keys).distinct(), keys, "left_anti")
+
+
+def progress_events(records: DataFrame, key: str, at: str, order: str, every: int) -> DataFrame:
+    """(key, processed, total_estimate, rate, eta_hours) after every ``every``-th record of each pass, by time.
+
+    ``at`` is in microseconds; the rate counts records a second since the pass began. Records are numbered over ranges, so a pass of
+    any length is spread over many tasks.
+    """
+    numbered = running(records.select(key, at, order), [key], [F.col(at), F.col(order)], {"processed": F.lit(1)})
+    start = records.groupBy(key).agg(F.min(at).alias("_start"))  # a row for each pass
+    r = numbered.where(F.col("processed") % every == 0).join(F.broadcast(start), key)
+    rate = F.col("processed") / F.greatest((F.col(at) - F.col("_start")) / 1e6, F.lit(1e-6))
+    r = r.withColumn("rate", rate).withColumnRenamed("total", "total_estimate")
+    return r.select(key, "processed", "total_estimate", "rate", (F.greatest(F.lit(0), F.col("total_estimate") - F.col("processed")) / F.col("rate") / 3600).alias("eta_hours"))
+
+
 def select_sources(r: DataFrame, key: str, available: Column, least: float, most: int) -> DataFrame:
     """(key, source, selected): of the sources that are there and relevant enough the ``most`` best; ties by name."""
     r = r.withColumn("_fits", available & (F.col("relevance") >= least))
@@ -106,6 +125,21 @@ def mesh_nodes(evidence: DataFrame) -> DataFrame:
     return center.union(sources).union(evidence.select("claim", *row("evidence", F.concat(F.lit("e"), F.col("doc_id").cast("string")), 2, F.col("weight"))))
 
 
+def mesh_entities(relations: DataFrame, most: int = 20) -> DataFrame:
+    """Entity nodes of a claim's first ``most`` relationships (claim, ord, left, right), each once."""
+    k = F.row_number().over(Window.partitionBy("claim").orderBy("ord"))
+    first = relations.withColumn("k", k).where(F.col("k") <= most)
+    ends = first.select("claim", F.explode(F.array("left", "right")).alias("name")).where("name <> ''").distinct()
+    return ends.select("claim", F.lit("entity").alias("kind"), F.concat(F.lit("x"), "name").alias("id"), F.lit(3).alias("depth"), F.lit(0.5).alias("weight"))
+
+
+def mesh_facts(neighbours: DataFrame, most: int = 15) -> DataFrame:
+    """Fact nodes of a claim's ``most`` nearest texts (claim, doc_id, weight, score)."""
+    k = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("score"), "doc_id"))
+    near = neighbours.withColumn("k", k).where(F.col("k") <= most)
+    return near.select("claim", F.lit("fact").alias("kind"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("id"), F.lit(3).alias("depth"), "weight")
+
+
 def mesh_edges(evidence: DataFrame) -> DataFrame:
     """(claim, src, dst, type): claims ask sources, sources provide evidence."""
     s = F.concat(F.lit("s"), "source")

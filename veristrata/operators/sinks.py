@@ -33,6 +33,13 @@ def write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def append_feedback(rows: DataFrame, path: str, batch: int, most: int = 2000) -> None:
+    """Append a batch of feedback (claim_id, label, rationale): missing ids and labels are empty, reasons are cut to ``most``
+    characters. A repeated batch replaces itself."""
+    kept = rows.fillna("", ["claim_id", "label"]).withColumn("rationale", F.substring("rationale", 1, most))
+    write_batch(kept, path, batch)
+
+
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """(run, position, done, finished) of runs from their batches; a finished run stays finished."""
     rows = spark.read.parquet(path)

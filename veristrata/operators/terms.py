@@ -127,6 +127,25 @@ def best_with_words(queries: DataFrame, texts: DataFrame, most: int = 5) -> Data
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= most)
 
 
+def nodes_with_terms(asked: DataFrame, query: str, nodes: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """(query, key, matched, rank): nodes whose text contains terms of a query (query, term), the ``most`` with most of them."""
+    asked = materialize(asked.select(query, "term").distinct(), "asked-terms")
+    held = contained_terms(nodes, text, asked.select("term"), [key])
+    matched = held.join(asked, "term").groupBy(query, key).agg(F.count("*").alias("matched"))
+    order = Window.partitionBy(query).orderBy(F.desc("matched"), key)
+    return matched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def with_neighbours(found: DataFrame, key: str, edges: DataFrame, most: int) -> DataFrame:
+    """``found`` with the first ``most`` distinct neighbours of each node over undirected edges (src, dst)."""
+    both = edges.select(F.col("src").alias(key), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias(key), F.col("src").alias("other")))
+    near = both.join(found.select(key).distinct(), key, "left_semi").distinct()
+    k = F.row_number().over(Window.partitionBy(key).orderBy("other"))
+    lists = near.withColumn("k", k).where(F.col("k") <= most).groupBy(key).agg(F.sort_array(F.collect_list("other")).alias("neighbours"))
+    none = F.array().cast(lists.schema["neighbours"].dataType)
+    return found.join(lists, key, "left").withColumn("neighbours", F.coalesce("neighbours", none))
+
+
 @dataclass(frozen=True)
 class Step:
     """A filter step: reasons to reject or rewrite the text that reached it, as column functions of that text."""

@@ -104,10 +104,16 @@ def agg_category_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("l_orderkey").alias("item")).agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
 
 
-@plan("""SELECT count(*) AS n, count(*) FILTER (b.doc_id IS NOT NULL) AS resolved, round(count(*) FILTER (b.doc_id IS NOT NULL) / count(*), 6) AS resolution, count(*) FILTER (b.doc_id IS NOT NULL) / count(*) >= 0.8::DOUBLE AS fine FROM documents a LEFT JOIN labels b USING (doc_id)""")
+@plan("""WITH g AS (SELECT count(*) AS stored FROM documents), v AS (SELECT count(*) AS vectors FROM embeddings), l AS (SELECT count(*) AS golden, count(*) FILTER (d.doc_id IS NOT NULL) AS resolved FROM labels LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id))
+SELECT stored, vectors, golden, resolved, round(abs(stored - vectors) / greatest(stored, 1), 6) AS mismatch, round(resolved / greatest(golden, 1), 6) AS resolution, abs(stored - vectors) / greatest(stored, 1) <= 0.01::DOUBLE AND resolved / greatest(golden, 1) >= 0.8::DOUBLE AS fine FROM g, v, l""")
 def agg_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = docs(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("hit")), "doc_id", "left")
-    return j.agg(F.count("*").alias("n"), F.count("hit").alias("resolved")).select("n", "resolved", F.round(F.col("resolved") / F.col("n"), 6).alias("resolution"), (F.col("resolved") / F.col("n") >= 0.8).alias("fine"))
+    """Whether two stores hold as many passages, and enough of the golden set is resolved: counts, ratios, the gate."""
+    known = docs(spark, sf_dir).select("doc_id").distinct().withColumn("hit", F.lit(1))
+    golden = table(spark, sf_dir, "labels").select("doc_id").join(known, "doc_id", "left").agg(F.count("*").alias("golden"), F.count("hit").alias("resolved"))
+    stores = docs(spark, sf_dir).agg(F.count("*").alias("stored")).join(table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors")))  # a row each
+    j = stores.join(golden)
+    mismatch, resolution = F.abs(F.col("stored") - F.col("vectors")) / F.greatest("stored", F.lit(1)), F.col("resolved") / F.greatest("golden", F.lit(1))
+    return j.select("stored", "vectors", "golden", "resolved", F.round(mismatch, 6).alias("mismatch"), F.round(resolution, 6).alias("resolution"), ((mismatch <= 0.01) & (resolution >= 0.8)).alias("fine"))
 
 
 @plan("""WITH c AS (SELECT conv_id, sum(length(regexp_extract_all(text, '[.!?]+'))) AS facts, count(*) AS n, avg(length(text)) AS mean, stddev_pop(length(text)) AS std FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT conv_id, facts::BIGINT AS facts, n AS texts, round(facts / n, 6) AS per_text, round(std, 6) AS std, round(CASE WHEN facts < 10 THEN mean * facts / 10 ELSE mean END, 6) AS penalized FROM c""")
@@ -159,10 +165,12 @@ def sink_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), (F.count("*") - 1).alias("accesses"))
 
 
-@plan("""WITH u AS (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '//', 2), '^(www|m)\\.', '') AS uri FROM pages) SELECT min(page_id) AS page_id, uri, count(*) AS copies FROM u GROUP BY uri""")
+@plan("""WITH u AS (SELECT page_id, coalesce(CASE WHEN page_id % 10 <> 0 THEN regexp_replace(split_part(split_part(url, '?', 1), '//', 2), '^(www|m)\\.', '') END, substring(html, 1, 160)) AS uri FROM pages) SELECT min(page_id) AS page_id, uri, count(*) AS copies FROM u GROUP BY uri""")
 def win_dedupe_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each address; pages without one are told apart by their first 160 characters, as upstream does."""
     u = F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("//"), F.lit(2)), r"^(www|m)\.", "")
-    return table(spark, sf_dir, "pages").select("page_id", u.alias("uri")).groupBy("uri").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
+    key = F.coalesce(F.when(F.col("page_id") % 10 != 0, u), F.substring("html", 1, 160))
+    return table(spark, sf_dir, "pages").select("page_id", key.alias("uri")).groupBy("uri").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
 @plan(f"""WITH {COUNTS}, v AS (SELECT doc_id, {HASH} AS idx, sum({TF}) AS value FROM counts GROUP BY ALL), s AS (SELECT q.doc_id AS qid, c.doc_id AS vid, sum(q.value * c.value) AS score FROM v q JOIN v c ON q.idx = c.idx AND q.doc_id <> c.doc_id WHERE q.doc_id % 20 = 0 GROUP BY ALL)
@@ -176,19 +184,28 @@ def vec_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("k", k).where("k <= 5").select("qid", "vid", F.round("score", 4).alias("score"))
 
 
-@plan(f"""WITH b AS (SELECT item_id, unnest(list_distinct({tokens_sql("text")})) AS term FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({tokens_sql("text")})) AS term FROM documents), n AS (SELECT doc_id, count(DISTINCT term) AS matched, count(DISTINCT item_id) AS items FROM b JOIN d USING (term) GROUP BY 1) SELECT * FROM n""")
+@plan(f"""WITH t AS (SELECT item_id, unnest(list_distinct({tokens_sql("text")})) AS term FROM benchmark), m AS (SELECT item_id, doc_id, count(*) AS matched FROM t JOIN documents ON contains(lower(text), term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS rank FROM m),
+u AS (SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON b.doc_id <> a.doc_id AND b.doc_id BETWEEN a.doc_id - 4 AND a.doc_id + 4), n AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(other)))[1:6], ',') AS neighbours FROM u GROUP BY 1)
+SELECT item_id, doc_id, matched, rank::INT AS rank, coalesce(neighbours, '') AS neighbours FROM r LEFT JOIN n USING (doc_id) WHERE rank <= 10""")
 def gr_keyword_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that hold terms of any claim, by the number of distinct terms (fn_graph_coverage)."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.significant_tokens(F.col("text")))).alias("term"))
-    d = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.significant_tokens(F.col("text")))).alias("term"))
-    return b.join(d, "term").groupBy("doc_id").agg(F.count_distinct("term").alias("matched"), F.count_distinct("item_id").alias("items"))
+    """Nodes whose text contains a claim's terms, the ten with most of them, each with its first six neighbours (fn_graph_coverage)."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.significant_tokens(F.col("text")))).alias("term"))
+    d = docs(spark, sf_dir)
+    edges = d.select(F.col("doc_id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.col("doc_id") + k)).alias("dst"))
+    edges = edges.join(d.select(F.col("doc_id").alias("dst")), "dst", "left_semi")
+    found = S.nodes_with_terms(asked, "item_id", dealt(d.select("doc_id", "text")), "doc_id", "text", 10)
+    return S.with_neighbours(found, "doc_id", edges, 6).select("item_id", "doc_id", "matched", "rank", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@plan("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 500")
+@plan("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events), c AS (SELECT event_type, count(*) AS total, round(count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7::DOUBLE, 1), 6) AS per_minute FROM events GROUP BY 1)
+SELECT event_id, event_type, total, per_minute FROM k JOIN c USING (event_type) WHERE k <= 500""")
 def st_live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each kind's last 500 entries, as a ring buffer keeps them."""
+    """Each kind's last 500 entries, as a ring buffer keeps them, with its counter and its rate a minute."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.to_timestamp("ts"))
+    counters = e.groupBy("event_type").agg(F.count("*").alias("total"), F.round(F.count("*") / F.greatest((F.max(at) - F.min(at)) / 6e7, F.lit(1.0)), 6).alias("per_minute"))
     k = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("k", k).where("k <= 500").select("event_id")
+    return e.withColumn("k", k).where("k <= 500").join(F.broadcast(counters), "event_type").select("event_id", "event_type", "total", "per_minute")
 
 
 @plan("SELECT i AS id, CASE WHEN i % 2 = 0 THEN 'true' ELSE 'false' END AS label FROM range(10) t(i)")

@@ -70,19 +70,25 @@ def filt_latency_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.max("value") < 90).alias("fine"), F.coalesce(F.min(F.when(F.col("value") >= 90, F.col("event_id"))), F.lit(-1)).alias("stopped_at"))
 
 
-@plan("""SELECT source, count(*) AS pages, count(*) FILTER (n_chars > 500) AS chunks, round(count(*) FILTER (n_chars > 500) / count(*), 6) AS share, CASE WHEN count(*) FILTER (n_chars > 500) / count(*) >= 0.8::DOUBLE THEN 'good' WHEN count(*) FILTER (n_chars > 500) / count(*) >= 0.5::DOUBLE THEN 'fair' ELSE 'poor' END AS state FROM documents GROUP BY 1""")
+@plan("""WITH e AS (SELECT event_type AS pass, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS processed, count(*) OVER (PARTITION BY event_type) AS total, min(epoch_us(ts)) OVER (PARTITION BY event_type) AS t0 FROM events),
+r AS (SELECT pass, processed, total, processed / greatest((t - t0) / 1e6::DOUBLE, 1e-6::DOUBLE) AS rate FROM e WHERE processed % 100 = 0)
+SELECT pass, processed, total AS total_estimate, round(rate * 3600, 4) AS rate_per_hour, round(greatest(0, total - processed) / rate / 3600, 3) AS eta_hours FROM r""")
 def agg_integrity_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.col("n_chars") > 500).alias("chunks"))
-    share = F.col("chunks") / F.col("pages")
-    return d.select("source", "pages", "chunks", F.round(share, 6).alias("share"), F.when(share >= 0.8, "good").when(share >= 0.5, "fair").otherwise("poor").alias("state"))
+    """Progress of each pass after every hundredth record: rate since its start, and the hours that are left."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("pass"), "event_id", F.unix_micros(F.to_timestamp("ts")).alias("at"))
+    return R.progress_events(e, "pass", "at", "event_id", 100).select("pass", "processed", "total_estimate", F.round(F.col("rate") * 3600, 4).alias("rate_per_hour"), F.round("eta_hours", 3).alias("eta_hours"))
 
 
-@plan("""WITH a AS (SELECT doc_id % 10 AS claim, doc_id AS id, n_chars / 1e5::DOUBLE AS score, 1 AS way FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id % 10, doc_id, n_chars / 2e5::DOUBLE, 2 FROM documents WHERE doc_id % 3 = 0),
+@plan("""WITH d AS (SELECT doc_id // 20 AS claim, doc_id AS id, n_chars, lang FROM documents), direct AS (SELECT claim, id, n_chars / 1e5::DOUBLE AS score, 1 AS way FROM d WHERE n_chars > 3000),
+a AS (SELECT * FROM direct UNION ALL SELECT claim, id, 0.5::DOUBLE, 2 FROM d WHERE claim NOT IN (SELECT claim FROM direct) UNION ALL SELECT claim, id, n_chars / 2e5::DOUBLE, 3 FROM d WHERE lang = 'de'),
 f AS (SELECT *, row_number() OVER (PARTITION BY claim, id ORDER BY way) AS k FROM a) SELECT claim, id, way, round(score, 6) AS score FROM f WHERE k = 1""")
 def set_union_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of several searches as one set: the first search that found a text keeps it (set_union_sources)."""
-    d = table(spark, sf_dir, "documents").withColumn("claim", F.col("doc_id") % 10)
-    return R.union_first([d.where("doc_id % 2 = 0").select("claim", F.col("doc_id").alias("id"), F.round(F.col("n_chars") / 1e5, 6).alias("score")), d.where("doc_id % 3 = 0").select("claim", F.col("doc_id").alias("id"), F.round(F.col("n_chars") / 2e5, 6).alias("score"))], ["claim", "id"]).select("claim", "id", "way", "score")
+    """Evidence of several searches as one set: the entity search counts only for claims whose direct search found nothing,
+    and the first search that found a text keeps it (set_union_sources)."""
+    d = table(spark, sf_dir, "documents").withColumn("claim", F.floor(F.col("doc_id") / 20)).withColumn("id", F.col("doc_id"))
+    way = lambda rows, score: rows.select("claim", "id", F.round(score, 6).alias("score"))
+    direct = way(d.where("n_chars > 3000"), F.col("n_chars") / 1e5)
+    return R.union_first([direct, R.only_without(way(d, F.lit(0.5)), direct, ["claim"]), way(d.where("lang = 'de'"), F.col("n_chars") / 2e5)], ["claim", "id"]).select("claim", "id", "way", "score")
 
 
 @plan("""WITH r AS (SELECT user_id AS claim, event_type AS source, max(value) AS relevance FROM events GROUP BY ALL), o AS (SELECT *, relevance >= 50 AND source <> 'error' AS fits FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY claim, fits ORDER BY relevance DESC, source) AS k FROM o)
@@ -114,28 +120,33 @@ def fn_domain_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(R.domain_weights(F.col("domain"))).alias("name", "weight"))
 
 
-@plan("""WITH e AS (SELECT doc_id % 40 AS claim, doc_id, source, n_chars FROM documents), s AS (SELECT claim, source, count(*) AS n FROM e GROUP BY ALL)
-SELECT claim, 'claim' AS kind, 'c' || claim AS id, 0 AS depth, 1.0::DOUBLE AS weight FROM (SELECT DISTINCT claim FROM e) UNION ALL SELECT claim, 'source', 's' || source, 1, round(least(1.0::DOUBLE, n / 10.0::DOUBLE), 6) FROM s UNION ALL SELECT claim, 'evidence', 'e' || doc_id, 2, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) FROM e""")
+@plan("""WITH e AS (SELECT doc_id // 20 AS claim, doc_id, source, lang, n_chars, text FROM documents), s AS (SELECT claim, source, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY doc_id) AS k FROM e),
+n AS (SELECT DISTINCT claim, unnest(['x' || source, 'x' || lang]) AS id FROM r WHERE k <= 20), m AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY n_chars DESC, doc_id) AS k FROM e)
+SELECT claim, 'claim' AS kind, 'c' || claim AS id, 0 AS depth, 1.0::DOUBLE AS weight FROM (SELECT DISTINCT claim FROM e) UNION ALL SELECT claim, 'source', 's' || source, 1, round(least(1.0::DOUBLE, n / 10.0::DOUBLE), 6) FROM s UNION ALL SELECT claim, 'evidence', 'e' || doc_id, 2, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) FROM e
+UNION ALL SELECT claim, 'entity', id, 3, 0.5::DOUBLE FROM n UNION ALL SELECT claim, 'fact', 'f' || doc_id, 3, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) FROM m WHERE k <= 15""")
 def gr_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of a provenance graph: the claim, its sources, their evidence, with depth and weight."""
-    e = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("claim"), "doc_id", "source", (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("weight"))
-    return R.mesh_nodes(e).withColumn("weight", F.round("weight", 6))
+    """Nodes of a provenance graph: the claim, its sources, their evidence, entities of its first twenty relationships and
+    its fifteen nearest texts, with depth and weight (the limits are the operator's own)."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("claim"), "doc_id", "source", "lang", (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("weight"), "n_chars")
+    relations = d.select("claim", F.col("doc_id").alias("ord"), F.col("source").alias("left"), F.col("lang").alias("right"))
+    nodes = R.mesh_nodes(d.select("claim", "doc_id", "source", "weight")).unionByName(R.mesh_entities(relations)).unionByName(R.mesh_facts(d.select("claim", "doc_id", "weight", F.col("n_chars").alias("score"))))
+    return nodes.withColumn("weight", F.round("weight", 6))
 
 
-@plan("""SELECT doc_id % 40 AS claim, 's' || source AS src, 'e' || doc_id AS dst, 'PROVIDES' AS type FROM documents UNION SELECT doc_id % 40, 'c' || (doc_id % 40), 's' || source, 'ASKS' FROM documents""")
+@plan("""SELECT doc_id // 20 AS claim, 's' || source AS src, 'e' || doc_id AS dst, 'PROVIDES' AS type FROM documents UNION SELECT doc_id // 20, 'c' || (doc_id // 20), 's' || source, 'ASKS' FROM documents""")
 def gr_mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the provenance graph (gr_mesh_enhance adds one more depth in the same way)."""
-    e = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("claim"), "doc_id", "source")
+    e = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("claim"), "doc_id", "source")
     return R.mesh_edges(e)
 
 
-@plan("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 200 AND NOT coalesce(doc_id % 7 = 0, false) AND NOT coalesce(doc_id % 13 = 0, false) AND (lang = 'en' OR source = 'src1') ORDER BY n_chars DESC, doc_id LIMIT 100")
+@plan("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 200 AND NOT coalesce(doc_id % 7 = 0, false) AND NOT coalesce(doc_id % 13 = 0, false) AND (lang = 'en' OR source = 'src1') ORDER BY n_chars DESC, doc_id LIMIT 5")
 def filt_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality floor, no disambiguation, no redirect, a wanted label; missing flags count as false; best hundred."""
+    """Quality floor, no disambiguation, no redirect, a wanted label; missing flags count as false; the best five."""
     d = table(spark, sf_dir, "documents")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     keep = (F.col("n_chars") >= 200) & no(F.col("doc_id") % 7 == 0) & no(F.col("doc_id") % 13 == 0) & ((F.col("lang") == "en") | (F.col("source") == "src1"))
-    return d.where(keep).orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id", "n_chars")
+    return d.where(keep).orderBy(F.desc("n_chars"), "doc_id").limit(5).select("doc_id", "n_chars")
 
 
 @plan("SELECT o_orderkey AS hit, doc_id, md5(text) AS digest FROM orders JOIN documents ON doc_id = o_orderkey")
@@ -195,24 +206,24 @@ def fn_build_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", content.alias("content"), F.coalesce(names[F.col("role")], F.lit("external_api")).alias("source"))
 
 
-@plan("WITH p AS (SELECT doc_id % 40 AS doc, (n_chars % 100) / 100.0::DOUBLE AS p FROM documents) SELECT doc, count(*) AS n_claims, round(CASE WHEN count(*) = 1 THEN max(p) ELSE exp(sum(ln(least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, p))))) END, 9) AS doc_score FROM p GROUP BY doc")
+@plan("WITH p AS (SELECT doc_id // 20 AS doc, (n_chars % 100) / 100.0::DOUBLE AS p FROM documents) SELECT doc, count(*) AS n_claims, round(CASE WHEN count(*) = 1 THEN max(p) ELSE exp(sum(ln(least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, p))))) END, 9) AS doc_score FROM p GROUP BY doc")
 def agg_doc_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("doc"), ((F.col("n_chars") % 100) / 100).alias("p_true"))
+    b = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("doc"), ((F.col("n_chars") % 100) / 100).alias("p_true"))
     return V.doc_product(b, ["doc"]).withColumn("doc_score", F.round("doc_score", 9))
 
 
-@plan("""WITH v AS (SELECT doc_id % 40 AS doc, (n_chars % 100) / 100.0::DOUBLE AS p, greatest(0, (n_chars % 100) / 100.0::DOUBLE - 0.1::DOUBLE) AS lo, least(1, (n_chars % 100) / 100.0::DOUBLE + 0.2::DOUBLE) AS hi FROM documents), d AS (SELECT doc, exp(avg(ln(least(0.999::DOUBLE, greatest(0.001::DOUBLE, p))))) AS s, min(lo) AS lo, max(hi) AS hi FROM v GROUP BY doc)
+@plan("""WITH v AS (SELECT doc_id // 20 AS doc, (n_chars % 100) / 100.0::DOUBLE AS p, greatest(0, (n_chars % 100) / 100.0::DOUBLE - 0.1::DOUBLE) AS lo, least(1, (n_chars % 100) / 100.0::DOUBLE + 0.2::DOUBLE) AS hi FROM documents), d AS (SELECT doc, exp(avg(ln(least(0.999::DOUBLE, greatest(0.001::DOUBLE, p))))) AS s, min(lo) AS lo, max(hi) AS hi FROM v GROUP BY doc)
 SELECT doc, floor(s * 10000 + 0.5::DOUBLE) / 10000 AS doc_score, floor(least(lo, s) * 10000 + 0.5::DOUBLE) / 10000 AS doc_low, floor(greatest(hi, s) * 10000 + 0.5::DOUBLE) / 10000 AS doc_high FROM d""")
 def agg_doc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.col("n_chars") % 100) / 100
-    v = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("doc"), p.alias("p_true"), F.greatest(F.lit(0.0), p - 0.1).alias("low"), F.least(F.lit(1.0), p + 0.2).alias("high"))
+    v = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("doc"), p.alias("p_true"), F.greatest(F.lit(0.0), p - 0.1).alias("low"), F.least(F.lit(1.0), p + 0.2).alias("high"))
     return V.geo_mean(v, ["doc"]).drop("consistency")
 
 
-@plan("""WITH s AS (SELECT doc_id % 40 AS claim, least(1, greatest(0, (doc_id % 11) / 10.0::DOUBLE * (doc_id % 4) / 3.0::DOUBLE * 0.7::DOUBLE)) AS v FROM documents WHERE doc_id % 3 = 0) SELECT claim, round(coalesce(least(1, max(v) * 0.75::DOUBLE + avg(v) * 0.25::DOUBLE), 0), 6) AS signal FROM s GROUP BY claim""")
+@plan("""WITH s AS (SELECT doc_id // 20 AS claim, least(1, greatest(0, (doc_id % 11) / 10.0::DOUBLE * (doc_id % 4) / 3.0::DOUBLE * 0.7::DOUBLE)) AS v FROM documents) SELECT claim, round(coalesce(least(1, max(v) * 0.75::DOUBLE + avg(v) * 0.25::DOUBLE), 0), 6) AS signal FROM s GROUP BY claim""")
 def agg_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best value with three quarters, mean with one quarter, of score * credibility (0.7 where unknown) * relevance."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").selectExpr("doc_id % 40 AS claim", "(doc_id % 11) / 10D AS score", "cast(NULL AS double) AS credibility", "(doc_id % 4) / 3D AS relevance")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id div 20 AS claim", "(doc_id % 11) / 10D AS score", "cast(NULL AS double) AS credibility", "(doc_id % 4) / 3D AS relevance")
     return d.groupBy("claim").agg(F.round(V._signal("score", F.lit(True)), 6).alias("signal"))
 
 

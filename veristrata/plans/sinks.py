@@ -45,13 +45,22 @@ def sink_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.merged(spark, path, ["vec_id"]).select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), F.round(square, 4).alias("square"))
 
 
-@plan("SELECT source, lang, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY ALL")
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> ''))"
+
+
+@plan(f"SELECT doc_id, source, len(links) AS n_links, md5(array_to_string(links, ',')) AS links, len(categories) AS n_categories, md5(array_to_string(categories, ',')) AS categories FROM (SELECT doc_id, source, list_sort({_WORDS})[1:200] AS links, list_sort(list_filter({_WORDS}, lambda w: length(w) > 6))[1:50] AS categories FROM documents)")
 def sink_article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in folders by source; a read of one source prunes the others (sink_corpus_worker)."""
+    """Article rows in folders by source, with their lists as sorted sets cut to their longest length; a read of one source prunes
+    the others (sink_corpus_worker)."""
+    from ..operators.knowledge import article_row
+
     path = shared_path(spark, "articles")
-    table(spark, sf_dir, "documents").withColumn("part", F.col("source")).write.partitionBy("part").parquet(path)
-    rows = spark.read.parquet(path)
-    return rows.groupBy(F.col("part").alias("source"), "lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("part"), words.alias("links"), F.filter(words, lambda w: F.length(w) > 6).alias("categories"))
+    article_row(rows).write.partitionBy("part").parquet(path)
+    told = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
+    size = lambda c: F.size(c).cast("long")
+    return spark.read.parquet(path).select("doc_id", F.col("part").alias("source"), size("links").alias("n_links"), told("links").alias("links"), size("categories").alias("n_categories"), told("categories").alias("categories"))
 
 
 @plan("SELECT conv_id, count(*) AS turns, md5(string_agg(role, ',' ORDER BY turn)) AS roles FROM conversations GROUP BY 1")
@@ -75,11 +84,15 @@ def sink_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@plan("SELECT user_id, event_id % 50 AS claim, arg_max(event_type, event_id) AS label, count(*) AS submissions FROM events GROUP BY ALL")
+@plan("""SELECT doc_id, coalesce(source, '') AS claim_id, CASE doc_id % 3 WHEN 0 THEN '' ELSE lang END AS label, coalesce(length(r), 0) AS n_chars, md5(coalesce(r, 'none')) AS rationale, batch::INT AS batch FROM (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN substring(text, 1, 2000) END AS r, doc_id % 2 AS batch FROM documents)""")
 def sink_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's last label of a claim counts; submissions are counted."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", (F.col("event_id") % 50).alias("claim")).agg(F.max_by("event_type", "event_id").alias("label"), F.count("*").alias("submissions"))
+    """Feedback appended batch by batch, a repeated batch once; missing fields are empty, long reasons are cut."""
+    path = shared_path(spark, "feedback")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("claim_id"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("label"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("rationale"))
+    for batch in (0, 1, 1):
+        K.append_feedback(d.where(F.col("doc_id") % 2 == batch), path, batch)
+    f = spark.read.parquet(path)
+    return f.select("doc_id", "claim_id", "label", F.coalesce(F.length("rationale"), F.lit(0)).cast("long").alias("n_chars"), F.md5(F.coalesce("rationale", F.lit("none")).cast("binary")).alias("rationale"), "batch")
 
 
 @plan("SELECT user_id AS run, max(event_id) AS position, count(*) AS done, max(CASE WHEN event_type = 'purchase' THEN event_id END) IS NOT NULL AS finished FROM events GROUP BY 1")

@@ -182,20 +182,20 @@ def fn_evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.evidence_quality(_evidence(spark, sf_dir)).select("doc_id", *[F.round(c, 6).alias(c) for c in ("quality", "reliability", "weighted")])
 
 
-@plan(f"""WITH e AS (SELECT *, doc_id % 50 AS claim FROM ({_quality_sql()})), s AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN quality >= 0.7::DOUBLE THEN 1 ELSE 0 END) OVER w AS h, sum(weighted) OVER w AS v FROM e WINDOW w AS (PARTITION BY claim ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+@plan(f"""WITH e AS (SELECT *, doc_id // 20 AS claim FROM ({_quality_sql()})), s AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN quality >= 0.7::DOUBLE THEN 1 ELSE 0 END) OVER w AS h, sum(weighted) OVER w AS v FROM e WINDOW w AS (PARTITION BY claim ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT claim, doc_id FROM s WHERE NOT ((n >= 3 AND coalesce(h, 0) >= 2) OR coalesce(v, 0) >= 2)""")
 def st_tiered_early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence in arrival order, up to the row that made it sufficient (agg_sufficiency)."""
-    e = V.evidence_quality(_evidence(spark, sf_dir)).withColumn("claim", F.col("doc_id") % 50)
+    e = V.evidence_quality(_evidence(spark, sf_dir)).withColumn("claim", F.floor(F.col("doc_id") / 20))
     return V.keep_until_sufficient(e, ["claim"], ["doc_id"]).select("claim", "doc_id")
 
 
-@plan("""WITH s AS (SELECT doc_id % 100 AS claim, doc_id AS ord, ['support', 'refute', 'neutral'][1 + (doc_id // 7) % 3] AS label, (doc_id % 10) / 10.0::DOUBLE AS s, (doc_id % 7) / 10.0::DOUBLE AS r, (doc_id % 3) / 10.0::DOUBLE AS n, (doc_id % 9) / 10.0::DOUBLE AS c, source FROM documents),
+@plan("""WITH s AS (SELECT doc_id // 20 AS claim, doc_id AS ord, ['support', 'refute', 'neutral'][1 + (doc_id // 7) % 3] AS label, (doc_id % 10) / 10.0::DOUBLE AS s, (doc_id % 7) / 10.0::DOUBLE AS r, (doc_id % 3) / 10.0::DOUBLE AS n, (doc_id % 9) / 10.0::DOUBLE AS c, source FROM documents),
 w AS (SELECT claim, arg_max(label, (votes, -first)) AS label FROM (SELECT claim, label, count(*) AS votes, min(ord) AS first FROM s GROUP BY ALL) GROUP BY claim),
 a AS (SELECT claim, label, avg(s) AS s, avg(r) AS r, avg(n) AS n, avg(c) AS c, arg_max(source, (c, -ord)) AS reasoning FROM s JOIN w USING (claim, label) GROUP BY ALL)
 SELECT claim, label, round(CASE WHEN s + r + n > 0 THEN s / (s + r + n) ELSE 1.0::DOUBLE / 3 END, 6) AS supporting, round(CASE WHEN s + r + n > 0 THEN r / (s + r + n) ELSE 1.0::DOUBLE / 3 END, 6) AS refuting, round(CASE WHEN s + r + n > 0 THEN n / (s + r + n) ELSE 1.0::DOUBLE / 3 END, 6) AS neutral, round(CASE WHEN c < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE c END, 6) AS confidence, reasoning FROM a""")
 def agg_nli_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").selectExpr("doc_id % 100 AS claim", "doc_id AS ord", "array('support', 'refute', 'neutral')[cast(floor(doc_id / 7) % 3 AS int)] AS label", "(doc_id % 10) / 10D AS supporting", "(doc_id % 7) / 10D AS refuting", "(doc_id % 3) / 10D AS neutral", "(doc_id % 9) / 10D AS confidence", "source AS reasoning")
+    s = table(spark, sf_dir, "documents").selectExpr("doc_id div 20 AS claim", "doc_id AS ord", "array('support', 'refute', 'neutral')[cast(floor(doc_id / 7) % 3 AS int)] AS label", "(doc_id % 10) / 10D AS supporting", "(doc_id % 7) / 10D AS refuting", "(doc_id % 3) / 10D AS neutral", "(doc_id % 9) / 10D AS confidence", "source AS reasoning")
     v = V.nli_vote(s, ["claim"])
     return v.select("claim", "label", *[F.round(c, 6).alias(c) for c in ("supporting", "refuting", "neutral", "confidence")], "reasoning")
 
