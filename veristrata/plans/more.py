@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import chunking, search
 from ..operators import corpus as C
 from ..operators import terms as S
-from ..session import dealt, numbered, table
+from ..session import dealt, materialize, numbered, table
 from .corpus import COUNTS, HASH, TF
 from .registry import plan
 from .verify import PAIRS, claims, labelled, squeeze_sql, tokens_sql
@@ -178,10 +178,9 @@ SELECT qid, vid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PAR
 def vec_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse dot products for every document whose id is divisible by 20, against all."""
     tf = C.bm25_tf(C.term_counts(docs(spark, sf_dir), "doc_id"))
-    v = tf.groupBy("doc_id", T.hash_token(F.col("token")).alias("idx")).agg(F.sum("tf").alias("value"))
-    s = search.sparse_scores(v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), v.withColumnRenamed("doc_id", "vid")).where("qid <> vid")
-    k = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 8)), "vid"))
-    return s.withColumn("k", k).where("k <= 5").select("qid", "vid", F.round("score", 4).alias("score"))
+    v = materialize(tf.groupBy("doc_id", T.hash_token(F.col("token")).alias("idx")).agg(F.sum("tf").alias("value")), "sparse-vectors")
+    top = search.sparse_top(v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), v.withColumnRenamed("doc_id", "vid"), 5)
+    return top.select("qid", "vid", F.round("score", 4).alias("score"))
 
 
 @plan(f"""WITH t AS (SELECT item_id, unnest(list_distinct({tokens_sql("text")})) AS term FROM benchmark), m AS (SELECT item_id, doc_id, count(*) AS matched FROM t JOIN documents ON contains(lower(text), term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS rank FROM m),

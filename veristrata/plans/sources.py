@@ -194,3 +194,25 @@ def join_sitelink(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _wikidata(spark, sf_dir).select("qid", "wikipedia_title")
     pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("T "), "c_name").alias("wikipedia_title"), "n")
     return pages.join(e, "wikipedia_title").select(F.substring("qid", 2, 20).cast("long").alias("id"), "wikipedia_title", "n")
+
+
+@plan("SELECT page_id, url, length(html)::BIGINT AS n_chars, md5(html) AS digest FROM pages")
+def src_rest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through a paged source, a partition for each page of answers (src_rest_wikipedia without the network)."""
+    from ..sources.paged import read_pages, write_pages
+
+    pages, folder = table(spark, sf_dir, "pages").select("page_id", "url", "html"), shared_path(spark, "answers")
+    n = write_pages(pages, "page_id", 20, folder)
+    return read_pages(spark, pages.schema, folder, n).select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@plan("SELECT c_custkey AS id, c_name AS label, c_mktsegment AS segment FROM customer")
+def src_rest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity records through the same source as a stream whose offset is the token of the next page (src_rest_wikidata)."""
+    from ..sources.paged import stream_pages, write_pages
+
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS label", "c_mktsegment AS segment")
+    folder, out, marks = (shared_path(spark, f"entities-{x}") for x in ("answers", "out", "marks"))
+    write_pages(rows, "id", 50, folder)
+    stream_pages(spark, rows.schema, folder).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
