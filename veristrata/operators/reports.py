@@ -57,12 +57,68 @@ def citations(answers: DataFrame, key: str, text: str = "text", n: str = "n_evid
     return a.select(key, size("m").alias("markers"), size(F.filter("m", lambda x: x.between(1, F.col("n")))).alias("valid"), size("s").alias("sentences"), size(F.filter("s", lambda x: x.rlike(r"\[[0-9]+\]"))).alias("cited"), (100.0 * F.size("m") / F.greatest(F.lit(1), F.col("w"))).alias("per_100_words"))
 
 
-def summary_scores(p: DataFrame, key: str) -> DataFrame:
-    """(key, score, value): accuracy, precision and one minus the share of false claims that pass."""
-    n = lambda c: F.count_if(c).cast("double")
-    t, q = F.col("truth"), F.col("predicted")
-    s = p.groupBy(key).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), ratio(n(t & q), n(q)).alias("precision"), (1 - ratio(n(~t & q), n(~t))).alias("safety"))
-    return s.select(key, F.explode(F.create_map(*[x for c in ("accuracy", "precision", "safety") for x in (F.lit(c), F.col(c))])).alias("score", "value"))
+SCORES = ("accuracy", "precision", "recall", "f1", "safety", "truthfulqa", "factscore", "speed", "selective", "relevance")
+
+
+def summary_scores(card: DataFrame, key: str) -> DataFrame:
+    """(key, score, value): ten scores from 0 to 1, higher is better, of a card (one row for each evaluator).
+
+    ``card``: accuracy, precision, recall, f1, pass_rate, truthfulqa, factscore, p95 (milliseconds), aurc, faithfulness;
+    missing values count as none: 0, but 1 for safety and for selective.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    values = {c: none(c) for c in ("accuracy", "precision", "recall", "f1", "truthfulqa", "factscore")}
+    values |= {"safety": 1 - none("pass_rate"), "speed": F.when(F.col("p95") > 0, F.least(F.lit(1.0), 1000 / F.col("p95"))).otherwise(0.0)}
+    values |= {"selective": F.when(none("aurc") >= 0, 1 / (1 + none("aurc"))).otherwise(0.0), "relevance": none("faithfulness")}
+    return card.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("score"), values[c].cast("double").alias("value")) for c in SCORES])).alias("s")).select(key, "s.score", "s.value")
+
+
+#: Metrics that evaluators are ranked by, and whether more is better.
+RANKED = {"accuracy": True, "f1": True, "factscore": True, "truthfulqa": True, "p95": False, "pass_rate": False, "aurc": False, "ndcg": True, "recall_at_10": True, "faithfulness": True}
+
+
+def rankings(card: DataFrame, key: str) -> DataFrame:
+    """(key, metric, place) of each evaluator by ten metrics; equal ones share a place, a latency of none comes last.
+
+    One row for each evaluator is ordered, so the window over all of them is small.
+    """
+    value = {m: F.when(F.col(m) > 0, -F.col(m)) if m == "p95" else F.col(m) if more else -F.col(m) for m, more in RANKED.items()}
+    long = card.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("v")) for m, v in value.items()])).alias("s")).select(key, "s.metric", "s.v")
+    return long.select(key, "metric", F.rank().over(Window.partitionBy("metric").orderBy(F.desc_nulls_last("v"))).alias("place"))
+
+
+def rag_proxies(units: DataFrame, key: str, supported: float = 0.2, relevant: float = 0.1) -> DataFrame:
+    """Five proxies of each sample: answer_relevancy, context_precision, context_recall, context_utilization, faithfulness.
+
+    ``units`` (key, kind, ord, text) has a sample's question, answer, contexts and, where there is one, truth. All are vectors
+    of smoothed tf-idf over the whole table; an answer's sentences are weighted by the same words. Cosines are formed
+    within a sample only: question and answer; contexts with question, truth, answer and each sentence. A sample without
+    contexts has no row, one without a truth no recall, and one without sentences no faithfulness.
+    """
+    sentences = units.where("kind = 'answer'").select(key, F.lit("sentence").alias("kind"), F.posexplode(F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")).alias("ord", "text"))
+    every = materialize(units.select(key, "kind", F.col("ord").cast("int").alias("ord"), "text").where("trim(text) <> ''").unionByName(sentences), "units")
+    words = every.select(key, "kind", "ord", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    tf = materialize(words.groupBy(key, "kind", "ord", "w").agg(F.count("*").alias("n")), "tf")
+    whole = F.col("kind") != "sentence"
+    df = tf.where(whole).groupBy("w").agg(F.count("*").alias("df"))
+    total = every.where(whole).count()
+    x = tf.join(df, "w").withColumn("x", F.col("n") * (F.log(F.lit(1 + total) / (1 + F.col("df"))) + 1))
+    norms = x.groupBy(key, "kind", "ord").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    v = materialize(x.join(norms, [key, "kind", "ord"]).select(key, "kind", "ord", "w", (F.col("x") / F.col("norm")).alias("x")), "vectors")
+
+    def cosines(left: str, right: str) -> DataFrame:
+        a = every.where(F.col("kind") == left).select(key, F.col("ord").alias("a"))
+        pairs = a.join(every.where(F.col("kind") == right).select(key, F.col("ord").alias("b")), key)
+        dots = v.where(F.col("kind") == left).select(key, "w", F.col("ord").alias("a"), F.col("x").alias("xa")).join(v.where(F.col("kind") == right).select(key, "w", F.col("ord").alias("b"), F.col("x").alias("xb")), [key, "w"])
+        return pairs.join(dots.groupBy(key, "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("c")), [key, "a", "b"], "left").fillna(0.0, ["c"])
+
+    share = lambda c, least: F.avg(F.when(F.col(c) >= least, 1.0).otherwise(0.0))
+    out = cosines("question", "context").groupBy(key).agg(share("c", relevant).alias("context_precision"))
+    out = out.join(cosines("question", "answer").groupBy(key).agg(F.max("c").alias("answer_relevancy")), key, "left")
+    for kind, name in (("answer", "context_utilization"), ("truth", "context_recall")):
+        out = out.join(cosines(kind, "context").groupBy(key).agg(F.max("c").alias(name)), key, "left")
+    best = cosines("sentence", "context").groupBy(key, "a").agg(F.max("c").alias("c"))
+    return out.join(best.groupBy(key).agg(share("c", supported).alias("faithfulness")), key, "left")
 
 
 def union_first(sets: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import metrics as M
+from ..operators import reports as R
 from ..session import table
 from .registry import plan
 
@@ -116,14 +117,42 @@ def agg_effect_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.effect_sizes(rates, "evaluator", "rate").select("a", "b", *r6("d"), "effect")
 
 
-@plan(f"""WITH {PRED}, {_CONF}, m AS (SELECT {_RATES} FROM c), l AS (SELECT event_type AS evaluator, median(value) AS p50 FROM events GROUP BY 1)
-SELECT evaluator, rank() OVER (ORDER BY accuracy DESC) AS by_accuracy, rank() OVER (ORDER BY f1 DESC) AS by_f1, rank() OVER (ORDER BY mcc DESC) AS by_mcc, rank() OVER (ORDER BY p50 NULLS LAST) AS by_latency FROM m LEFT JOIN l USING (evaluator)""")
+_CARD = f"""{_AURC}, d AS (SELECT evaluator, n, e / k AS risk, coalesce(lag(e / k) OVER (PARTITION BY evaluator ORDER BY k), 0) AS last FROM r), au AS (SELECT evaluator, round(sum((risk + last) / 2 / n), 6) AS aurc FROM d GROUP BY evaluator), {_CONF}, m AS (SELECT {_RATES} FROM c),
+false_pass AS (SELECT evaluator, CASE WHEN tn + fp > 0 THEN fp::DOUBLE / (tn + fp) ELSE 0 END AS passed FROM c), ev AS (SELECT source AS evaluator, avg(CASE WHEN doc_id % 3 <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS truthfulqa, avg(least(1.0::DOUBLE, len(regexp_extract_all(coalesce(text, ''), '[.!?]+')) / 50.0::DOUBLE)) AS factscore, quantile_cont(n_chars, 0.95) AS p95, avg(CASE WHEN n_chars % 997 >= 200 THEN 1.0::DOUBLE ELSE 0 END) AS faithfulness FROM documents GROUP BY 1),
+rk AS (SELECT evaluator, truth, row_number() OVER (PARTITION BY evaluator ORDER BY p DESC, doc_id) AS rank, sum(truth::INT) OVER (PARTITION BY evaluator) AS n FROM pred),
+ir AS (SELECT evaluator, round(sum(truth::INT) / max(n), 6) AS recall_at_10, round(sum(truth::INT / log2(rank + 1)) / list_sum(list_transform(range(1, least(10, max(n))::INT + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM rk WHERE rank <= 10 AND n > 0 GROUP BY evaluator),
+card AS (SELECT m.evaluator, accuracy, precision, recall, f1, passed AS pass_rate, aurc, truthfulqa, factscore, p95, faithfulness, coalesce(ndcg, 0) AS ndcg, coalesce(recall_at_10, 0) AS recall_at_10 FROM m JOIN false_pass USING (evaluator) JOIN au USING (evaluator) JOIN ev USING (evaluator) LEFT JOIN ir USING (evaluator))"""
+
+
+def card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of each evaluator in one row: rates, selective risk, facts, latency and retrieval."""
+    p = predictions(spark, sf_dir)
+    rates = M.confusion(p, ["evaluator"])
+    rates = rates.select("evaluator", *r6("accuracy", "precision", "recall", "f1"), M.ratio(F.col("fp").cast("double"), F.col("tn") + F.col("fp")).alias("pass_rate"))
+    risk = M.aurc(p, ["evaluator"], tie="doc_id").select("evaluator", *r6("aurc"))
+    d = table(spark, sf_dir, "documents")
+    facts = F.least(F.lit(1.0), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[.!?]+"), F.lit(0))) / 50)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    own = d.groupBy(F.col("source").alias("evaluator")).agg(share(F.col("doc_id") % 3 != 0).alias("truthfulqa"), F.avg(facts).alias("factscore"), F.percentile("n_chars", 0.95).alias("p95"), share(F.col("n_chars") % 997 >= 200).alias("faithfulness"))
+    sizes = p.groupBy("evaluator").agg(F.count_if("truth").alias("n_relevant"))
+    place = Window.partitionBy("evaluator").orderBy(F.desc("p"), "doc_id")
+    ranked = p.withColumn("rank", F.row_number().over(place)).where("rank <= 10").withColumn("relevant", F.col("truth")).join(sizes, "evaluator")
+    found = M.retrieval_at_k(ranked, ["evaluator"], 10).select("evaluator", F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall_at_10"))
+    return rates.join(risk, "evaluator").join(own, "evaluator").join(found, "evaluator", "left").fillna(0.0, ["ndcg", "recall_at_10"])
+
+
+@plan(f"""{_CARD} SELECT evaluator, unnest(['accuracy', 'precision', 'recall', 'f1', 'safety', 'truthfulqa', 'factscore', 'speed', 'selective', 'relevance']) AS score, round(unnest([accuracy, precision, recall, f1, 1 - pass_rate, truthfulqa, factscore, CASE WHEN p95 > 0 THEN least(1.0::DOUBLE, 1000 / p95) ELSE 0 END, 1 / (1 + greatest(0, aurc)), faithfulness]), 6) AS value FROM card""")
+def agg_summary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten scores from 0 to 1 of each evaluator, higher is better, one row each (agg_comparison_table's long form)."""
+    return R.summary_scores(card(spark, sf_dir), "evaluator").select("evaluator", "score", F.round("value", 6).alias("value"))
+
+
+@plan(f"""{_CARD}, l AS (SELECT evaluator, unnest(['accuracy', 'f1', 'factscore', 'truthfulqa', 'p95', 'pass_rate', 'aurc', 'ndcg', 'recall_at_10', 'faithfulness']) AS metric, unnest([accuracy, f1, round(factscore, 9), round(truthfulqa, 9), CASE WHEN p95 > 0 THEN -p95 END, -round(pass_rate, 9), -aurc, ndcg, recall_at_10, round(faithfulness, 9)]) AS v FROM card)
+SELECT evaluator, metric, (rank() OVER (PARTITION BY metric ORDER BY v DESC NULLS LAST))::INT AS place FROM l""")
 def win_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluators ranked by several metrics; those without latencies come last there. One row per evaluator."""
-    m = agg_confusion(spark, sf_dir)
-    latency = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("evaluator")).agg(F.percentile("value", 0.5).alias("p50"))
-    r = lambda c: F.rank().over(Window.orderBy(c))
-    return m.join(latency, "evaluator", "left").select("evaluator", r(F.desc("accuracy")).alias("by_accuracy"), r(F.desc("f1")).alias("by_f1"), r(F.desc("mcc")).alias("by_mcc"), r(F.asc_nulls_last("p50")).alias("by_latency"))
+    """Places of the evaluators by ten metrics; equal ones share a place."""
+    c = card(spark, sf_dir)
+    return R.rankings(c.withColumns({x: F.round(x, 9) for x in ("factscore", "truthfulqa", "pass_rate", "faithfulness")}), "evaluator")
 
 
 @plan(f"""WITH {PRED} SELECT domain, count(*) AS n, count(*) FILTER (p < 0.05::DOUBLE) AS errors, round(avg(CASE WHEN p >= 0.05::DOUBLE THEN correct::INT END), 6) AS accuracy, round(avg(CASE WHEN p >= 0.05::DOUBLE THEN confidence END), 6) AS confidence FROM pred GROUP BY domain""")

@@ -36,6 +36,29 @@ def agg_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tfidf_cosine(c, "conv_id", "role", "text", "user", "assistant").select("conv_id", F.round("cosine", 6).alias("cosine"))
 
 
+_UNITS = r"""t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), u0 AS (SELECT conv_id, CASE WHEN k = 1 THEN 'question' WHEN k = 2 THEN 'answer' WHEN k = n AND n > 3 THEN 'truth' ELSE 'context' END AS kind, k::INT AS ord, text FROM t WHERE trim(text) <> ''),
+u AS (SELECT * FROM u0 UNION ALL SELECT conv_id, 'sentence', i::INT, s[i + 1] FROM (SELECT conv_id, s, unnest(range(0, len(s))) AS i FROM (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM u0 WHERE kind = 'answer'))),
+tf AS (SELECT conv_id, kind, ord, w, count(*) AS n FROM (SELECT conv_id, kind, ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM u) GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf WHERE kind <> 'sentence' GROUP BY 1),
+x AS (SELECT conv_id, kind, ord, w, n * (ln((1 + (SELECT count(*) FROM u0))::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN df USING (w)), v AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, kind, ord)) AS y FROM x),
+dots AS (SELECT a.conv_id, a.kind, a.ord AS i, b.kind AS other, b.ord AS j, sum(a.y * b.y) AS c FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.w = b.w AND ((b.kind = 'context' AND a.kind <> 'context') OR (a.kind = 'question' AND b.kind = 'answer')) GROUP BY ALL),
+p AS (SELECT a.conv_id, a.kind, a.ord AS i, b.kind AS other, b.ord AS j, coalesce(c, 0) AS c FROM u a JOIN u b ON a.conv_id = b.conv_id AND ((b.kind = 'context' AND a.kind <> 'context') OR (a.kind = 'question' AND b.kind = 'answer')) LEFT JOIN dots d ON d.conv_id = a.conv_id AND d.kind = a.kind AND d.i = a.ord AND d.other = b.kind AND d.j = b.ord),
+best AS (SELECT conv_id, kind, i, max(c) AS c FROM p WHERE other = 'context' GROUP BY ALL)"""
+
+
+@plan(f"""WITH {_UNITS}, q AS (SELECT conv_id, avg(CASE WHEN c >= 0.1::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS precision FROM p WHERE kind = 'question' AND other = 'context' GROUP BY 1)
+SELECT conv_id, round(coalesce((SELECT max(c) FROM p WHERE p.conv_id = q.conv_id AND other = 'answer'), -1), 6) AS answer_relevancy, round(precision, 6) AS context_precision, round(coalesce((SELECT max(c) FROM best WHERE best.conv_id = q.conv_id AND kind = 'truth'), -1), 6) AS context_recall,
+    round(coalesce((SELECT max(c) FROM best WHERE best.conv_id = q.conv_id AND kind = 'answer'), -1), 6) AS context_utilization, round(coalesce((SELECT avg(CASE WHEN c >= 0.2::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) FROM best WHERE best.conv_id = q.conv_id AND kind = 'sentence'), -1), 6) AS faithfulness FROM q""")
+def agg_rag_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five proxies of retrieval quality for each conversation: its first turns as question and answer, the last as truth,
+    those between as contexts; -1 where there is nothing to measure."""
+    w = Window.partitionBy("conv_id")
+    t = table(spark, sf_dir, "conversations").withColumn("ord", F.row_number().over(w.orderBy("turn"))).withColumn("n", F.count("*").over(w))
+    kind = F.when(F.col("ord") == 1, "question").when(F.col("ord") == 2, "answer").when((F.col("ord") == F.col("n")) & (F.col("n") > 3), "truth").otherwise("context")
+    names = ("answer_relevancy", "context_precision", "context_recall", "context_utilization", "faithfulness")
+    out = R.rag_proxies(t.select("conv_id", kind.alias("kind"), "ord", "text"), "conv_id")
+    return out.select("conv_id", *[F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in names])
+
+
 _CITED = r"SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' See [1] and [9].' WHEN 1 THEN ' As (2) says [2].' ELSE '' END AS t, 3 AS n FROM documents"
 
 
@@ -49,13 +72,6 @@ def agg_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("per_100_words", F.round("per_100_words", 6))
 
 
-@plan(f"""WITH {PRED}, c AS (SELECT evaluator, avg(correct::INT) AS accuracy, count(*) FILTER (predicted AND truth)::DOUBLE / nullif(count(*) FILTER (predicted), 0) AS precision, count(*) FILTER (predicted AND NOT truth)::DOUBLE / nullif(count(*) FILTER (NOT truth), 0) AS passed FROM pred GROUP BY 1)
-SELECT evaluator, unnest(['accuracy', 'precision', 'safety']) AS score, round(unnest([accuracy, coalesce(precision, 0), 1 - coalesce(passed, 0)]), 6) AS value FROM c""")
-def agg_summary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores from 0 to 1, higher is better, one row each (agg_comparison_table's long form)."""
-    return R.summary_scores(predictions(spark, sf_dir), "evaluator").select("evaluator", "score", *r6("value"))
-
-
 @plan(f"""WITH {PRED}, c AS (SELECT evaluator, domain, avg(correct::INT) AS a, count(*) AS n FROM pred GROUP BY ALL) SELECT domain, evaluator, n, round(a, 6) AS accuracy, round(a - max(a) OVER (PARTITION BY domain), 6) AS behind, rank() OVER (PARTITION BY domain ORDER BY a DESC) AS place FROM c""")
 def agg_strategy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluators against the best one of each domain (agg_comparison_table)."""
