@@ -60,21 +60,24 @@ def messages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumns({"out": zero, "back": zero, "p": _odds(zero), "settled": F.lit(False), "rounds": F.lit(0)})
 
 
+_STATE = (*EDGE, "src", "dst", "same", "other", "rho", "odds")
+
+
 def _small_round(m: DataFrame, tolerance: float) -> DataFrame:
     """One round of documents that lie in one task each."""
-    m = m.withColumn("sums", F.sum(F.col("rho") * F.col("back")).over(Window.partitionBy("doc", "src")))
+    own, mirror = Window.partitionBy("doc", "src"), Window.partitionBy(*EDGE).orderBy("src")
+    m = m.withColumn("sums", F.sum(F.col("rho") * F.col("back")).over(own))
     new = FRESH * _sent("x", F.col("odds") + F.col("sums") - F.col("back")) + (1 - FRESH) * F.col("out")
     m = m.withColumn("out", F.when(F.col("settled"), F.col("out")).otherwise(new))
-    mirror = Window.partitionBy(*EDGE).orderBy("src")
     m = m.withColumn("back", F.coalesce(F.lag("out").over(mirror), F.lead("out").over(mirror)))
-    m = m.withColumn("now", _odds(F.sum(F.col("rho") * F.col("back")).over(Window.partitionBy("doc", "src"))))
-    m = m.withColumn("gap", F.max(F.abs(F.col("now") - F.col("p"))).over(Window.partitionBy("doc")))
-    return _closed(m, tolerance)
+    m = m.withColumn("now", _odds(F.sum(F.col("rho") * F.col("back")).over(own)))
+    return _closed(m, F.max(F.abs(F.col("now") - F.col("p"))).over(Window.partitionBy("doc")), tolerance)
 
 
-def _closed(m: DataFrame, tolerance: float) -> DataFrame:
-    m = m.withColumns({"rounds": F.col("rounds") + (~F.col("settled")).cast("int"), "p": F.col("now")})
-    return m.withColumn("settled", F.col("settled") | (F.col("gap") < tolerance)).drop("now", "gap", "sums")
+def _closed(m: DataFrame, gap: Column, tolerance: float) -> DataFrame:
+    """The state after a round, in which the claims of a document moved by at most ``gap``."""
+    rounds = F.col("rounds") + (~F.col("settled")).cast("int")
+    return m.select(*_STATE, "out", "back", F.col("now").alias("p"), (F.col("settled") | (gap < tolerance)).alias("settled"), rounds.alias("rounds"))
 
 
 def _with_sums(m: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def _large_round(m: DataFrame, tolerance: float) -> DataFrame:
     m = _with_sums(materialize(m.join(received, [*EDGE, "src"]), "received")).withColumn("now", _odds(F.col("sums")))
     m = materialize(m, "now")
     gaps = m.groupBy("doc").agg(F.max(F.abs(F.col("now") - F.col("p"))).alias("gap"))  # a row for each large document
-    return _closed(m.join(F.broadcast(gaps), "doc"), tolerance)
+    return _closed(m.join(F.broadcast(gaps), "doc"), F.col("gap"), tolerance)
 
 
 def settle(m: DataFrame, rounds: int, tolerance: float, large: bool) -> DataFrame:
