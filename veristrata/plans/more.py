@@ -219,7 +219,18 @@ def chunk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "chunk_index", F.col("c.start").alias("start"), F.length("c.text").alias("n_chars"), F.md5(F.col("c.text").cast("binary")).alias("digest"))
 
 
-@plan()
+#: Ends of sentences by document; each step goes on to the next end that lies beyond the open slice.
+_SLICES = r"""p AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])([ \t\n\r\f\v]+)', '\1' || chr(31) || '\2', 'g'), chr(31)) AS p FROM documents), q AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM p),
+z AS (SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM q), y AS (SELECT *, min(e) OVER (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 400 PRECEDING AND CURRENT ROW) AS back FROM z),
+x AS (SELECT doc_id, i, e, coalesce(lag(e) OVER w, 0) AS last, coalesce(lag(back) OVER w, 0) AS back FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS e, []::STRUCT(a BIGINT, b BIGINT)[] AS made FROM documents
+    UNION ALL SELECT doc_id, i, s + n * 4000, e, list_concat(CASE WHEN cut THEN [{'a': start, 'b': last}] ELSE [] END, list_transform(range(0, n), lambda j: {'a': s + j * 4000, 'b': s + (j + 1) * 4000}))
+    FROM (SELECT *, greatest(0, (e - s + 3999) // 4000 - 1) AS n FROM (SELECT *, CASE WHEN NOT cut THEN start WHEN back > start THEN back ELSE last END AS s FROM (SELECT doc_id, start, v.i AS i, v.e AS e, v.last AS last, v.back AS back, v.last > start AS cut FROM (SELECT r.doc_id, r.start, arg_min({'i': x.i, 'e': x.e, 'last': x.last, 'back': x.back}, x.i) AS v FROM r JOIN x ON x.doc_id = r.doc_id AND x.i > r.i AND x.e - r.start > 4000 GROUP BY r.doc_id, r.start))))),
+f AS (SELECT r.doc_id, 1000000000 AS i, start AS a, length(text)::BIGINT AS b FROM r JOIN (SELECT doc_id, max(i) AS i FROM r GROUP BY 1) USING (doc_id, i) JOIN documents USING (doc_id) WHERE regexp_matches(substring(text, start + 1), '[^ \t\n\r\f\v]')),
+o AS (SELECT doc_id, i, m.a AS a, m.b AS b FROM (SELECT doc_id, i, unnest(made) AS m FROM r) UNION ALL SELECT * FROM f)"""
+
+
+@plan(f"WITH RECURSIVE {_SLICES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, a) - 1)::INT AS chunk_index, a::INT AS start, (b - a)::INT AS n_chars FROM o")
 def chunk_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of whole texts for claim extraction, offsets kept."""
     c = docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.chunk_column(F.col("text"), chunking.claim_chunks)).alias("chunk_index", "c"))
