@@ -47,3 +47,21 @@ def test_runs_complete_at_their_total(spark):
     totals = spark.createDataFrame([(1, 3), (2, 2), (3, 0), (4, 1)], "run long, batches_total long")
     got = {r["run"]: tuple(r)[1:] for r in limits.run_totals(d, totals).collect()}
     assert got == {1: (3, 8, 1, "complete"), 2: (1, 5, 0, "running"), 3: (1, 1, 0, "running"), 4: (0, 0, 0, "running")}
+
+
+def test_sliding_windows_over_stretches(spark, monkeypatch):
+    """A key that holds most rows, null keys, ties of time, and stretches shorter than a window's reach allows for."""
+    from pyspark.sql.window import Window
+
+    from veristrata.operators import metrics
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot"] * 8 + ["cold", None]), rng.randint(0, 50), rng.randint(-5, 5)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id long, key string, at long, value long").repartition(5)
+    order, values = [F.col("at"), F.col("id")], {"total": F.sum("value"), "n": F.count("*"), "worst": F.max("value")}
+    w = Window.partitionBy("key").orderBy(*order).rowsBetween(-6, 0)
+    wanted = sorted(tuple(r) for r in frame.select("id", *[v.over(w).alias(n) for n, v in values.items()]).collect())
+    for stretch in (7, 13, 100_000):
+        monkeypatch.setattr(metrics, "STRETCH", stretch)
+        got = metrics.sliding(frame, ["key"], order, 7, values)
+        assert sorted(tuple(r) for r in got.select("id", *values).collect()) == wanted

@@ -155,3 +155,22 @@ def smooth_histogram(df: DataFrame, value: str, width: float, bins: int, radius:
     total = sum(k for _, k in kernel)
     spread = F.array(*[F.struct((F.col("bin") + o).alias("bin"), (F.col("n") * (k / total)).alias("part")) for o, k in kernel])
     return n.select(F.explode(spread).alias("x")).select("x.*").where(f"bin BETWEEN 0 AND {bins - 1}").groupBy("bin").agg(F.sum("part").alias("smoothed"))
+
+
+#: Rows of one key that a task gets in a sliding window.
+STRETCH = 100_000
+
+
+def sliding(df: DataFrame, keys: list[str], order: list[Column], width: int, values: dict[str, Column]) -> DataFrame:
+    """``df`` with aggregates over each row and the ``width`` - 1 rows before it in its key's order.
+
+    Rows are numbered over ranges and dealt in stretches of STRETCH rows, each with the rows before it that its first windows need,
+    so a key that holds most rows is spread over many tasks.
+    """
+    rows = running(df, keys, order, {"_at": F.lit(1)}).drop("total")
+    stretch = F.floor((F.col("_at") - 1) / STRETCH)
+    own = F.struct(stretch.alias("_stretch"), F.lit(False).alias("_lent"))
+    lent = F.when(F.col("_at") > (stretch + 1) * STRETCH - (width - 1), F.struct((stretch + 1).alias("_stretch"), F.lit(True).alias("_lent")))
+    dealt = rows.select("*", F.explode(F.array_compact(F.array(own, lent))).alias("_s")).select("*", "_s.*").drop("_s")
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rowsBetween(-(width - 1), 0)
+    return dealt.select("*", *[v.over(w).alias(n) for n, v in values.items()]).where("NOT _lent").drop("_at", "_stretch", "_lent")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import graph as G
+from ..operators import metrics as M
 from ..session import numbered, table
 from .registry import plan
 
@@ -22,8 +23,9 @@ def st_fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("""SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 2) AS total, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS worst FROM events""")
 def st_sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum, number and worst of each kind's last 100 samples; their quotient is the sliding mean."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("total"), F.count("*").over(w).alias("n"), F.max("value").over(w).alias("worst"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    out = M.sliding(e, ["event_type"], [F.col("ts"), F.col("event_id")], 100, {"total": F.sum("value"), "n": F.count("*"), "worst": F.max("value")})
+    return out.select("event_id", F.round("total", 2).alias("total"), "n", "worst")
 
 
 @plan("""SELECT floor(epoch(ts) / 60)::BIGINT AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
