@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize, shared_path
-from .search import MOST_QUERIES, dot
+from .search import dot
 
 SAMPLE = 20_000  # vectors that the centroids are fitted on, at most
 MOST_LISTS = 1_024
+MOST_QUERIES = 4_096  # told to all tasks at a time
 STEPS = 12  # rounds of the fit
 NEAREST = 2  # lists that a query reads first
 SLACK = 1e-6  # for rounding in distances, which is largest near 0

@@ -50,7 +50,7 @@ def filt_vector_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(f"WITH {_K} SELECT qid, least(count(*), 100) AS n FROM s WHERE score >= 0.1::DOUBLE GROUP BY qid")
 def vec_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _vectors(spark, sf_dir)
-    return S.above(q, c, 0.1).groupBy("qid").agg(F.least(F.count("*"), F.lit(100)).alias("n"))
+    return S.count_above(q, c, 0.1).select("qid", F.least("n", F.lit(100)).alias("n"))
 
 
 @plan(f"""WITH {_K}, d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS r FROM s), h AS (SELECT qid, vid, least(1.0::DOUBLE, score + least(0.6::DOUBLE, 0.3::DOUBLE * ((ql = label)::INT + (vid % 10 = qid % 10)::INT))) AS score FROM d WHERE r <= 10)
