@@ -45,3 +45,14 @@ def test_index_of_odd_tables(spark, monkeypatch):
         centers = I.fit_centroids(empty)
         hits, _ = I.search(I.build(empty, centers), centers, few.selectExpr("vid AS qid", "vec AS qvec"), 5)
         assert hits.count() == 3 * empty.count()
+
+
+def test_lists_hand_on_a_querys_best_only(spark):
+    """A list's scores stay in its tasks: few rows are written for a query, whatever the lists' sizes."""
+    rng = np.random.default_rng(5)
+    corpus = vectors(spark, rng, 500, 6, 4, 0.2).where("vid < 500").repartition(2)
+    queries = corpus.where("vid < 20").selectExpr("vid AS qid", "vec AS qvec")
+    centers = I.fit_centroids(corpus, lists=4)
+    index = I.build(corpus, centers).coalesce(1)
+    read = I._read_lists(index, queries, centers, 3, True)
+    assert read.where("vid IS NOT NULL").count() == 20 * 3 and read.where("compared IS NOT NULL").count() == 20

@@ -3,8 +3,7 @@
 Unit vectors are dealt to the nearest of some centroids, which are fitted on a bounded sample; every vector is in a
 list, with its distance to the list's centroid. A query first reads its nearest lists, which gives it k scores to beat.
 By the triangle inequality a vector can only beat them if its distance to the centroid differs from the query's by no
-more than the distance that the k-th score stands for; the other lists are read for these vectors alone, and lists whose
-whole range of distances is out of reach are not read for the query at all.
+more than the distance that the k-th score stands for; in the other lists it is compared with these vectors alone.
 
 Vectors of length zero have the score 0 with everything: they form a list that is always read, and a query of length
 zero reads all lists. Null vectors are left out.
@@ -12,17 +11,20 @@ zero reads all lists. Null vectors are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize, shared_path
-from .search import dot
+from . import nearest as N
 
 SAMPLE = 20_000  # vectors that the centroids are fitted on, at most
 MOST_LISTS = 1_024
-MOST_QUERIES = 4_096  # told to all tasks at a time
+MOST_QUERIES = 8_192  # told to all tasks at a time
 STEPS = 12  # rounds of the fit
 NEAREST = 2  # lists that a query reads first
 SLACK = 1e-6  # for rounding in distances, which is largest near 0
@@ -48,46 +50,113 @@ def fit_centroids(corpus: DataFrame, lists: int | None = None, sample: int = SAM
     return centers
 
 
-def _with_distances(rows: DataFrame, centers: np.ndarray) -> DataFrame:
-    """``near``: distances of a unit vector to all centroids, which are told to all tasks; zeros where it has no length."""
-    one = rows.sparkSession.createDataFrame([(1, centers.tolist())], "_one int, centers array<array<double>>")
-    both = rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
-    near = F.transform("centers", lambda c: F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(c, F.col("unit")))), F.lit(0.0)))
-    return both.withColumn("near", near).drop("_one", "centers")
-
-
-def _units(rows: DataFrame, vec: str, norm: str) -> DataFrame:
-    rows = rows.where(F.col(vec).isNotNull()).withColumn(vec, F.transform(vec, lambda x: x.cast("double")))
-    rows = rows.withColumn(norm, F.sqrt(dot(vec, vec)))
-    return rows.withColumn("unit", F.when(F.col(norm) > 0, F.transform(vec, lambda x: x / F.col(norm))))
-
-
 def build(corpus: DataFrame, centers: np.ndarray) -> DataFrame:
-    """(vid, vec, norm, list, far): every vector with its list and its distance to the list's centroid, written."""
-    rows = _with_distances(_units(corpus.select("vid", "vec"), "vec", "norm"), centers)
-    at = F.when((F.col("norm") > 0) & (F.size("near") > 0), F.array_position("near", F.array_min("near")).cast("int") - 1)
-    rows = rows.withColumn("list", F.coalesce(at, F.lit(NO_LENGTH))).withColumn("far", F.when(F.col("list") >= 0, F.array_min("near")).otherwise(0.0))
+    """(vid, vec, far, list): every vector with its list and its distance to the list's centroid, written."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = N.Vectors(batch.column(0), batch.column(1))
+            lists, far = np.full(len(rows.ids), NO_LENGTH, np.int32), np.zeros(len(rows.ids))
+            for size, place, vecs, norms, _ in rows.parts:
+                if len(centers) and size == centers.shape[1]:
+                    at = _distances(vecs, norms, centers)
+                    lists[place], far[place] = at.argmin(axis=1), at.min(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far), pa.array(lists)], ["vid", "vec", "far", "list"])
+
+    rows = corpus.where("vec IS NOT NULL").select(F.col("vid").cast("long").alias("vid"), F.col("vec").cast("array<double>").alias("vec"))
+    rows = rows.mapInArrow(assign, "vid long, vec array<double>, far double, list int")
     path = shared_path(corpus.sparkSession, "vector-lists")
-    dealt = rows.select("vid", "vec", "norm", "list", "far").repartitionByRange(F.col("list"), F.xxhash64("vid"))  # a large list in many tasks
-    dealt.write.partitionBy("list").parquet(path)
-    return corpus.sparkSession.read.schema("vid long, vec array<double>, norm double, far double, list int").parquet(path)
+    rows.repartitionByRange(F.col("list"), F.xxhash64("vid")).write.partitionBy("list").parquet(path)  # a large list in many tasks
+    return corpus.sparkSession.read.schema("vid long, vec array<double>, far double, list int").parquet(path)
+
+
+def _distances(vecs: np.ndarray, norms: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors to all centroids."""
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(np.sqrt(np.maximum(0.0, 2 - 2 * (vecs / norms[:, None]) @ centers.T)), nan=0.0)
 
 
-def _scores(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """Scores of the queries (qid, qvec, qnorm, low, high) asked of each list with its vectors within their range.
+def _read_lists(index: DataFrame, block: DataFrame, centers: np.ndarray, k: int, first: bool) -> DataFrame:
+    """(qid, vid, score, compared): of each task's vectors the best of each query, and how many it was compared with.
 
-    The queries go to the lists as one row of arrays for each list, so a list of any size is read where it lies.
+    ``block`` has (qid, qvec), and for the lists after the first ones ``beat``, the k-th score so far (null: none). A
+    query's distances to the centroids are worked out in the tasks.
     """
-    by_list = asked.groupBy("list").agg(F.collect_list(F.struct("qid", "qvec", "qnorm", "low", "high")).alias("qs"))
-    pairs = index.join(F.broadcast(by_list), "list").select("vid", "vec", "norm", "far", F.explode("qs").alias("q"))
-    pairs = pairs.where((F.col("far") >= F.col("q.low")) & (F.col("far") <= F.col("q.high")) & (F.col("vid") != F.col("q.qid")))
-    both = F.col("norm") * F.col("q.qnorm")
-    return pairs.select("vid", F.col("q.qid").alias("qid"), F.when(both > 0, dot("vec", "q.qvec") / both).otherwise(0.0).alias("score"))
+    told = N.asked(block)
+    own = index.select("vid", "vec", "list", "far")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = told()
+        at, near, reach, beat = _order(queries, centers)
+        best, compared = N.Best(len(queries.ids), k), np.zeros(len(queries.ids), np.int64)
+        for batch in batches:
+            lists = batch.column(2).to_numpy(zero_copy_only=False)
+            for one in np.unique(lists if first else lists[lists >= 0]):
+                here = pa.array(np.flatnonzero(lists == one))
+                rows = N.Vectors(batch.column(0).take(here), batch.column(1).take(here))
+                far = batch.column(3).take(here).to_numpy(zero_copy_only=False)
+                early = near[:, one] if one >= 0 else np.ones(len(queries.ids), bool)
+                for q in queries.parts:
+                    for v in rows.parts:
+                        d = far[v[1]]
+                        asks = early[q[1]] if first else ~early[q[1]]
+                        if not first:
+                            asks &= (d.min() - reach[q[1]] <= at[q[1], one]) & (at[q[1], one] <= d.max() + reach[q[1]])
+                        if not asks.any():
+                            continue
+                        part = N.part_of(q, asks)
+                        compared[part[1]] += _compared(queries, part, rows, v, None if first else (d, at[part[1], one], reach[part[1]]))
+                        few = N.few_copies(v, rows.ids, k + 1, alike=q[0] != v[0])
+                        d = far[few[1]]
+                        within = None if first else lambda s, d=d, part=part, one=one: np.abs(d[None, s] - at[part[1], one][:, None]) <= reach[part[1]][:, None]
+                        N.scan(best, queries, part, rows, few, beat, True, within)
+        q, place = np.nonzero(best.ids >= 0)
+        scores = best.scores[q, place]
+        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(best.ids[q, place]), pa.array(np.where(np.isposinf(scores), np.nan, scores)), pa.nulls(len(q), pa.int64())], _NAMES)
+        some = np.flatnonzero(compared)
+        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64()), pa.array(compared[some])], _NAMES)
+
+    return materialize(own.mapInArrow(search, "qid long, vid long, score double, compared long"), "lists-read")
+
+
+_NAMES = ["qid", "vid", "score", "compared"]
+
+
+def _order(queries: N.Vectors, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query: distances to the centroids, whether a list is among its nearest, how far a vector may be that
+    beats its k-th score, and that score. A query without length reads all lists."""
+    n, lists = len(queries.ids), len(centers)
+    at, near = np.zeros((n, lists)), np.zeros((n, lists), bool)
+    beat = np.full(n, -np.inf) if queries.more is None else np.where(np.isnan(queries.more), -np.inf, queries.more)
+    reach = np.where(np.isneginf(beat), np.inf, np.sqrt(np.maximum(0.0, 2 - 2 * beat))) + SLACK
+    for size, place, rows, norms, _ in queries.parts:
+        if lists and size == centers.shape[1]:
+            at[place] = _distances(rows, norms, centers)
+        else:
+            reach[place] = np.inf
+    if lists:
+        np.put_along_axis(near, np.argsort(at, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
+    return at, near, reach, beat
+
+
+def _compared(queries: N.Vectors, q: tuple, rows: N.Vectors, v: tuple, within: tuple | None) -> np.ndarray:
+    """How many vectors of a part each query is compared with: those within reach, not itself."""
+    if within is None:
+        n = np.full(len(q[1]), len(v[1]), np.int64)
+        counted = None
+    else:
+        d, at, reach = within
+        order = np.sort(d)
+        n = np.searchsorted(order, at + reach, "right") - np.searchsorted(order, at - reach, "left")
+        counted = lambda qi, vi: np.abs(d[vi] - at[qi]) <= reach[qi]
+    qi, vi = N.own_pairs(queries.ids[q[1]], rows.ids[v[1]])
+    np.subtract.at(n, qi, 1 if counted is None else counted(qi, vi).astype(np.int64))
+    return n
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.where("vid IS NOT NULL").select("qid", "vid", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def search(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -95,26 +164,17 @@ def search(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int) ->
 
     ``queries`` (qid, qvec) is a stated set, answered in blocks of MOST_QUERIES; no vector is its own neighbour.
     """
-    lists = index.groupBy("list").agg(F.min("far").alias("nearest"), F.max("far").alias("farthest"), F.count("*").alias("size"))
-    lists = materialize(lists, "list-ranges")  # a row for each list
+    queries = queries.where("qvec IS NOT NULL").select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec"))
     blocks = max(1, -(-queries.count() // MOST_QUERIES))
     hits, read = [], []
-    every = lambda c: F.lit(c).cast("double")
     for i in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        q = materialize(_with_distances(_units(part.select("qid", "qvec"), "qvec", "qnorm"), centers).drop("unit"), "asked")
-        order = F.transform(F.slice(F.array_sort(F.transform("near", lambda d, j: F.struct(d.alias("d"), j.alias("j")))), 1, NEAREST), lambda x: x["j"])
-        first = q.select("qid", "qvec", "qnorm", every("-Infinity").alias("low"), every("Infinity").alias("high"), F.explode(F.concat(F.array(F.lit(NO_LENGTH)), order)).alias("list"))
-        start = materialize(_scores(index, first), "first-lists")
-        beat = _best(start, k).where(F.col("rank") == k).select("qid", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reach"))
-        more = q.select("qid", "qvec", "qnorm", F.posexplode("near").alias("list", "at")).join(F.broadcast(lists), "list")
-        more = more.join(first.select("qid", "list"), ["qid", "list"], "left_anti").join(beat, "qid", "left")
-        reach = F.when(F.col("qnorm") > 0, F.coalesce("reach", every("Infinity"))).otherwise(every("Infinity")) + SLACK
-        more = more.withColumns({"low": F.col("at") - reach, "high": F.col("at") + reach}).where((F.col("farthest") >= F.col("low")) & (F.col("nearest") <= F.col("high")))
-        rest = materialize(_scores(index, more.select("qid", "qvec", "qnorm", "low", "high", "list")), "other-lists")
-        all_scores = start.unionByName(rest)
-        hits.append(_best(all_scores, k))
-        read.append(all_scores.groupBy("qid").agg(F.count("*").alias("compared")))
+        start = _read_lists(index, part, centers, k, True)
+        beat = _best(start, k).where(F.col("rank") == k).select("qid", F.col("score").alias("beat"))
+        rest = _read_lists(index, part.join(beat, "qid", "left"), centers, k, False)
+        found = start.unionByName(rest)
+        hits.append(_best(found, k))
+        read.append(found.where("compared IS NOT NULL").groupBy("qid").agg(F.sum("compared").alias("compared")))
     for h, r in zip(hits[1:], read[1:], strict=True):
         hits[0], read[0] = hits[0].unionByName(h), read[0].unionByName(r)
     return hits[0], read[0]
