@@ -1,9 +1,19 @@
 """Steps that must not grow faster than their tables, and results on odd rows."""
 
 from veristrata.functions import text as T
+from veristrata.plans import registry
+
+registry.load()
+DATA = "/root/testdata/sf0.001"
 
 
 def test_domain_words_end_at_letters_of_other_scripts(spark):
     df = spark.createDataFrame([(0, "\xf1dollar ci\xf3ngar"), (1, "adollar"), (2, "bank\xe9 BANK"), (3, "Kubernetes")], "i long, text string")
     domain, _ = T.domain_route(df["text"])
     assert [r[0] for r in df.orderBy("i").select(domain.alias("d")).collect()] == ["economic", "general", "economic", "general"]
+
+
+def test_all_rows_that_pass_come_back(spark):
+    got = registry.QUERIES["filt_enhanced"](spark, DATA)
+    d = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars >= 200 AND doc_id % 7 <> 0 AND doc_id % 13 <> 0 AND (lang = 'en' OR source = 'src1')")
+    assert got.count() == d.count() > 5
