@@ -1,12 +1,23 @@
 """Steps that must not grow faster than their tables, and results on odd rows."""
 
+import contextlib
+import io
+
 from veristrata.functions import text as T
+from veristrata.operators import candidates as C
 from veristrata.plans import registry
 
 registry.load()
 DATA = "/root/testdata/sf0.001"
 
 
+def plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
 def test_domain_words_end_at_letters_of_other_scripts(spark):
     df = spark.createDataFrame([(0, "\xf1dollar ci\xf3ngar"), (1, "adollar"), (2, "bank\xe9 BANK"), (3, "Kubernetes")], "i long, text string")
     domain, _ = T.domain_route(df["text"])
@@ -17,3 +28,13 @@ def test_all_rows_that_pass_come_back(spark):
     got = registry.QUERIES["filt_enhanced"](spark, DATA)
     d = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars >= 200 AND doc_id % 7 <> 0 AND doc_id % 13 <> 0 AND (lang = 'en' OR source = 'src1')")
     assert got.count() == d.count() > 5
+
+
+def test_chosen_cases_have_the_smallest_draws(spark):
+    cases = spark.range(3000).selectExpr("id", "concat('text ', id) AS text", "id % 5 <> 0 AS label")
+    order = [r["id"] for r in cases.where("label").orderBy(C.draw(cases["id"], "case"), "id").select("id").collect()]
+    for n in (1, 700, 2400):
+        chosen = C._smallest_draws(cases.where("label"), n)
+        assert sorted(r["id"] for r in chosen.collect()) == sorted(order[:n])
+    ordered = [line for line in plan(C.with_false_variants(cases)).splitlines() if "TakeOrdered" in line]
+    assert not any("text" in line for line in ordered)

@@ -107,7 +107,7 @@ def false_variant(text: Column, key: Column) -> tuple[Column, Column]:
     """
     way, low = draw(key, "way") % 100, F.lower(text)
     step = lambda steps, purpose: F.element_at(F.array(*[F.lit(s) for s in steps]), (draw(key, purpose) % len(steps) + 1).cast("int"))
-    year, number = F.regexp_extract(text, r"\b(?:19|20)\d{2}\b", 0), F.regexp_extract(text, r"\b\d+\b", 0)
+    year, number = F.regexp_extract(text, rf"{T.BORDER}(?:19|20)\d{{2}}{T.BORDER}", 0), F.regexp_extract(text, rf"{T.BORDER}\d+{T.BORDER}", 0)
     other = number.try_cast("long") + step(NUMBER_STEPS, "number")
     negated, kind, swapped, swap = text, F.lit("synthetic"), text, F.lit("synthetic")
     for old, new in reversed(NEGATIONS):
@@ -119,6 +119,24 @@ def false_variant(text: Column, key: Column) -> tuple[Column, Column]:
     return F.when(way < 40, negated).when(way < 82, dated).otherwise(swapped), F.when(way < 40, kind).when(way < 82, date_kind).otherwise(swap)
 
 
+def _smallest_draws(cases: DataFrame, needed: int) -> DataFrame:
+    """The ``needed`` cases with the smallest draws, ties by id: whole buckets of draws, and of the last one those that fit.
+
+    Only the ids of one bucket (a 4,096th of the cases) are ordered in one task.
+    """
+    order = draw(F.col("id"), "case")
+    rows = cases.withColumn("_bucket", F.shiftright(order, 16))
+    cut, before = 1 << 12, 0
+    for r in sorted(rows.groupBy("_bucket").agg(F.count("*").alias("n")).collect()):  # at most 4,096 rows
+        if before + r["n"] > needed:
+            cut = r["_bucket"]
+            break
+        before += r["n"]
+    last = rows.where(F.col("_bucket") == cut).select("id").orderBy(order, "id").limit(needed - before).withColumn("_in", F.lit(True))
+    rows = rows.where(F.col("_bucket") <= cut).join(F.broadcast(last), "id", "left")
+    return rows.where((F.col("_bucket") < cut) | F.col("_in")).drop("_bucket", "_in")
+
+
 def with_false_variants(cases: DataFrame, share: float = 0.4) -> DataFrame:
     """Cases (id, text, label) and, if under ``share`` of them are false, as many false variants of true ones (of those
     with the smallest hashes) as floor(n * share / (1 - share)) false ones take. A variant's id is -id - 1."""
@@ -128,7 +146,7 @@ def with_false_variants(cases: DataFrame, share: float = 0.4) -> DataFrame:
     if needed <= 0:
         return own
     text, kind = false_variant(F.col("text"), F.col("id"))
-    chosen = cases.where("label").orderBy(draw(F.col("id"), "case"), "id").limit(needed)
+    chosen = _smallest_draws(cases.where("label"), needed)
     return own.unionByName(chosen.select((-F.col("id") - 1).alias("id"), text.alias("text"), F.lit(False).alias("label"), kind.alias("kind")))
 
 
