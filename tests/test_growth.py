@@ -5,6 +5,7 @@ import io
 
 from veristrata.functions import text as T
 from veristrata.operators import candidates as C
+from veristrata.operators import inference as I
 from veristrata.plans import registry
 
 registry.load()
@@ -38,3 +39,10 @@ def test_chosen_cases_have_the_smallest_draws(spark):
         assert sorted(r["id"] for r in chosen.collect()) == sorted(order[:n])
     ordered = [line for line in plan(C.with_false_variants(cases)).splitlines() if "TakeOrdered" in line]
     assert not any("text" in line for line in ordered)
+
+
+def test_trees_take_documents_by_the_batch(spark):
+    pairs = spark.createDataFrame([(d, 10 * d + a, 10 * d + b, float(s)) for d in range(3) for a, b, s in ((0, 1, 1), (0, 2, 2), (1, 2, 3), (2, 3, -1))], "doc long, a long, b long, strength double")
+    trees = I.spanning_trees(pairs)
+    assert sorted((r["doc"], r["a"] % 10, r["b"] % 10, r["step"]) for r in trees.collect()) == [(d, a, b, s) for d in range(3) for a, b, s in ((0, 2, 0), (1, 2, 1), (2, 3, 2))]
+    assert "FlatMapGroupsInPandas" not in plan(trees)

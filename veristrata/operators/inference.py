@@ -102,14 +102,18 @@ def first_tree(n: int, edges: np.ndarray, strength: np.ndarray) -> list[int]:
 def spanning_trees(pairs: DataFrame) -> DataFrame:
     """(doc, a, b, step) of the strongest spanning tree from each document's smallest claim: pairs (doc, a, b, strength)."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["a", "b"]).reset_index(drop=True)
-        names = sorted(set(p["a"]) | set(p["b"]))
-        place = {c: i for i, c in enumerate(names)}
-        chosen = first_tree(len(names), np.stack([p["a"].map(place), p["b"].map(place)], 1), p["strength"].to_numpy(dtype=float))
-        return p.loc[chosen, ["doc", "a", "b"]].assign(step=range(len(chosen)))
-
-    return pairs.select("doc", "a", "b", "strength").groupBy("doc").applyInPandas(run, "doc long, a long, b long, step long")
+    @F.pandas_udf("array<struct<a: long, b: long, step: long>>")
+    def trees(documents: pd.Series) -> pd.Series:
+        out = []
+        for p in documents:
+            rows = sorted((r["a"], r["b"], r["strength"]) for r in p)
+            place = {c: i for i, c in enumerate(sorted({r[0] for r in rows} | {r[1] for r in rows}))}
+            chosen = first_tree(len(place), np.array([(place[a], place[b]) for a, b, _ in rows]), np.array([r[2] for r in rows], dtype=float))
+            out.append([{"a": rows[k][0], "b": rows[k][1], "step": i} for i, k in enumerate(chosen)])
+        return pd.Series(out)
+
+    whole = pairs.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "strength")).alias("p"))  # a document's pairs in a row
+    return whole.select("doc", F.explode(trees("p")).alias("t")).select("doc", "t.a", "t.b", "t.step")
 
 
 def log_bound(unary: np.ndarray, edges: np.ndarray, binary: np.ndarray, p: np.ndarray, messages: np.ndarray, rho: np.ndarray) -> float:
