@@ -5,6 +5,7 @@ import io
 
 from veristrata.functions import text as T
 from veristrata.operators import candidates as C
+from veristrata.operators import graph as G
 from veristrata.operators import inference as I
 from veristrata.plans import registry
 
@@ -46,3 +47,10 @@ def test_trees_take_documents_by_the_batch(spark):
     trees = I.spanning_trees(pairs)
     assert sorted((r["doc"], r["a"] % 10, r["b"] % 10, r["step"]) for r in trees.collect()) == [(d, a, b, s) for d in range(3) for a, b, s in ((0, 2, 0), (1, 2, 1), (2, 3, 2))]
     assert "FlatMapGroupsInPandas" not in plan(trees)
+
+
+def test_near_pairs_come_once_without_a_shuffle_of_pairs(spark):
+    points = spark.createDataFrame([(i, float(lat), float(lon)) for i, (lat, lon) in enumerate([(89.9, 0), (89.9, 180), (0, 179.9), (0, -179.9), (0, 0), (4.49, 0), (4.5, 0), (-89, 10), (-89, -100), (50, 8), (50, 8)])], "id long, lat double, lon double")
+    near = G.near_pairs(points, 500.0)
+    assert sorted((r["a"], r["b"]) for r in near.collect()) == [(0, 1), (2, 3), (4, 5), (5, 6), (7, 8), (9, 10)]
+    assert "HashAggregate" not in plan(near)
