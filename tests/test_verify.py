@@ -131,3 +131,29 @@ def test_false_variants_only_where_too_few_are_false(spark):
     made = [r for r in got.values() if r["id"] < 0]
     assert len(made) == 5 and all(not r["label"] and r["text"] != got[-r["id"] - 1]["text"] for r in made if r["kind"] != "synthetic")
     assert C.with_false_variants(few.withColumn("label", F.col("id") > 5)).count() == 10 and C.with_false_variants(few.limit(0)).count() == 0
+
+
+def test_documents_sampled_side_by_side():
+    """Graphs of any size and shape (hubs, repeated edges, none) draw and sum as each one alone does."""
+    rng, graphs = np.random.default_rng(3), []
+    for k in range(25):
+        n = int(rng.integers(1, 15))
+        e = np.array([sorted(rng.choice(n, 2, replace=False)) for _ in range(int(rng.integers(0, 2 * n)))] if n > 1 else [], dtype=int).reshape(-1, 2)
+        if k == 7:
+            n, e = 40, np.array([(0, i) for i in range(1, 40)])
+        same, other = rng.normal(size=(2, len(e)))
+        graphs.append((rng.normal(size=(n, 2)), e, np.stack([np.stack([same, other], 1), np.stack([other, same], 1)], 1)))
+    starts = np.cumsum([0] + [len(u) for u, _, _ in graphs])
+    alone = [inference.gibbs(*g, seed=i, burn=20, sweeps=90) for i, g in enumerate(graphs)]
+    whole = [np.concatenate([g[0] for g in graphs]), np.concatenate([g[1] + s for g, s in zip(graphs, starts)]), np.concatenate([g[2] for g in graphs])]
+    assert np.array_equal(inference.gibbs_together(*whole, starts, list(range(25)), 20, 90), np.concatenate(alone))
+
+
+def test_equal_joints_are_integrated_once(monkeypatch):
+    """Arrays of normal probabilities equal the scalar function, and a problem that comes again is not integrated again."""
+    z = np.linspace(-37, 9, 5_001)
+    assert np.allclose(inference._below(z), [0.5 * math.erfc(-x / math.sqrt(2)) for x in z], rtol=1e-12, atol=0)
+    asked, real = [], inference.integrated_joint
+    monkeypatch.setattr(inference, "integrated_joint", lambda *a: asked.append(1) or real(*a))
+    r = np.array([[1.0, 0.123], [0.123, 1.0]])
+    assert len({inference.copula_joint(np.array([0.41, 0.52]), r) for _ in range(5)}) == 1 and len(asked) == 1

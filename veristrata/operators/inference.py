@@ -1,18 +1,22 @@
 """Factor graphs of claims, one per document, solved in grouped tasks.
 
 Nodes are a document's claims, edges its claim pairs. ``factor_tables`` builds both with column functions; a solver
-gets the rows of one document, whose claims are bounded by the decomposer.
+gets the documents of a task side by side, whose claims are bounded by the decomposer.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TILT = 1e-3
 BELIEF = "doc string, claim string, p_true double, converged boolean, algorithm string, iterations int, edge_count int, log_bound double, mismatch double"
@@ -149,6 +153,52 @@ def gibbs(unary: np.ndarray, edges: np.ndarray, binary: np.ndarray, seed: int, b
     return hits / sweeps
 
 
+SWEEPS = 50  # sweeps whose draws a task holds at once
+
+
+def gibbs_together(unary: np.ndarray, edges: np.ndarray, binary: np.ndarray, starts: np.ndarray, seeds: list[int], burn: int = 500, sweeps: int = 2000) -> np.ndarray:
+    """``gibbs`` for graphs side by side, the i-th with the nodes from starts[i] up to starts[i + 1] and its own seed.
+
+    A node depends on earlier ones of the same sweep and later ones of the sweep before. Nodes as far from the first as each other
+    share no edge, so one step takes these of all graphs; each graph's draws and sums keep their order.
+    """
+    n = len(unary)
+    near: list[list[tuple[int, float, float]]] = [[] for _ in range(n)]
+    rise = [(b[1, 0] - b[0, 0], b[1, 1] - b[0, 1], b[0, 1] - b[0, 0], b[1, 1] - b[1, 0]) for b in binary]
+    for (i, j), (i0, i1, j0, j1) in zip(edges.tolist(), rise, strict=True):
+        near[i].append((j, i0, i1))
+        near[j].append((i, j0, j1))
+    level = np.zeros(n, dtype=int)
+    for v in range(n):
+        level[v] = max((level[o] + 1 for o, _, _ in near[v] if o < v), default=0)
+    order = np.lexsort((-np.array([len(x) for x in near], dtype=int), level))  # of a level the nodes with most edges come first
+    at = np.empty(n, dtype=int)
+    at[order] = np.arange(n)
+    steps = []
+    for own in np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if n else []:
+        slots = []
+        for k in range(len(near[own[0]])):
+            edge = [near[v][k] for v in own if len(near[v]) > k]
+            slots.append((at[[o for o, _, _ in edge]], np.array([a for _, a, _ in edge]), np.array([b for _, _, b in edge])))
+        steps.append((slice(at[own[0]], at[own[-1]] + 1), unary[own, 1] - unary[own, 0], slots))
+    state, hits = np.zeros(n, dtype=bool), np.zeros(n)
+    drawn = [np.random.default_rng(s) for s in seeds]
+    u = np.empty((SWEEPS, n))
+    for sweep in range(burn + sweeps):
+        if sweep % SWEEPS == 0:
+            for rng, a, b in zip(drawn, starts[:-1], starts[1:], strict=True):
+                u[:, a:b] = rng.random((SWEEPS, b - a))
+            ahead = u[:, order]
+        for own, bias, slots in steps:
+            told = np.zeros(len(bias))
+            for other, off, on in slots:
+                told[: len(other)] += np.where(state[other], on, off)
+            state[own] = ahead[sweep % SWEEPS, own] < 1 / (1 + np.exp(-(bias + told)))
+        if sweep >= burn:
+            hits += state
+    return hits[at] / sweeps
+
+
 def seed_of(ids: list[str]) -> int:
     return int.from_bytes(hashlib.sha256("|".join(sorted(ids)).encode()).digest()[:8], "big")
 
@@ -167,6 +217,78 @@ def solve(unary: np.ndarray, edges: np.ndarray, binary: np.ndarray, rigor: str =
     return p, settled, "lbp" if settled else "lbp_nonconvergent", n, None
 
 
+#: Claims that a task takes side by side, more only if one document has more.
+TOGETHER = 20_000
+
+
+@dataclass
+class Graphs:
+    """Factor graphs side by side: the i-th has the claims from starts[i] up to starts[i + 1], edges between places of claims."""
+
+    docs: list[str]
+    claims: list[str]
+    starts: np.ndarray
+    values: dict[str, np.ndarray]
+    edges: np.ndarray
+    edge_starts: np.ndarray
+    links: dict[str, np.ndarray]
+
+    def ids(self, i: int) -> list[str]:
+        return self.claims[self.starts[i] : self.starts[i + 1]]
+
+    def each_claim(self, values: list) -> np.ndarray:
+        """A value of each document, for each of its claims."""
+        return np.repeat(np.array(values), np.diff(self.starts))
+
+
+def _whole_documents(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, nodes, pairs): a document's claims and pairs in a row, in their order."""
+    n, p = (F.struct(*[c for c in t.columns if c != "doc"]) for t in (nodes, pairs))
+    none = lambda t: F.lit(None).cast(StructType([f for f in t.schema if f.name != "doc"]))
+    both = nodes.select("doc", n.alias("nodes"), none(pairs).alias("pairs")).unionByName(pairs.select("doc", none(nodes).alias("nodes"), p.alias("pairs")))
+    return both.groupBy("doc").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in ("nodes", "pairs")])
+
+
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[Graphs]:
+    """The documents of a task, up to TOGETHER claims at a time; pairs of claims that are not there, or of one claim, are left out."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(batch.column("nodes").value_lengths()))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+            yield _graph(batch.slice(at, to - at))
+            at = to
+
+
+def _graph(batch: pa.RecordBatch) -> Graphs:
+    nodes, pairs = batch.column("nodes"), batch.column("pairs")
+    starts, ends = (np.concatenate([[0], np.cumsum(np.asarray(c.value_lengths()))]).astype(int) for c in (nodes, pairs))
+    n, p = ({f.name: c.flatten().field(i) for i, f in enumerate(c.type.value_type)} for c in (nodes, pairs))
+    claims, a, b = (c.cast(pa.string()).to_pylist() for c in (n.pop("claim"), p.pop("a"), p.pop("b")))
+    edges, kept, edge_starts = [], [], [0]
+    for i in range(batch.num_rows):
+        place = {c: k for k, c in enumerate(claims[starts[i] : starts[i + 1]], starts[i])}
+        for k in range(ends[i], ends[i + 1]):
+            x, y = place.get(a[k]), place.get(b[k])
+            if x is not None and y is not None and x != y:
+                edges.append((min(x, y), max(x, y)))
+                kept.append(k)
+        edge_starts.append(len(edges))
+    numbers = lambda c: c.to_numpy(zero_copy_only=False).astype(float)
+    links = {k: numbers(c)[kept] for k, c in p.items()}
+    return Graphs(batch.column("doc").cast(pa.string()).to_pylist(), claims, starts, {k: numbers(c) for k, c in n.items()}, np.array(edges, dtype=int).reshape(-1, 2), np.array(edge_starts), links)
+
+
+def _potentials(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
+    same, other = g.links["log_same"], g.links["log_other"]
+    return np.stack([g.values["log_false"], g.values["log_true"]], 1), np.stack([np.stack([same, other], 1), np.stack([other, same], 1)], 1)
+
+
+def _shares(g: Graphs) -> np.ndarray:
+    unary, binary = _potentials(g)
+    return gibbs_together(unary, g.edges, binary, g.starts, [seed_of(g.ids(i)) for i in range(len(g.docs))])
+
+
 def infer(nodes: DataFrame, pairs: DataFrame, rigor: str = "balanced", check: float | None = None) -> DataFrame:
     """Posterior of each claim: nodes (doc, claim, log_false, log_true), pairs (doc, a, b, log_same, log_other).
 
@@ -174,36 +296,37 @@ def infer(nodes: DataFrame, pairs: DataFrame, rigor: str = "balanced", check: fl
     more than that, ``mismatch`` is the largest difference of the document; else null.
     """
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("claim").reset_index(drop=True)
-        place = {c: i for i, c in enumerate(left["claim"])}
-        right = right[right["a"].isin(place) & right["b"].isin(place) & (right["a"] != right["b"])].sort_values(["a", "b"]) if len(right) else right
-        edges = np.array([sorted((place[a], place[b])) for a, b in zip(right.get("a", []), right.get("b", []), strict=True)], dtype=int).reshape(-1, 2)
-        same, other = (right[c].to_numpy(dtype=float) if len(edges) else np.zeros(0) for c in ("log_same", "log_other"))
-        binary = np.stack([np.stack([same, other], 1), np.stack([other, same], 1)], 1) if len(edges) else np.zeros((0, 2, 2))
-        p, settled, name, n, bound = solve(left[["log_false", "log_true"]].to_numpy(dtype=float), edges, binary, rigor)
-        mismatch = None
-        if check is not None and len(edges):
-            gap = float(np.abs(gibbs(left[["log_false", "log_true"]].to_numpy(dtype=float), edges, binary, seed_of(left["claim"].tolist())) - p[:, 1]).max())
-            mismatch = gap if gap > check else None
-        return pd.DataFrame({"mismatch": pd.Series([mismatch] * len(left), dtype=float), "doc": str(key[0]), "claim": left["claim"], "p_true": p[:, 1], "converged": settled, "algorithm": name, "iterations": n, "edge_count": len(edges), "log_bound": bound})[[c.split()[0] for c in BELIEF.split(", ")]]
-
-    return nodes.groupBy("doc").cogroup(pairs.groupBy("doc")).applyInPandas(lambda k, a, b: run(k, a, b), BELIEF)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _graphs(batches):
+            unary, binary = _potentials(g)
+            p, told = np.zeros(len(unary)), []
+            share = _shares(g) if check is not None else None
+            for i in range(len(g.docs)):
+                own, tied = slice(g.starts[i], g.starts[i + 1]), slice(g.edge_starts[i], g.edge_starts[i + 1])
+                if own.start == own.stop:  # pairs without claims
+                    told.append((None, "", 0, 0, None, None))
+                    continue
+                q, settled, name, n, bound = solve(unary[own], g.edges[tied] - own.start, binary[tied], rigor)
+                p[own] = q[:, 1]
+                gap = float(np.abs(share[own] - p[own]).max()) if check is not None and tied.start < tied.stop else None
+                told.append((settled, name, n, tied.stop - tied.start, bound, gap if gap is not None and gap > check else None))
+            names = ("converged", "algorithm", "iterations", "edge_count", "log_bound", "mismatch")
+            columns = {c: [t[k] for t, n in zip(told, np.diff(g.starts), strict=True) for _ in range(n)] for k, c in enumerate(names)}
+            columns |= {"doc": list(g.each_claim(g.docs)), "claim": g.claims, "p_true": p}
+            kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+            yield pa.RecordBatch.from_pydict({c: pa.array(columns[c], kinds[k]) for c, k in (f.split() for f in BELIEF.split(", "))})
+
+    return _whole_documents(nodes, pairs.select("doc", "a", "b", "log_same", "log_other")).mapInArrow(run, BELIEF)
 
 
 def sampled(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, claim, share): how often the sampler found each claim true; one document's claims in a task."""
+    """(doc, claim, share): how often the sampler found each claim true; a task samples its documents side by side."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("claim").reset_index(drop=True)
-        place = {c: i for i, c in enumerate(left["claim"])}
-        right = right[right["a"].isin(place) & right["b"].isin(place) & (right["a"] != right["b"])].sort_values(["a", "b"])
-        edges = np.array([(place[a], place[b]) for a, b in zip(right["a"], right["b"], strict=True)], dtype=int).reshape(-1, 2)
-        same, other = right["log_same"].to_numpy(dtype=float), right["log_other"].to_numpy(dtype=float)
-        binary = np.stack([np.stack([same, other], 1), np.stack([other, same], 1)], 1)
-        return left[["doc", "claim"]].assign(share=gibbs(left[["log_false", "log_true"]].to_numpy(dtype=float), edges, binary, seed_of(left["claim"].tolist())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _graphs(batches):
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(list(g.each_claim(g.docs)), pa.string()), "claim": pa.array(g.claims, pa.string()), "share": _shares(g)})
 
-    return nodes.groupBy("doc").cogroup(pairs.groupBy("doc")).applyInPandas(run, "doc string, claim string, share double")
+    return _whole_documents(nodes, pairs.select("doc", "a", "b", "log_same", "log_other")).mapInArrow(run, "doc string, claim string, share double")
 
 
 def nearest_correlation(r: np.ndarray, floor: float = 1e-4) -> np.ndarray:
@@ -222,12 +345,32 @@ def _quantiles(p: np.ndarray) -> np.ndarray:
     return np.array([NormalDist().inv_cdf(x) for x in p])
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+def _ratio(x: np.ndarray, over: tuple[float, ...], under: tuple[float, ...]) -> np.ndarray:
+    """A quotient of polynomials, highest powers first."""
+    return np.polyval(over, x) / np.polyval(under, x)
+
+
+# W. J. Cody's rational approximations of erf and erfc, up to 0.46875, up to 4 and beyond.
+_ERF = (
+    ((1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)),
+    ((2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+     (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)),
+    ((1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4), (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)),
+)
 
 
 def _below(z: np.ndarray) -> np.ndarray:
     """Standard normal probabilities of arrays."""
-    return 0.5 * _erfc(-z / math.sqrt(2)).astype(float)
+    x = np.asarray(z, dtype=float) / -np.sqrt(2)
+    y = np.abs(x)
+    out = np.empty_like(y)
+    low, high = y <= 0.46875, y > 4
+    mid = ~(low | high)
+    out[low] = 1 - y[low] * _ratio(y[low] ** 2, *_ERF[0])
+    out[mid] = np.exp(-y[mid] ** 2) * _ratio(y[mid], *_ERF[1])
+    s = 1 / np.minimum(y[high], 1e8) ** 2
+    out[high] = np.exp(-np.minimum(y[high], 40.0) ** 2) * np.sqrt(s) * (1 / np.sqrt(np.pi) - s * _ratio(s, *_ERF[2]))
+    return 0.5 * np.where(x < 0, 2 - out, out)
 
 
 def _inverse_below(p: np.ndarray) -> np.ndarray:
@@ -237,7 +380,7 @@ def _inverse_below(p: np.ndarray) -> np.ndarray:
     z = -(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3))
     for _ in range(3):
         at = np.maximum(_below(z), 1e-300)
-        z -= (np.log(at) - np.log(q)) * at * math.sqrt(2 * math.pi) * np.exp(np.minimum(z * z / 2, 700))
+        z -= (np.log(at) - np.log(q)) * at * np.sqrt(2 * np.pi) * np.exp(np.minimum(z * z / 2, 700))
     return np.where(p > 0.5, -z, z)
 
 
@@ -267,6 +410,13 @@ def integrated_joint(z: np.ndarray, r: np.ndarray, points: int = LATTICE) -> flo
     return float(total.mean())
 
 
+@lru_cache(maxsize=10_000)
+def _joint_of(p: bytes, r: bytes) -> float:
+    """The integrated joint of equal problems, once for each task's worker."""
+    q = np.frombuffer(p)
+    return integrated_joint(_quantiles(q), nearest_correlation(np.frombuffer(r).reshape(len(q), -1)) + 1e-10 * np.eye(len(q)))
+
+
 def copula_joint(p: np.ndarray, r: np.ndarray, draws: int = 10_000, seed: int = 0) -> float:
     """Probability that all claims are true under a Gaussian copula with correlations ``r``.
 
@@ -276,9 +426,9 @@ def copula_joint(p: np.ndarray, r: np.ndarray, draws: int = 10_000, seed: int =
     p = np.clip(p, 1e-6, 1 - 1e-6) if len(p) != 1 else p
     if len(p) <= 1 or np.allclose(r, np.eye(len(p)), atol=1e-8):
         return float(np.prod(p))
-    near = nearest_correlation(r) + 1e-10 * np.eye(len(p))
     if len(p) <= MOST_INTEGRATED:
-        return integrated_joint(_quantiles(p), near)
+        return _joint_of(p.tobytes(), np.ascontiguousarray(r, dtype=float).tobytes())
+    near = nearest_correlation(r) + 1e-10 * np.eye(len(p))
     z = np.random.default_rng(seed).standard_normal((draws, len(p))) @ np.linalg.cholesky(near).T
     return float((z <= _quantiles(p)).all(axis=1).mean())
 
@@ -286,14 +436,15 @@ def copula_joint(p: np.ndarray, r: np.ndarray, draws: int = 10_000, seed: int =
 def copula_scores(beliefs: DataFrame, pairs: DataFrame, draws: int = 10_000) -> DataFrame:
     """(doc, n_claims, joint): beliefs (doc, claim, p_true) and correlations of claim pairs (doc, a, b, r)."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("claim").reset_index(drop=True)
-        place = {c: i for i, c in enumerate(left["claim"])}
-        m = np.eye(len(left))
-        for a, b, r in zip(right.get("a", []), right.get("b", []), right.get("r", []), strict=True):
-            if a in place and b in place and a != b:
-                m[place[a], place[b]] = m[place[b], place[a]] = r
-        joint = copula_joint(left["p_true"].to_numpy(dtype=float), m, draws, seed_of([str(c) for c in left["claim"]]) % (1 << 32))
-        return pd.DataFrame({"doc": [str(key[0])], "n_claims": [len(left)], "joint": [joint]})
-
-    return beliefs.groupBy("doc").cogroup(pairs.groupBy("doc")).applyInPandas(lambda k, a, b: run(k, a, b), "doc string, n_claims long, joint double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _graphs(batches):
+            sizes, joint = np.diff(g.starts), []
+            for i, n in enumerate(sizes):
+                own, tied = g.starts[i], slice(g.edge_starts[i], g.edge_starts[i + 1])
+                m = np.eye(n)
+                for (a, b), r in zip(g.edges[tied] - own, g.links["r"][tied], strict=True):
+                    m[a, b] = m[b, a] = r
+                joint.append(copula_joint(g.values["p_true"][own : own + n], m, draws, seed_of(g.ids(i)) % (1 << 32)))
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(g.docs, pa.string()), "n_claims": sizes.astype(np.int64), "joint": pa.array(joint, pa.float64())})
+
+    return _whole_documents(beliefs.select("doc", "claim", "p_true"), pairs.select("doc", "a", "b", "r")).mapInArrow(run, "doc string, n_claims long, joint double")
