@@ -91,3 +91,24 @@ def test_bounds_prune_the_evidence_search(spark):
     plain = V._best(V._sums(weighted, hits, keys), keys, 5)
     got = V.best_texts(claims, docs, keys)
     assert sorted(map(tuple, got.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_ranks_told_in_blocks_and_by_shuffle(spark, monkeypatch):
+    """Blocks of three ranks, and graphs above the bound, against plain rounds; unknown ends, repeated edges and loose nodes."""
+    from veristrata.operators import graph as G
+
+    ids = [f"n{i}" for i in range(11)]
+    links = [(ids[i % 9], ids[(i * i + 1) % 11]) for i in range(25)] + [("n1", "gone"), ("gone", "n2"), ("n3", "n4"), ("n3", "n4")]
+    rank = dict.fromkeys(ids, 1 / 11)
+    for _ in range(7):
+        given = dict.fromkeys(ids, 0.0)
+        for a, b in links:
+            if a in rank and b in given:
+                given[b] += rank[a] / sum(x == a for x, _ in links)
+        rank = {i: 0.15 / 11 + 0.85 * given[i] for i in ids}
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(links, "src string, dst string")
+    monkeypatch.setattr(G, "BLOCK", 3)
+    for most in (100, 0):
+        monkeypatch.setattr(G, "MOST_RANKS", most)
+        got = {r["id"]: r["rank"] for r in G.pagerank(nodes, edges, 7, every=3).collect()}
+        assert set(got) == set(rank) and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import graph as G
-from ..session import table
+from ..session import materialize, table
 from .registry import plan
 
 NODES = """nodes AS (SELECT 'C' || c_custkey AS id, 'Customer' AS label, c_name AS name, false AS stub FROM customer UNION ALL SELECT 'S' || s_suppkey, 'Supplier', s_name, false FROM supplier
@@ -27,7 +27,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     home = F.concat(F.when(F.col("c_custkey") % 10 == 0, "X").otherwise("N"), F.col("c_nationkey").cast("string"))
     serves = t["lineitem"].select("l_orderkey", "l_suppkey").join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = edge(t["customer"], key("C", "c_custkey"), home, "LIVES_IN").union(edge(t["supplier"], key("S", "s_suppkey"), key("N", "s_nationkey"), "BASED_IN")).union(edge(t["nation"], key("N", "n_nationkey"), key("R", "n_regionkey"), "PART_OF"))
-    return nodes, edges.union(edge(serves, key("S", "l_suppkey"), key("C", "o_custkey"), "SERVES").distinct())
+    return nodes, edges.union(edge(serves.select("l_suppkey", "o_custkey").distinct(), key("S", "l_suppkey"), key("C", "o_custkey"), "SERVES"))
 
 
 @plan(f"WITH {NODES}, {EDGES} SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS inbound FROM nodes")
@@ -120,11 +120,6 @@ def join_category_hier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.category_hierarchy(m, "item", "grp")
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graph(spark, sf_dir)
-    return G.pagerank(nodes, edges, 20)
-
-
 def _pagerank_sql(rounds: int) -> str:
     steps = ["r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)", "deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src)"]
     for i in range(rounds):
@@ -141,7 +136,8 @@ def gr_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(f"""WITH {NODES}, {EDGES}, {_pagerank_sql(20)} SELECT id, round(0.4::DOUBLE * 0.5::DOUBLE + CASE WHEN rank > 0 THEN log10(rank * 1000000 + 1) / 6 * 0.35::DOUBLE ELSE 0 END + CASE WHEN inbound > 0 THEN log10(inbound + 1) / 5 * 0.25::DOUBLE ELSE 0 END, 6) AS quality FROM r20 JOIN (SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS inbound FROM nodes) USING (id)""")
 def fn_quality_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
-    j = _ranked(spark, sf_dir).join(G.in_degrees(nodes, edges), "id")
+    edges = materialize(edges, "edges")  # ranked and counted
+    j = G.pagerank(nodes, edges, 20).join(G.in_degrees(nodes, edges), "id")
     return j.select("id", F.round(C.final_quality(F.lit(0.5), F.col("rank"), F.col("inbound")), 6).alias("quality"))
 
 
