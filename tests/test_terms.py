@@ -90,3 +90,29 @@ def test_paths_of_any_length(spark):
                 todo += [([*nodes, b], [*types, t]) for a, b, t in near if a == nodes[-1] and b not in nodes]
         got = G.paths(spark.createDataFrame(rows, "src string, dst string, type string"), source, target, 5, 10_000)
         assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
+
+
+def test_texts_are_read_in_slices(monkeypatch):
+    """No slice of several texts holds more than its bytes; null, empty and long texts keep their places."""
+    import pyarrow as pa
+
+    from veristrata.operators import chunking
+
+    monkeypatch.setattr(chunking, "SLICE_BYTES", 10)
+    texts = ["abc", None, "", "é" * 30, "defg", "hijklm", "n" * 10, None]
+    parts = [p.to_pylist() for p in chunking.text_slices(pa.array(texts))]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in parts) and len(parts) > 3
+    assert list(chunking.text_slices(pa.array([], pa.string()))) == []
+
+
+def test_vectors_with_told_scores_of_common_tokens(spark):
+    """Tokens left out of the told scores count as those of one text do: the same sums as with all scores."""
+    from veristrata.operators import corpus as C
+
+    counts = C.term_counts(spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "alpha delta"), (3, "beta"), (4, None)], "doc int, text string").repartition("doc"), "doc")
+    idf = C.bm25_idf(counts, "doc", 4)
+    sums = lambda v: {(r["doc"], r["idx"]): round(r["value"], 9) for r in v.collect()}
+    once = idf.where("df = 1").first()["idf"]
+    told = C.sparse_vectors(C.bm25_tf(counts), idf.where("df > 1"), "doc", without=once, told=True)
+    assert sums(told) == sums(C.sparse_vectors(C.bm25_tf(counts), idf, "doc")) and len(sums(told)) == 6

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
+from .chunking import joined, text_slices
 
 MOST_TERMS = 100_000
 _LONGEST = 10**11
@@ -66,11 +67,13 @@ def _blocks(terms: DataFrame) -> Iterator[list[str]]:
 
 
 def _read(terms: list[str], found: Callable, kind: str) -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    answer = pa.string() if kind == "string" else pa.list_(pa.string())
+
+    @F.arrow_udf(kind)
+    def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _automaton(terms) if terms else None
         for batch in texts:
-            yield pd.Series([None if t is None or own is None else found(own, t) for t in batch], dtype=object)
+            yield joined([pa.array([None if t is None or own is None else found(own, t) for t in part.to_pylist()], answer) for part in text_slices(batch)], answer)
 
     return read
 
