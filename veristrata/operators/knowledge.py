@@ -132,15 +132,16 @@ def upsert_graph(path: str, nodes: DataFrame, edges: DataFrame, version: int) ->
     """
     spark = nodes.sparkSession
     known, linked = read_graph(spark, path, version)
+    edges = materialize(edges.distinct(), "edges")  # read for the ends and for the links
     own = nodes.select("label", "name").distinct().withColumn("stub", F.lit(False))
     ends = edges.select(F.col("src_label").alias("label"), F.col("src").alias("name")).union(edges.select("dst_label", "dst")).distinct()
     made = ends.join(own, ["label", "name"], "left_anti").withColumn("stub", F.lit(True))
     fresh = own.unionByName(made)
     if known is not None:  # a stub that comes as a node of its own is written again, as no stub
         fresh = fresh.join(known.select("label", "name", F.col("stub").alias("was")), ["label", "name"], "left").where("was IS NULL OR (was AND NOT stub)").drop("was")
-        edges = edges.distinct().join(linked, ["src_label", "src", "type", "dst_label", "dst"], "left_anti")
+        edges = edges.join(linked, ["src_label", "src", "type", "dst_label", "dst"], "left_anti")
     materialize(fresh, "fresh").write.mode("overwrite").parquet(f"{path}/nodes/version={version}")
-    materialize(edges.distinct(), "linked").write.mode("overwrite").parquet(f"{path}/edges/version={version}")
+    materialize(edges, "linked").write.mode("overwrite").parquet(f"{path}/edges/version={version}")
 
 
 def read_graph(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:

@@ -94,14 +94,17 @@ def sink_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of articles and edges put into one graph, the second twice; missing targets are created as stubs."""
     path = shared_path(spark, "graph")
     a = materialize(_articles(spark, sf_dir), "articles")
-    for version in (0, 1, 1):
+    made = {}
+    for version in (0, 1):
         own = a.where(F.col("doc_id") % 2 == version)
         edges = K.article_edges(own.drop("categories") if version else own, "doc_id")
         if version:  # all pairs of categories came with the first version
             edges = edges.unionByName(K.article_edges(own.select("doc_id", "categories"), "doc_id").where("src_label = 'Article'"))
         else:
             edges = edges.unionByName(K.article_edges(a.select("doc_id", "categories"), "doc_id").where("src_label = 'Category'"))
-        K.upsert_graph(path, own.select(F.lit("Article").alias("label"), F.col("doc_id").cast("string").alias("name")), edges, version)
+        made[version] = own.select(F.lit("Article").alias("label"), F.col("doc_id").cast("string").alias("name")), materialize(edges, "made")
+    for version in (0, 1, 1):
+        K.upsert_graph(path, *made[version], version)
     nodes, edges = K.read_graph(spark, path)
     inbound = edges.groupBy(F.col("dst_label").alias("label"), F.col("dst").alias("name")).agg(F.count("*").alias("inbound"))
     return nodes.join(inbound, ["label", "name"], "left").fillna(0, ["inbound"]).select("label", "name", "stub", F.col("first").cast("int").alias("first"), "inbound")
