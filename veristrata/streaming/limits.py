@@ -56,13 +56,14 @@ def job_states(events: DataFrame, job: str, ts: str, terminal: tuple[str, ...] =
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, phase, completed = state.get if state.exists else (None, None, None)
-        for row in pd.concat(list(batches)).sort_values(ts).itertuples(index=False):
-            if status in terminal:
-                break
-            status, phase = row.status, row.phase if row.phase is not None else phase
-            if status in terminal and completed is None:
-                completed = getattr(row, ts).timestamp()
-        state.update((status, phase, completed))
+        if status not in terminal:
+            rows = sorted((r for b in batches for r in zip(b[ts], b["status"], b["phase"], strict=True)), key=lambda r: r[0])
+            for at, status, now in rows:
+                phase = now if now is not None else phase
+                if status in terminal:
+                    completed = at.timestamp() if completed is None else completed
+                    break
+            state.update((status, phase, completed))
         yield pd.DataFrame({job: [k[0]], "status": [status], "phase": [phase], "completed_at": [completed]})
 
     return events.groupBy(job).applyInPandasWithState(step, f"{job} string, status string, phase string, completed_at double", "status string, phase string, completed_at double", "update", GroupStateTimeout.NoTimeout)
