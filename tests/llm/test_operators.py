@@ -521,6 +521,18 @@ def test_fingerprints_and_likeness_equal_single_calls(spark):
             assert near == (sum(a == b for a, b in pairs) / len(pairs) if pairs else 1.0)
 
 
+def test_fingerprints_of_many_ranges(spark, monkeypatch):
+    """More cuts than a literal list takes; ranges with null ids and with several rows of one id."""
+    rows = [(None, "none")] + [(i, f"text {i} " * 3) for i in range(1500)] + [(700, "twice")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    once = {(r["doc_id"], r["edited_sha256"], r["near_next"]) for r in fingerprints.compare_with_next(docs).collect()}
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 1)
+    ranged = fingerprints.with_next(docs)
+    assert ranged.select("range").distinct().count() > 513
+    many = [(r["doc_id"], r["edited_sha256"], r["near_next"]) for r in fingerprints.compare_with_next(docs).collect()]
+    assert len(many) == len(rows) and set(many) == once
+
+
 def test_fingerprints_do_not_depend_on_offset():
     rng = random.Random(8)
     base, other = words(rng, 500), words(rng, 500)

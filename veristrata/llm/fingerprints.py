@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,8 +166,6 @@ def with_next(docs: DataFrame) -> DataFrame:
 def _range_of(d: DataFrame, cuts: list[int]):
     if not cuts:
         return F.lit(0)
-    import pandas as pd
-
     shared = np.array(cuts, dtype=np.int64)
 
     @F.pandas_udf("int")
