@@ -2,6 +2,8 @@
 
 import contextlib
 import io
+import math
+import random
 
 from veristrata.functions import text as T
 from veristrata.operators import candidates as C
@@ -54,3 +56,28 @@ def test_near_pairs_come_once_without_a_shuffle_of_pairs(spark):
     near = G.near_pairs(points, 500.0)
     assert sorted((r["a"], r["b"]) for r in near.collect()) == [(0, 1), (2, 3), (4, 5), (5, 6), (7, 8), (9, 10)]
     assert "HashAggregate" not in plan(near)
+
+
+def test_near_pairs_by_blocks_equal_all_pairs(spark, monkeypatch):
+    """Poles, the date line, longitudes beyond a turn, equal places, nulls and no numbers; nothing is joined or sorted."""
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)]
+    rows += [(300 + i, rng.choice([-1, 1]) * rng.uniform(84, 90), rng.uniform(-180, 180)) for i in range(60)]
+    rows += [(400 + i, rng.uniform(-5, 5), rng.choice([-180.0, 180.0, 179.5, -179.5, 181.0, 540.5])) for i in range(40)]
+    rows += [(500 + i, 50.0, 8.0) for i in range(30)] + [(600, None, 8.0), (601, 50.0, None), (602, float("nan"), 8.0), (None, 50.0, 8.0)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+
+    def far(p, q):
+        a, b = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    fine = [r for r in rows if None not in r and r[1] == r[1]]
+    want = {(p[0], q[0]): far(p, q) for p in fine for q in fine if p[0] < q[0]}
+    for km, most, at_once in ((500.0, 2_000_000, 1_000_000), (500.0, 100, 50), (3000.0, 2_000_000, 20_000)):
+        monkeypatch.setattr(G, "MOST_POINTS", most)
+        monkeypatch.setattr(G, "PAIRS_AT_ONCE", at_once)
+        near = G.near_pairs(points, km)
+        got = [(r["a"], r["b"], round(r["km"], 6)) for r in near.collect()]
+        assert sorted(got) == sorted((a, b, round(d, 6)) for (a, b), d in want.items() if d < km)
+        assert not any(w in plan(near) for w in ("Join", "Sort"))
